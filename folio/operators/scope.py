@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.scan import Running, page_block, position, running
+from ..session import cut_lineage
 
 
 def level_index(level: Column) -> Column:
@@ -158,23 +159,26 @@ def materialise_counters(steps: DataFrame, rules: DataFrame, seeds: DataFrame) -
     its own steps since the last step of any counter above it; a seed applies until the first reset. Counters above
     are numbered first, so the pass over the data repeats once per level of nesting (at most six), never per element.
     """
-    mapped = _rule_map(rules)
-    placed = steps.join(mapped, "book_id").withColumn("pos", position(F.col("page"), F.col("start")))
-    shared = F.try_element_at(F.col("rules"), F.col("counter"))["shared_with"]
-    placed = placed.withColumn("root", F.when(F.coalesce(shared, F.lit("")) != "", shared).otherwise(F.col("counter")))
-    chain = _walk(F.col("rules"), F.col("root"))["seen"]
-    own = placed.select("book_id", "pos", "page", "start", "id", "counter", "root",
-                        F.try_element_at(F.col("rules"), F.col("root")).alias("rule"), chain.alias("chain"))
+    books = _rule_map(rules)
+    chains = F.map_from_entries(F.transform(F.map_keys("rules"), lambda n: F.struct(n, _walk(F.col("rules"), n)["seen"])))
+    # One small row per book, read by every step below.
+    books = cut_lineage(books.withColumn("chains", chains))
+
+    def shared_by(name: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.col("rules"), name)["shared_with"], F.lit(""))
+
+    placed = steps.join(books, "book_id").withColumn("pos", position(F.col("page"), F.col("start")))
+    root = F.when(shared_by(F.col("counter")) != "", shared_by(F.col("counter"))).otherwise(F.col("counter"))
+    own = placed.select("book_id", "pos", "page", "start", "id", "counter", root.alias("root"))
     # Each counter also sees the steps of the counters above it, as resets.
-    dependents = _rule_map(rules).select("book_id", "rules", F.explode(F.map_keys("rules")).alias("below"))
-    dependents = dependents.withColumn("seen", _walk(F.col("rules"), F.col("below"))["seen"])
-    links = dependents.filter(F.coalesce(F.try_element_at(F.col("rules"), F.col("below"))["shared_with"], F.lit("")) == "").select(
-        "book_id", "below", F.explode(F.slice("seen", 2, 99)).alias("root"))
+    below = books.select("book_id", "rules", "chains", F.explode(F.map_keys("rules")).alias("below"))
+    links = below.filter(shared_by(F.col("below")) == "").select(
+        "book_id", "below", F.explode(F.slice(F.try_element_at(F.col("chains"), F.col("below")), 2, 99)).alias("root"))
     resets = own.join(links, ["book_id", "root"]).select("book_id", "pos", F.col("below").alias("stream"), F.lit(1).alias("reset"))
     counted = own.select("book_id", "pos", F.col("root").alias("stream"), F.lit(0).alias("reset"))
-    stream = counted.unionByName(resets).dropDuplicates(["book_id", "stream", "pos"])
     block = page_block(F.col("pos"))
-    segmented = running(stream, ["book_id", "stream"], ["pos"], block, [Running("segment", "sum", F.col("reset").cast("bigint"))])
+    segmented = running(counted.unionByName(resets), ["book_id", "stream"], ["pos"], block,
+                        [Running("segment", "sum", F.col("reset").cast("bigint"))])
     numbered = running(
         segmented.filter(F.col("reset") == 0), ["book_id", "stream", "segment"], ["pos"], block,
         [Running("nth", "sum", F.lit(1).cast("bigint"))],
@@ -186,41 +190,36 @@ def materialise_counters(steps: DataFrame, rules: DataFrame, seeds: DataFrame) -
     values = seeded.select("book_id", F.col("stream").alias("root"), "pos", value.alias("value"))
     valued = own.join(values, ["book_id", "root", "pos"])
 
-    # Printed form of the counters above: the last value before this element, or the seed, per level.
-    ancestors = P.HEADINGS
-    specs = [Running(f"_v_{a}", "last", F.when(F.col("root") == a, F.struct("pos", "value"))) for a in ancestors]
+    # Values of the counters above: the last one before this element, per heading level.
+    specs = [Running(f"_v_{a}", "last", F.when(F.col("root") == a, F.struct("pos", "value"))) for a in P.HEADINGS]
     above = running(valued, ["book_id"], ["pos"], block, specs)
     seed_map = seeds.groupBy("book_id").agg(F.map_from_entries(F.collect_set(F.struct("name", F.col("value").cast("bigint")))).alias("seed_map"))
-    above = above.join(seed_map, "book_id", "left").join(mapped, "book_id")
-
-    def current(name: str) -> Column:
-        """Value of a heading counter at an element, 0 after a reset by a counter above it."""
-        up = _walk(F.col("rules"), F.lit(name))["seen"]
-        latest_reset = F.greatest(*[
-            F.when(F.array_contains(F.slice(up, 2, 99), a), F.coalesce(F.col(f"_v_{a}.pos"), F.lit(-1))).otherwise(-1) for a in ancestors
-        ])
-        seed = F.coalesce(F.try_element_at(F.col("seed_map"), F.lit(name)), F.lit(0))
+    above = above.join(seed_map, "book_id", "left").join(books, "book_id")
+    last = F.map_from_arrays(F.array(*[F.lit(a) for a in P.HEADINGS]), F.array(*[F.col(f"_v_{a}") for a in P.HEADINGS]))
+    above = above.withColumn("_last", last).withColumn("_chain", F.try_element_at(F.col("chains"), F.col("root")))
+
+    def value_now(name: Column) -> Column:
+        """0 after a reset by a counter above it, the seed before the first step."""
+        reset_at = F.aggregate(
+            F.slice(F.try_element_at(F.col("chains"), name), 2, 99), F.lit(-1).cast("bigint"),
+            lambda acc, up: F.greatest(acc, F.coalesce(F.try_element_at(F.col("_last"), up)["pos"], F.lit(-1))))
+        mine = F.try_element_at(F.col("_last"), name)
         return (
-            F.when(F.col(f"_v_{name}.pos") > latest_reset, F.col(f"_v_{name}.value"))
-            .when(latest_reset >= 0, F.lit(0))
-            .otherwise(seed)
+            F.when(mine["pos"] > reset_at, mine["value"]).when(reset_at >= 0, F.lit(0).cast("bigint"))
+            .otherwise(F.coalesce(F.try_element_at(F.col("seed_map"), name), F.lit(0).cast("bigint")))
         )
 
-    for a in ancestors:
-        above = above.withColumn(f"_n_{a}", current(a))
-    # Parents print outermost first; each prefix refers only to names already printed.
-    def printed(name: Column, value: Column, depth: int) -> Column:
-        rule = F.try_element_at(F.col("rules"), name)
-        text = format_counter(value, rule["style"])
-        if depth == 0:
-            return text
-        parent = rule["reset_by"]
-        parent_value = F.coalesce(*[F.when(parent == a, F.col(f"_n_{a}")) for a in ancestors])
-        return F.when(
-            rule["prefix_parent"] & (parent != ""),
-            F.concat(printed(parent, parent_value, depth - 1), F.lit("."), text),
-        ).otherwise(text)
-
-    return above.withColumn("visible_number", printed(F.col("root"), F.col("value"), 4)).select(
-        "book_id", "page", "start", "id", "counter", "value", "visible_number"
-    )
+    def rule_of(name: Column) -> Column:
+        return F.try_element_at(F.col("rules"), name)
+
+    parts = F.transform("_chain", lambda n, i: format_counter(
+        F.when(i == 0, F.col("value")).otherwise(value_now(n)), rule_of(n)["style"]))
+    # Prefixes reach up while each rule asks for its parent.
+    shown = F.aggregate(
+        "_chain", F.struct(F.lit(1).alias("n"), F.lit(True).alias("go")),
+        lambda acc, n: F.struct(
+            F.when(acc["go"] & rule_of(n)["prefix_parent"] & (rule_of(n)["reset_by"] != ""), acc["n"] + 1).otherwise(acc["n"]).alias("n"),
+            (acc["go"] & rule_of(n)["prefix_parent"]).alias("go")),
+        lambda acc: acc["n"])
+    visible = F.array_join(F.reverse(F.slice(parts, F.lit(1), shown)), ".")
+    return above.select("book_id", "page", "start", "id", "counter", "value", visible.alias("visible_number"))
