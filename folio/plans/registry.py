@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["markup_queries", "reference_queries"]
+AREAS = ["markup_queries", "reference_queries", "content_queries"]
 
 
 class Registry:
