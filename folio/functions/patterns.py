@@ -24,8 +24,8 @@ HEADING_COMMAND = "BAHeading"
 FIGURE_COMMAND = "BAFigure"
 
 # Environment tokens; \[ and \] stand for an environment called displaymath.
-ENV_TOKEN = r"(?<!\\)(?:\\(?:begin|end|label)\{[^{}\s]+\}|\\[\[\]])"
-ENV_PAIR_TOKEN = r"(?<!\\)(?:\\(?:begin|end)\{[^{}\s]+\}|\\[\[\]])"
+ENV_TOKEN = r"(?U)(?<!\\)(?:\\(?:begin|end|label)\{[^{}\s]+\}|\\[\[\]])"
+ENV_PAIR_TOKEN = r"(?U)(?<!\\)(?:\\(?:begin|end)\{[^{}\s]+\}|\\[\[\]])"
 DISPLAY_MATH = "displaymath"
 EQUATION_FAMILY = [
     "align", "alignat", "gather", "multline", "eqnarray", "flalign", "displaymath",
@@ -52,7 +52,7 @@ MANUAL_NUMBERING = (
 )
 
 # Comment line that separates source pages in one assembled body.
-PAGE_MARKER = r"(?m)^% PDF page (\d+)\r?$"
+PAGE_MARKER = r"(?md)^% PDF page (\d+)\r?$"
 
 # Record identifiers, and those that need no renaming.
 RECORD_ID = r"[^\s{}\\%]+"

@@ -144,6 +144,10 @@ def occurrences(text: Column, part: Column) -> Column:
     return F.when(F.length(part) > 0, (gone / F.length(part)).cast("int")).otherwise(F.lit(0))
 
 
+def is_blank(text: Column) -> Column:
+    return text.rlike(r"(?U)^\s*\z")
+
+
 def layout(text: Column) -> Column:
     """Text with the keys of labels and references blanked."""
     return F.regexp_replace(text, r"\\(label|ref|eqref|nameref)\{([^{}]+)\}", "$1{}")

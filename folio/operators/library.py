@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
+
 
 def split_library(books: DataFrame, deleted: bool) -> DataFrame:
     return books.filter(F.coalesce("deleted", F.lit(False)) == deleted)
@@ -101,7 +103,7 @@ def asset_inventory(manifest: DataFrame, markers: DataFrame, files: DataFrame, b
     mentioned = markers.select(*keys).distinct().withColumn("_marker", F.lit(True))
     present = files.groupBy(*keys).agg(F.max("used").alias("_used")).withColumn("_file", F.lit(True))
     joined = mentioned.join(present, keys, "full").filter(F.coalesce("_marker", F.lit(False)) | F.coalesce("_used", F.lit(False)))
-    joined = joined.filter(F.col("id").rlike("^(?:[A-Za-z0-9][A-Za-z0-9_.-]*)$")).join(manifest.select(*keys, "page", "bbox"), keys, "left")
+    joined = joined.filter(F.col("id").rlike("^(?:" + P.ASSET_ID + r")\z")).join(manifest.select(*keys, "page", "bbox"), keys, "left")
     known = F.col("page").isNotNull() & F.col("page").between(F.lit(1), F.col("page_count")) & valid_box(F.col("bbox"))
     return joined.join(books.select("book_id", "page_count"), "book_id", "left").select(
         *keys, "page", F.coalesce("_file", F.lit(False)).alias("available"), F.coalesce(known, F.lit(False)).alias("repairable"))

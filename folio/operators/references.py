@@ -201,7 +201,7 @@ def check_edits(edits: DataFrame, symbols: DataFrame) -> DataFrame:
         "problem",
         F.when(F.col("old_key").isNull(), "unknown_id")
         .when(F.col("_times") > 1, "repeated_id")
-        .when(~F.col("key").rlike("^(?:" + P.KEY_NAME + ")$"), "bad_key")
+        .when(~F.col("key").rlike("(?U)^(?:" + P.KEY_NAME + r")\z"), "bad_key")
         .when((F.col("category") == "label") & (X.key_namespace(F.col("key")) != X.key_namespace(F.col("old_key"))), "changed_kind_or_number"),
     ).drop("_times")
 
@@ -250,7 +250,7 @@ def check_unconfirmed(items: DataFrame, symbols: DataFrame, edits: DataFrame, de
         F.col("kind").isNull()
         | ((F.col("kind") == "bibliography") != F.col("bibliography"))
         | (F.coalesce("_target", no) & ~F.coalesce("_later", no))
-        | F.coalesce("_edited", no) | (F.col("_times") > 1) | (F.trim("reason") == "")
+        | F.coalesce("_edited", no) | (F.col("_times") > 1) | X.is_blank(F.col("reason"))
     )
     code = F.when(F.col("bibliography"), "BIBLIOGRAPHY_REVIEW").otherwise("REFERENCE_REVIEW")
     return joined.select("book_id", "id", "bibliography", "reason", F.when(bad, code).alias("problem"))

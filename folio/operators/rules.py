@@ -89,7 +89,7 @@ def page_coverage(returned: DataFrame, owned: DataFrame) -> DataFrame:
 def check_ids(records: DataFrame) -> DataFrame:
     """INVALID_ID: an id used twice in a batch, across types too, or with characters that break a marker."""
     repeated = records.groupBy("book_id", "batch_no", "id").agg(F.count("*").alias("n"), F.min("page").alias("page")).filter(F.col("n") > 1)
-    malformed = records.filter(~F.col("id").rlike("^(?:" + P.RECORD_ID + ")$"))
+    malformed = records.filter(~F.col("id").rlike("(?U)^(?:" + P.RECORD_ID + r")\z"))
     return _violation(repeated, "INVALID_ID", F.col("id")).unionByName(_violation(malformed, "INVALID_ID", F.col("id")))
 
 
@@ -113,7 +113,7 @@ def check_anchors(marks: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def check_labels(symbols: DataFrame) -> DataFrame:
-    return _violation(symbols.filter(~F.col("key").rlike("^(?:" + P.KEY_NAME + ")$")), "LABEL_NAME", F.col("key"))
+    return _violation(symbols.filter(~F.col("key").rlike("(?U)^(?:" + P.KEY_NAME + r")\z")), "LABEL_NAME", F.col("key"))
 
 
 def valid_box(box: Column) -> Column:
@@ -219,7 +219,7 @@ def check_grants(requests: DataFrame, pages: DataFrame) -> DataFrame:
     rows = requests.join(sized, ["book_id", "page"], "left").withColumn(
         "_end", F.when(F.col("end_line") == 0, F.col("_size")).otherwise(F.col("end_line")))
     scope = rows.filter(
-        (F.col("phase") != "missing") | F.col("_size").isNull() | ~F.col("viewed") | (F.trim("reason") == "")
+        (F.col("phase") != "missing") | F.col("_size").isNull() | ~F.col("viewed") | X.is_blank(F.col("reason"))
         | ~((F.col("start_line") >= 1) & (F.col("start_line") <= F.col("_end")) & (F.col("_end") <= F.col("_size"))))
     mixed = requests.filter(F.col("mixed"))
     ranged = rows.filter(F.col("_size").isNotNull()).select("book_id", "page", "seq", "start_line", F.col("_end").alias("end_line"))

@@ -102,7 +102,7 @@ def check_structure(before: DataFrame, after: DataFrame, bodies: DataFrame) -> D
     entries = manifest_entries(bodies)
     impure = entries.filter(~F.col("pure") | F.col("name").isNull()).select("project_id", F.lit("STRUCTURE_MANIFEST").alias("code"), F.lit("body.tex").alias("path")).distinct()
     named = entries.filter(F.col("name").isNotNull()).withColumn("path", F.concat("name", F.lit(".tex")))
-    unsafe = ~F.col("name").rlike(r"^[A-Za-z0-9_./-]+$") | F.exists(F.split("name", "/"), lambda p: p.isin("", ".", "..")) | F.endswith("name", F.lit(".tex"))
+    unsafe = ~F.col("name").rlike(r"^[A-Za-z0-9_./-]+\z") | F.exists(F.split("name", "/"), lambda p: p.isin("", ".", "..")) | F.endswith("name", F.lit(".tex"))
     twice = named.groupBy("project_id", "path").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     keys = ["project_id", "path"]
     path_rows = (

@@ -113,7 +113,7 @@ def split_pages(bodies: DataFrame) -> DataFrame:
     """Pages of assembled bodies (book_id, body) by their page marker lines, trimmed, with the marker's line."""
     marks = F.regexp_extract_all("body", F.lit(P.PAGE_MARKER), F.lit(1))
     pieces = F.split("body", P.PAGE_MARKER, -1)
-    trimmed = F.transform(F.slice(pieces, 2, 2147483646), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
+    trimmed = F.transform(F.slice(pieces, 2, 2147483646), lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+\z", ""))
     placed = F.transform(X.matches(F.col("body"), P.PAGE_MARKER), lambda m: m["line"])
     rows = F.zip_with(F.arrays_zip(marks.alias("mark"), trimmed.alias("tex")), placed, lambda a, line: F.struct(a["mark"].alias("page"), a["tex"].alias("tex"), line.alias("line")))
     return bodies.select("book_id", F.posexplode(rows).alias("ord", "p")).select("book_id", "ord", F.col("p.page").cast("bigint").alias("page"), "p.tex", "p.line")

@@ -31,7 +31,7 @@ def render_pages(pages: DataFrame, headings: DataFrame) -> DataFrame:
 def write_body(rendered: DataFrame, path: str) -> None:
     """Bodies as text, one folder per book; part files in name order give the body."""
     ordered = rendered.repartitionByRange("book_id", "page").sortWithinPartitions("book_id", "page")
-    ordered.select("book_id", F.regexp_replace("text", r"\n$", "").alias("value")).write.mode("overwrite").partitionBy("book_id").text(path)
+    ordered.select("book_id", F.regexp_replace("text", r"\n\z", "").alias("value")).write.mode("overwrite").partitionBy("book_id").text(path)
 
 
 def render_headings(headings: DataFrame, setups: DataFrame) -> DataFrame:
