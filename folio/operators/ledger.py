@@ -72,7 +72,9 @@ def usage_ledger(calls: DataFrame) -> DataFrame:
 
 def usage_by(ledger: DataFrame, zone: str = "UTC") -> DataFrame:
     """Usage by provider, model, purpose and day, all four views in one pass; an empty name counts as unknown."""
-    day = F.date_format(F.from_utc_timestamp(F.timestamp_seconds("started_at"), zone), "yyyy-MM-dd")
+    # Wall-clock arithmetic, so that the session's own zone plays no part.
+    clock = F.expr("timestampadd(SECOND, cast(floor(started_at) as bigint), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    day = F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), clock), "yyyy-MM-dd")
     named = ledger.select(
         *[F.when(F.col(c) == "", "unknown").otherwise(F.col(c)).alias(c) for c in ("provider", "model", "purpose")],
         day.alias("day"), "state", "input", "output", "cached")

@@ -152,12 +152,14 @@ def format_counter(value: Column, style: Column) -> Column:
     )
 
 
-def materialise_counters(steps: DataFrame, rules: DataFrame, seeds: DataFrame) -> DataFrame:
+def materialise_counters(steps: DataFrame, rules: DataFrame, seeds: DataFrame, appendix: DataFrame | None = None) -> DataFrame:
     """Visible number of every counted element.
 
     `steps` (book_id, page, start, id, counter) lists what advances a counter, headings included. A counter counts
     its own steps since the last step of any counter above it; a seed applies until the first reset. Counters above
-    are numbered first, so the pass over the data repeats once per level of nesting (at most six), never per element.
+    are known from their last step, so the data is scanned three times, however deep the nesting.
+
+    `appendix` (book_id, id) names the heading that starts the appendix: its counter begins again, in capital letters.
     """
     books = _rule_map(rules)
     chains = F.map_from_entries(F.transform(F.map_keys("rules"), lambda n: F.struct(n, _walk(F.col("rules"), n)["seen"])))
@@ -176,6 +178,12 @@ def materialise_counters(steps: DataFrame, rules: DataFrame, seeds: DataFrame) -
         "book_id", "below", F.explode(F.slice(F.try_element_at(F.col("chains"), F.col("below")), 2, 99)).alias("root"))
     resets = own.join(links, ["book_id", "root"]).select("book_id", "pos", F.col("below").alias("stream"), F.lit(1).alias("reset"))
     counted = own.select("book_id", "pos", F.col("root").alias("stream"), F.lit(0).alias("reset"))
+    starts = own.limit(0).select("book_id", F.col("pos").alias("_app_pos"), F.col("root").alias("_app_root"))
+    if appendix is not None:
+        starts = own.join(appendix.select("book_id", "id"), ["book_id", "id"]).groupBy("book_id").agg(
+            F.min("pos").alias("_app_pos"), F.min_by("root", "pos").alias("_app_root"))
+        again = starts.select("book_id", (F.col("_app_pos") - 1).alias("pos"), F.col("_app_root").alias("stream"), F.lit(1).alias("reset"))
+        resets = resets.unionByName(again)
     block = page_block(F.col("pos"))
     segmented = running(counted.unionByName(resets), ["book_id", "stream"], ["pos"], block,
                         [Running("segment", "sum", F.col("reset").cast("bigint"))])
@@ -194,7 +202,7 @@ def materialise_counters(steps: DataFrame, rules: DataFrame, seeds: DataFrame) -
     specs = [Running(f"_v_{a}", "last", F.when(F.col("root") == a, F.struct("pos", "value"))) for a in P.HEADINGS]
     above = running(valued, ["book_id"], ["pos"], block, specs)
     seed_map = seeds.groupBy("book_id").agg(F.map_from_entries(F.collect_set(F.struct("name", F.col("value").cast("bigint")))).alias("seed_map"))
-    above = above.join(seed_map, "book_id", "left").join(books, "book_id")
+    above = above.join(seed_map, "book_id", "left").join(books, "book_id").join(starts, "book_id", "left")
     last = F.map_from_arrays(F.array(*[F.lit(a) for a in P.HEADINGS]), F.array(*[F.col(f"_v_{a}") for a in P.HEADINGS]))
     above = above.withColumn("_last", last).withColumn("_chain", F.try_element_at(F.col("chains"), F.col("root")))
 
@@ -213,7 +221,8 @@ def materialise_counters(steps: DataFrame, rules: DataFrame, seeds: DataFrame) -
         return F.try_element_at(F.col("rules"), name)
 
     parts = F.transform("_chain", lambda n, i: format_counter(
-        F.when(i == 0, F.col("value")).otherwise(value_now(n)), rule_of(n)["style"]))
+        F.when(i == 0, F.col("value")).otherwise(value_now(n)),
+        F.when(F.coalesce((n == F.col("_app_root")) & (F.col("pos") >= F.col("_app_pos")), F.lit(False)), "Alph").otherwise(rule_of(n)["style"])))
     # Prefixes reach up while each rule asks for its parent.
     shown = F.aggregate(
         "_chain", F.struct(F.lit(1).alias("n"), F.lit(True).alias("go")),

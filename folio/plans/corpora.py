@@ -237,7 +237,7 @@ SELECT concat('c', CAST(event_id AS STRING)) AS id, event_id AS seq, concat('r',
   WHEN 1 THEN concat('{{"input_tokens":', CAST(k * 2 AS STRING), ',"output_tokens":', CAST(k + 1 AS STRING), ',"input_tokens_details":{{"cached_tokens":', CAST(k AS STRING), '}}}}')
   WHEN 2 THEN concat('{{"prompt_tokens":', CAST(k + 5 AS STRING), ',"completion_tokens":', CAST(k AS STRING), ',"total_tokens":', CAST(2 * k + 5 AS STRING), '}}')
   WHEN 3 THEN concat('{{"promptTokenCount":', CAST(k AS STRING), ',"candidatesTokenCount":7,"cachedContentTokenCount":', CAST(k AS STRING), '}}')
-  WHEN 4 THEN '{{"note":"unknown"}}' END AS usage
+  WHEN 4 THEN '{{"note":"unknown"}}' END AS usage, ts
 FROM ({_CALL_BASE}) base
 """
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ["markup_queries", "reference_queries", "content_queries", "ledger_queries", "project_queries"]
+AREAS = ["markup_queries", "reference_queries", "content_queries", "ledger_queries", "project_queries", "live_queries"]
 
 
 class Registry:
