@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from heapq import nlargest
+from heapq import heappush, heappushpop
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,22 +20,46 @@ def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)])
 
 
+def _bounds(keys, pool) -> np.ndarray:
+    """Upper bound of the ratio for each pair: twice the shared characters, whatever their order, over both lengths."""
+    alphabet = {c: i for i, c in enumerate(sorted(set("".join(keys)) | set("".join(pool))))}
+
+    def counts(strings) -> np.ndarray:
+        table = np.zeros((len(strings), len(alphabet)), dtype=np.int16)
+        for row, text in enumerate(strings):
+            for ch in text:
+                table[row, alphabet[ch]] += 1
+        return table
+
+    a, b = counts(keys), counts(pool)
+    shared = np.zeros((len(keys), len(pool)), dtype=np.int32)
+    for column in range(len(alphabet)):
+        shared += np.minimum(a[:, column, None], b[None, :, column])
+    lengths = a.sum(axis=1, dtype=np.int32)[:, None] + b.sum(axis=1, dtype=np.int32)[None, :]
+    return 2.0 * shared / np.maximum(lengths, 1)
+
+
 def _best(wanted: pd.Series, offered: pd.Series, n: int, cutoff: float) -> pd.Series:
+    """Best `n` of each chunk pair. Pairs are scored from the best bound down, until no bound can still get in."""
     out = []
     for keys, pool in zip(wanted, offered):
         rows = []
-        for key in keys:
+        limits = _bounds(keys, pool)
+        for key, row in zip(keys, limits):
             matcher = SequenceMatcher()
             matcher.set_seq2(key)
-            scored = []
-            for other in pool:
-                matcher.set_seq1(other)
-                # Two upper bounds of the ratio come first; both are exact rejections.
-                if matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff:
-                    score = matcher.ratio()
-                    if score >= cutoff:
-                        scored.append((score, other))
-            rows.extend({"key": key, "near_key": other, "score": score} for score, other in nlargest(n, scored))
+            top: list[tuple[float, str]] = []
+            for at in np.argsort(-row, kind="stable"):
+                if row[at] < cutoff or (len(top) == n and row[at] < top[0][0]):
+                    break
+                matcher.set_seq1(pool[at])
+                item = (matcher.ratio(), pool[at])
+                if item[0] >= cutoff:
+                    if len(top) < n:
+                        heappush(top, item)
+                    else:
+                        heappushpop(top, item)
+            rows.extend({"key": key, "near_key": other, "score": score} for score, other in top)
         out.append(rows)
     return pd.Series(out)
 
@@ -66,8 +91,10 @@ def near_keys_in_chunks(wanted: DataFrame, offered: DataFrame, n: int, cutoff: f
 
     pairs = _chunks(wanted, "wanted").join(_chunks(offered, "offered"), ["book_id", "family"]).filter(
         _length_ratio(F.col("wanted_length"), F.col("offered_length")) >= cutoff)
-    # Spread the chunk pairs of a large book over the cluster before the scoring.
-    spread = pairs.repartition("book_id", "family", "wanted_length", "wanted_part", "offered_length", "offered_part")
+    # Spread the chunk pairs of a large book over the cluster before the scoring. The number is explicit because the
+    # work is in the scoring, not in the bytes by which partitions would be merged.
+    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = pairs.repartition(tasks, "book_id", "family", "wanted_length", "wanted_part", "offered_length", "offered_part")
     found = spread.select("book_id", "family", F.explode(best("wanted", "offered")).alias("m")).select("book_id", "m.*")
     # Spark keeps at most `n` rows per key on the map side of this rank.
     order = Window.partitionBy("book_id", "key").orderBy(F.desc("score"), F.desc("near_key"))

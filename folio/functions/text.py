@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,16 +12,23 @@ from . import patterns as P
 # Every line boundary of Unicode text, a carriage return with its line feed counting once.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once per row, however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Every match as `array<struct<token,start,line>>`; offsets count characters from 0, lines from 1.
 
     Spark gives matches or the pieces between them, not positions; positions are the prefix sum of both lengths.
     """
-    pieces = F.split(text, pattern, -1)
-    tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return once(text, lambda t: _placed(t, pattern))
+
+
+def _placed(text: Column, pattern: str) -> Column:
     steps = F.zip_with(
-        F.slice(pieces, F.lit(1), F.size(tokens)),
-        tokens,
+        F.split(text, pattern, -1),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda p, t: F.struct(
             F.length(p).alias("gap"),
             (F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))).alias("breaks"),
@@ -40,7 +49,8 @@ def matches(text: Column, pattern: str) -> Column:
             F.concat(acc["out"], F.array(item)).alias("out"),
         )
 
-    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+    # The piece behind the last match has no token.
+    return F.aggregate(F.filter(steps, lambda x: x["token"].isNotNull()), zero, step, lambda acc: acc["out"])
 
 
 def _blank(text: Column, pattern: str) -> Column:

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.scan import Running, page_block, position, running, stack_height
+from ..session import cut_lineage
 from .markup import TEX, MarkupDialect, env_token_array, env_tokens
 
 
@@ -64,15 +65,12 @@ def pair_independent(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --- strict pairing ---------------------------------------------------------
 
-_FOLD_SCHEMA = (
-    "book_id {book}, grp bigint, role string, name string, label string, "
-    "begin_page bigint, begin_line int, begin_offset int, ordinal int, "
-    "end_page bigint, end_line int, end_offset int, pos bigint"
+_COLUMNS = (
+    ("grp", "bigint"), ("role", "string"), ("name", "string"), ("label", "string"), ("begin_page", "bigint"),
+    ("begin_line", "int"), ("begin_offset", "int"), ("ordinal", "int"), ("end_page", "bigint"), ("end_line", "int"),
+    ("end_offset", "int"), ("pos", "bigint"),
 )
-_COLUMNS = [
-    "book_id", "grp", "role", "name", "label", "begin_page", "begin_line", "begin_offset", "ordinal",
-    "end_page", "end_line", "end_offset", "pos",
-]
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 class _Fold:
@@ -120,96 +118,96 @@ class _Fold:
         return rows
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=_COLUMNS)
-    for column in ("begin_line", "begin_offset", "ordinal", "end_line", "end_offset"):
-        frame[column] = frame[column].astype("Int32")
-    for column in ("grp", "begin_page", "end_page", "pos"):
-        frame[column] = frame[column].astype("Int64")
-    return frame
+def _batch(rows: list[tuple], book_type: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * (len(_COLUMNS) + 1)
+    types = [book_type, *[_ARROW[t] for _, t in _COLUMNS]]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, types)], names=["book_id", *[n for n, _ in _COLUMNS]])
 
 
-def _fold_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First fold: one page row at a time, where its tokens already are."""
     for batch in batches:
         rows: list[tuple] = []
-        for book, page, block, tokens in zip(batch["book_id"], batch["page"], batch["block"], batch["tokens"]):
+        books, pages, blocks, lists = (batch.column(c) for c in ("book_id", "page", "block", "tokens"))
+        tokens = list(zip(*[lists.values.field(f).to_pylist() for f in ("op", "name", "start", "line")]))
+        ends = lists.offsets.to_pylist()
+        for n, (book, page, block) in enumerate(zip(books.to_pylist(), pages.to_pylist(), blocks.to_pylist())):
             fold, ordinal = _Fold(), 0
-            for t in tokens:
-                pos = (int(page) << 32) + int(t["start"])
-                if t["op"] == "begin":
+            for op, name, start, line in tokens[ends[n]:ends[n + 1]]:
+                pos = (page << 32) + start
+                if op == "begin":
                     ordinal += 1
-                    fold.begin([t["name"], "", int(page), int(t["line"]), int(t["start"]), ordinal, pos])
-                elif t["op"] == "end":
-                    fold.end([t["name"], int(page), int(t["line"]), int(t["start"]), pos], last=False)
+                    fold.begin([name, "", page, line, start, ordinal, pos])
+                elif op == "end":
+                    fold.end([name, page, line, start, pos], last=False)
                 else:
-                    fold.label(t["name"], pos, last=False)
-            rows.extend((book, int(block), *r) for r in fold.close(last=False))
-        yield _frame(rows)
+                    fold.label(name, pos, last=False)
+            rows.extend((book, block, *r) for r in fold.close(last=False))
+        yield _batch(rows, batch.schema.field("book_id").type)
 
 
 _RESIDUE = ("begin", "end", "label")
 
 
 def _fold_sorted(last: bool):
-    """Wider fold over rows that arrive sorted by (book, group, position); only the open stack is kept in memory."""
+    """Wider fold over residue that arrives sorted by (book, group, position); only the open stack is kept in memory."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold, current = _Fold(), None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, current, kind = _Fold(), None, None
         for batch in batches:
+            kind = batch.schema.field("book_id").type
             rows: list[tuple] = []
-            for r in batch.itertuples(index=False):
-                group = (r.book_id, r.grp, r.residue)
-                if group != current:
+            for r in zip(*[c.to_pylist() for c in batch.columns]):
+                book, group, role, name, label, *place = r
+                if (book, group) != current:
                     if current is not None:
-                        rows.extend((current[0], current[1], *x) for x in fold.close(last))
-                    current = group
-                if not r.residue:
-                    rows.append(tuple(r)[: len(_COLUMNS)])
-                elif r.role == "begin":
-                    fold.begin([r.name, r.label, r.begin_page, r.begin_line, r.begin_offset, r.ordinal, r.pos])
-                elif r.role == "end":
-                    fold.end([r.name, r.end_page, r.end_line, r.end_offset, r.pos], last)
+                        rows.extend((*current, *x) for x in fold.close(last))
+                    current = (book, group)
+                if role == "begin":
+                    fold.begin([name, label, *place[:4], place[7]])
+                elif role == "end":
+                    fold.end([name, *place[4:8]], last)
                 else:
-                    fold.label(r.name, r.pos, last)
-            rows.extend((current[0], current[1], *x) for x in fold.out)
+                    fold.label(name, place[7], last)
+            rows.extend((*current, *x) for x in fold.out)
             fold.out = []
-            yield _frame(rows)
+            yield _batch(rows, kind)
         if current is not None:
-            yield _frame([(current[0], current[1], *x) for x in fold.close(last)])
+            yield _batch([(*current, *x) for x in fold.close(last)], kind)
 
     return run
 
 
-def _widen(rows: DataFrame, schema: str, group: Column, last: bool) -> DataFrame:
-    marked = rows.withColumn("residue", F.col("role").isin(*_RESIDUE)).withColumn("grp", group)
-    keys = ["book_id", "grp", "residue"]
-    return (
-        marked.repartition(*[F.col(k) for k in keys])
-        .sortWithinPartitions(*keys, "pos")
-        .mapInPandas(_fold_sorted(last), schema)
-    )
+def _widen(residue: DataFrame, schema: str, group: Column, last: bool) -> DataFrame:
+    # An explicit number of partitions: the work is in the fold, not in the bytes by which they would be merged.
+    tasks = int(residue.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["book_id", "grp"]
+    marked = residue.withColumn("grp", group.cast("bigint")).repartition(tasks, *keys).sortWithinPartitions(*keys, "pos")
+    return marked.mapInArrow(_fold_sorted(last), schema)
 
 
 def pair_strict(pages: DataFrame, dialect: MarkupDialect = TEX) -> tuple[DataFrame, DataFrame]:
     """(nodes, unmatched): a closing ends only the top of one shared stack; a bad closing pops nothing.
 
-    Folding runs per page, then per block of pages, then per book. Each step passes on only what it could not decide,
-    so a very long book sends its last task little more than its open environments. Settled rows never gather there.
+    Folding runs per page, then per block of pages, then per book. Each step writes what it settled and passes on only
+    what it could not decide, so a very long book sends its last task little more than its open environments.
     """
-    schema = _FOLD_SCHEMA.format(book=pages.schema["book_id"].dataType.simpleString())
+    book = pages.schema["book_id"].dataType.simpleString()
+    schema = f"book_id {book}, " + ", ".join(f"{n} {t}" for n, t in _COLUMNS)
     block = page_block(position(F.col("page"), F.lit(0)))
     tokens = pages.select("book_id", F.col("page").cast("bigint").alias("page"), block.alias("block"),
                           env_token_array(F.col("tex"), dialect).alias("tokens"))
-    by_page = tokens.filter(F.size("tokens") > 0).mapInPandas(_fold_pages, schema)
-    by_block = _widen(by_page, schema, F.col("grp"), last=False)
-    whole = F.when(F.col("residue"), F.lit(-1)).otherwise(F.col("grp")).cast("bigint")
-    by_book = _widen(by_block, schema, whole, last=True)
-    nodes = by_book.filter(F.col("role").isin("node", "unclosed")).select(
+    undecided = F.col("role").isin(*_RESIDUE)
+    by_page = cut_lineage(tokens.mapInArrow(_fold_pages, schema))
+    by_block = cut_lineage(_widen(by_page.filter(undecided), schema, F.col("grp"), last=False))
+    by_book = _widen(by_block.filter(undecided), schema, F.lit(0), last=True)
+    settled = by_page.filter(~undecided).unionByName(by_block.filter(~undecided)).unionByName(by_book)
+    nodes = settled.filter(F.col("role").isin("node", "unclosed")).select(
         "book_id", "name", _env_id("env-", F.col("begin_page"), F.col("ordinal")).alias("id"), "label",
         "begin_page", "begin_line", "begin_offset", "end_page", "end_line", "end_offset",
     )
-    ends = by_book.filter(F.col("role") == "unmatched").select(
+    ends = settled.filter(F.col("role") == "unmatched").select(
         "book_id", "name", F.col("end_page").alias("page"), F.col("end_line").alias("line"),
         F.col("end_offset").alias("start"),
     )

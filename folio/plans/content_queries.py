@@ -49,7 +49,7 @@ def _doc_lines(spark, sf):
 
 @REGISTRY.add("line_search", f"SELECT * FROM {DUCK_HITS}")
 def line_search(spark, sf):
-    hits = SE.search_lines(_doc_lines(spark, sf), _queries(spark, sf))
+    hits = SE.search_pages(C.frame(spark, sf, DOCS), _queries(spark, sf))
     return hits.withColumn("line", F.col("line").cast("bigint"))
 
 
@@ -58,7 +58,7 @@ SELECT query_id, book_id, page, line, rank, total, skip AS "offset", CASE WHEN s
  SELECT h.*, q.skip, q.take, row_number() OVER (PARTITION BY h.query_id, book_id ORDER BY page, line) AS rank, count(*) OVER (PARTITION BY h.query_id, book_id) AS total
  FROM {DUCK_HITS} h JOIN {C.duck(SEARCHES)} q ON q.query_id = h.query_id) WHERE rank > skip AND rank <= skip + take""")
 def line_search_pages(spark, sf):
-    hits = cut_lineage(SE.search_lines(_doc_lines(spark, sf), _queries(spark, sf)).drop("text"))
+    hits = cut_lineage(SE.search_pages(C.frame(spark, sf, DOCS), _queries(spark, sf)).drop("text"))
     paged = SE.page_hits(hits, _queries(spark, sf))
     return SE.order_hits(paged.withColumn("line", F.col("line").cast("bigint")))
 

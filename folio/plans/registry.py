@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import wraps
 from importlib import import_module
 
+from ..session import ship_package
+
 AREAS = ["markup_queries", "reference_queries", "content_queries", "ledger_queries", "project_queries", "live_queries"]
 
 
@@ -30,8 +33,19 @@ def _all() -> dict[str, tuple]:
     return found
 
 
+def _ready(fn):
+    """The query, with this package known to the Python workers of whatever session it is given."""
+
+    @wraps(fn)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {name: fn for name, (fn, _) in _all().items()}
+    return {name: _ready(fn) for name, (fn, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,23 @@ def build_session(master: str | None = None, app: str = "folio", **conf: str) ->
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_folio_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / "folio.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._folio_shipped = True
 
 
 def stage_folder(spark: SparkSession) -> str:
