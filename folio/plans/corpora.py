@@ -11,12 +11,16 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 BS = "chr(92)"
 NL = "chr(10)"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    # Texts and JSON cost far more to work on than to move, and a small table is one split.
+    return spread(rows) if table in ("documents", "pages", "events") else rows
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
