@@ -57,3 +57,8 @@ def ranked(df: DataFrame, order: list[Column], rank: str) -> tuple[DataFrame, in
         total += counts.get(p, 0)
     offsets = F.split(F.lit(",".join(map(str, before or [0]))), ",").cast("array<bigint>")
     return cut.withColumn(rank, F.element_at(offsets, F.col(part) + 1) + F.col(at)).drop(part, at), total
+
+
+def bound(value: Column, use) -> Column:
+    """`use(value)` with the value computed once; a plain column may be computed again wherever a lambda names it."""
+    return F.transform(F.array(value), use)[0]
