@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.session import ship_package
+from folio.session import ship_package, stage_folder
 
-from . import chat, decontaminate, hilbert, lines, mixture, simhash, toxicity
+from . import chat, decontaminate, hilbert, lines, lm, minhash, mixture, simhash, token_counts, toxicity
 from .common import text_of
 
 QUERIES: dict = {}
@@ -146,6 +147,30 @@ FROM r LEFT JOIN f ON r.source IS NOT DISTINCT FROM f.source
 """
 
 
+@query
+def op7_token_counts(read):
+    """All documents under one tokenizer; those labelled toxic deleted; those of low quality recounted by another one.
+
+    The deletion is sent twice, as after a lost answer.
+    """
+    first, second = "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"
+    docs, labels = read("documents"), read("labels")
+    store = token_counts.Rollup(docs.sparkSession, f"{stage_folder(docs.sparkSession).rstrip('/')}/tokens-{uuid.uuid4().hex}")
+    store.commit("load", token_counts.insertions(docs, first))
+    toxic = labels.where("toxic = 1").select("doc_id")
+    for _ in range(2):
+        store.commit("toxic", token_counts.deletions(toxic, first))
+    poor = labels.where("quality = 0 AND coalesce(toxic, 0) = 0").select("doc_id").distinct()
+    recounted = token_counts.insertions(docs.join(poor, "doc_id", "left_semi"), second)
+    store.commit("recount", token_counts.deletions(poor, first).union(recounted))
+    return store.totals()
+
+
+@query
+def op8_minhash(read):
+    return minhash.edited_fingerprints(read("documents"))
+
+
 @query
 def op9_hilbert_shards(read):
     text = text_of("text")
@@ -154,3 +179,8 @@ def op9_hilbert_shards(read):
     placed = hilbert.shard(rows, 24, ties=("doc_id", "text_crc32", "size"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+@query
+def op10_lm_scores(read):
+    return lm.scores(read("documents"))
