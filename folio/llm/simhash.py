@@ -4,10 +4,14 @@ Fingerprints of 64 bits link when they differ in few bits. All distinct fingerpr
 walks pairs of its nodes downwards, adds up the bits in which their paths differ, and drops a pair as soon as it has
 spent more than the budget.
 
-To share the work out, the bits are cut into bands. A linked pair differs in `budget` bits at most, so it agrees in all
-but `budget` bands; for each choice of bands that may agree, these bands come first in the trie, and the fingerprints
-below one such prefix are one task's trie. A prefix with very many fingerprints is cut into chunks, and chunk meets
-chunk. Only trees of links leave a task, never all pairs of a group, and copies count once.
+To share the work out, the bits are put in several orders, and the fingerprints below one prefix of an order are one
+task's trie. `simhash_components` is exact: the bits are cut into bands, a linked pair agrees in all but `budget` bands,
+and each choice of bands that may agree comes first once. `near_components` is for edited copies, which differ in more
+bits than any such choice leaves: it uses random orders, enough of them that a pair with similarity 0.8 shares a prefix
+with a chance of 96%, and compares 128 bits, of which 64 alone would link strangers at this distance.
+
+A prefix with very many fingerprints is cut into chunks, and chunk meets chunk. Only trees of links leave a task, never
+all pairs of a group, and copies count once.
 
 Null texts count as empty. A text without words has fingerprint 0, which links like any other. Rows with a null id have
 links too; a component without any id has a null `component_id`.
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,28 +37,39 @@ from .components import components
 SEED = 42
 # Fingerprints in one chunk of a prefix group, and node pairs a task holds at once.
 CHUNK, FRONTIER = 8192, 1 << 20
+# Near copies: bits that may differ of the first 64 and of all 128; orders, and bits of their prefixes.
+NEAR_BITS, NEAR_BITS_128, NEAR_ORDERS, NEAR_PREFIX = 15, 23, 48, 22
+# Groups above this size are searched from pivots when many pairs may link.
+PIVOT_GROUP = 64
 
 
-def fingerprint_bytes(text: bytes, shingle: int) -> int:
-    """The fingerprint as a signed number; bit i is set if more than half of the shingle hashes have it."""
+def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) < shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1:].tolist())]
-    values = np.array(hashes, dtype="<u8")
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1:].tolist())], np.uint64)
+
+
+def _majority(values: np.ndarray) -> int:
+    """Bit i is set if more than half of the values have it; as a signed number."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(values), 1 << 16):
-        ones += np.unpackbits(values[i:i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        part = values[i:i + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(values), bitorder="little").view("<i8")[0])
 
 
+def fingerprint_bytes(text: bytes, shingle: int) -> int:
+    """The fingerprint of a text; 0 without words."""
+    return _majority(_shingle_hashes(text, shingle))
+
+
 def fingerprints(text: Column, shingle: int = 3) -> Column:
     """The fingerprint of a text column as a long."""
 
@@ -64,6 +80,21 @@ def fingerprints(text: Column, shingle: int = 3) -> Column:
     return of(text_of(text))
 
 
+def wide_fingerprints(text: Column, shingle: int = 3) -> Column:
+    """128 bits as `fp` and `more`: the fingerprint, and one of the same hashes mixed again."""
+
+    @F.pandas_udf("fp long, more long")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            hashes = _shingle_hashes(t.encode("utf-8", "surrogatepass"), shingle)
+            mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            out.append((_majority(hashes), _majority(mixed ^ (mixed >> np.uint64(32)))))
+        return pd.DataFrame(out, columns=["fp", "more"], dtype="int64")
+
+    return of(text_of(text))
+
+
 def trie_pairs(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of keys that differ in `budget` bits at most; each [start, end) is one trie of sorted distinct keys."""
     # Numbers of set bits before each key, for every bit: a node's children are cut off by counting.
@@ -112,59 +143,119 @@ def _join_roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.nd
     return root
 
 
-def _bands(count: int) -> list[tuple[int, int]]:
+class Orders(NamedTuple):
+    """Orders of the 64 bits, highest first, and how many of them make up the prefix."""
+
+    bits: list[list[int]]
+    prefix: list[int]
+
+
+def exact_orders(budget: int) -> Orders:
+    """Every choice of all but `budget` of `budget` + 2 bands, followed by the other bands."""
+    count = budget + 2
     edges = [64 * i // count for i in range(count + 1)]
-    return list(zip(edges, edges[1:]))
+    bands = [list(range(high - 1, low - 1, -1)) for low, high in zip(edges, edges[1:])]
+    bits, prefix = [], []
+    for chosen in combinations(range(count), count - budget):
+        bits.append([b for i in [*chosen, *(i for i in range(count) if i not in chosen)] for b in bands[i]])
+        prefix.append(sum(len(bands[i]) for i in chosen))
+    return Orders(bits, prefix)
+
 
+def random_orders(orders: int, prefix: int) -> Orders:
+    random = np.random.Generator(np.random.PCG64(SEED))
+    return Orders([random.permutation(64).tolist() for _ in range(orders)], [prefix] * orders)
 
-def _turned(values: np.ndarray, count: int, chosen: tuple[int, ...]) -> tuple[np.ndarray, int]:
-    """Values with the chosen bands moved to the front, and the number of bits in them."""
-    bands = _bands(count)
-    out, head = np.zeros_like(values), 0
-    for i in [*chosen, *(i for i in range(count) if i not in chosen)]:
-        low, high = bands[i]
-        width = high - low
-        out = (out << np.uint64(width)) | ((values >> np.uint64(low)) & np.uint64((1 << width) - 1))
-        head += width if i in chosen else 0
-    return out, head
 
+def _turned(values: np.ndarray, bits: list[int]) -> np.ndarray:
+    out = np.zeros_like(values)
+    for b in bits:
+        out = (out << np.uint64(1)) | ((values >> np.uint64(b)) & np.uint64(1))
+    return out
 
-def links(distinct: DataFrame, budget: int, bands: int | None = None) -> DataFrame:
-    """`fp` (distinct longs) → `u`, `v`: links whose components are those of all pairs within the budget."""
-    count = bands or budget + 2
-    choices = list(combinations(range(count), count - budget))
-    below = 64 - min(sum(_bands(count)[i][1] - _bands(count)[i][0] for i in c) for c in choices)
+
+def pivot_pairs(near, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a large group that join what all its pairs would join; `near(i)` marks what links to i.
+
+    A few pivots find the largest component. Its members need not be compared with each other any more; all others are
+    compared with everything.
+    """
+    spaced = np.unique(np.linspace(0, size - 1, 8).astype(np.int64)).tolist()
+    found = {p: near(p) for p in spaced}
+    first = max(spaced, key=lambda p: int(found[p].sum()))
+    inside = found.pop(first)
+    inside[first] = True
+    yield np.full(int(inside.sum()), first), np.flatnonzero(inside)
+    for _ in range(16):
+        members = np.flatnonzero(inside)
+        pivot = int(members[(len(members) * 7919) % len(members) - 1]) if len(members) < 3 else int(members[np.argmax(np.diff(members, append=size))])
+        linked = near(pivot)
+        if not (linked & ~inside).any():
+            break
+        yield np.full(int(linked.sum()), pivot), np.flatnonzero(linked)
+        inside |= linked
+    for i in np.flatnonzero(~inside).tolist():
+        linked = np.flatnonzero(near(i))
+        yield np.full(len(linked), i), linked
+
+
+def links(distinct: DataFrame, orders: Orders, budget: int, all_bits: int | None = None) -> DataFrame:
+    """`node`, `fp`, `more` → `u`, `v`: links of nodes whose components are those of all pairs within the budget.
+
+    With `all_bits`, `fp` and `more` together may differ in so many bits at most.
+    """
+    below = 64 - min(orders.prefix)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for n, chosen in enumerate(choices):
-                turned, head = _turned(values, count, chosen)
-                prefix = (turned >> np.uint64(64 - head)).view(np.int64)
-                yield pa.record_batch([pa.array(np.full(len(values), n, np.int32)), pa.array(prefix), pa.array(turned.view(np.int64)),
-                                       pa.array(values.view(np.int64))], ["choice", "prefix", "turned", "fp"])
-
-    spread_out = distinct.select("fp").mapInArrow(spread, "choice int, prefix long, turned long, fp long")
-    keyed = stage(spread_out)
+            values = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for n, (bits, head) in enumerate(zip(orders.bits, orders.prefix)):
+                prefix = _turned(values, bits[:head]).view(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(values), n, np.int32)), pa.array(prefix), *batch.columns], ["choice", "prefix", "node", "fp", "more"])
+
+    keyed = stage(distinct.select("node", "fp", "more").mapInArrow(spread, "choice int, prefix long, node long, fp long, more long"))
     large = keyed.groupBy("choice", "prefix").count().where(F.col("count") > CHUNK).select(
         F.col("choice").alias("_c"), F.col("prefix").alias("_p"), F.ceil(F.col("count") / CHUNK).alias("_k"))
     # A chunk meets every chunk of its group, itself included; a group of one chunk is one cell.
-    chunk = F.pmod(F.xxhash64("fp"), F.col("_k"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("_k"))
     cells = F.when(F.col("_k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("_k") - 1), lambda j: F.least(j, chunk) * F.col("_k") + F.greatest(j, chunk)))
     tasks = keyed.join(large, (F.col("choice") == F.col("_c")) & (F.col("prefix") == F.col("_p")), "left").select(
-        "choice", "prefix", F.explode(cells).alias("cell"), F.col("turned").bitwiseXOR(F.lit(-(1 << 63))).alias("place"), "fp")
-    dealt = tasks.repartition("choice", "prefix", "cell").sortWithinPartitions("choice", "prefix", "cell", "place")
+        "choice", "prefix", F.explode(cells).alias("cell"), "node", "fp", "more")
+    dealt = tasks.repartition("choice", "prefix", "cell").sortWithinPartitions("choice", "prefix", "cell")
 
     def joined(held: list[np.ndarray]) -> pa.RecordBatch:
-        choice, prefix, cell, place, fp = held
-        turned = place.view(np.uint64) ^ np.uint64(1 << 63)
+        choice, prefix, cell, node, fp, more = held
         edge = np.flatnonzero((choice[1:] != choice[:-1]) | (prefix[1:] != prefix[:-1]) | (cell[1:] != cell[:-1])) + 1
-        starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(fp)]))
-        many = ends - starts > 1
-        root = _join_roots(len(fp), trie_pairs(turned, starts[many], ends[many], below, budget))
+        sizes = np.diff(np.concatenate(([0], edge, [len(fp)])))
+        # Fingerprints that share a prefix with no other are done.
+        many = np.repeat(sizes > 1, sizes)
+        choice, node, fp, more, sizes = choice[many], node[many], fp[many].view(np.uint64), more[many].view(np.uint64), sizes[sizes > 1]
+        turned = np.zeros_like(fp)
+        for n in np.unique(choice).tolist():
+            here = choice == n
+            turned[here] = _turned(fp[here], orders.bits[n][orders.prefix[n]:])
+        order = np.lexsort((turned, np.repeat(np.arange(len(sizes)), sizes)))
+        node, fp, more, turned = node[order], fp[order], more[order], turned[order]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+
+        def close(a: np.ndarray | int, b: np.ndarray | slice) -> np.ndarray:
+            first = np.bitwise_count(fp[a] ^ fp[b])
+            return (first <= budget) & (all_bits is None or first + np.bitwise_count(more[a] ^ more[b]) <= all_bits)
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            walked = sizes <= PIVOT_GROUP if all_bits is not None else sizes > 0
+            for a, b in trie_pairs(turned, starts[walked], ends[walked], below, budget):
+                near = close(a, b)
+                yield a[near], b[near]
+            for s, e in zip(starts[~walked].tolist(), ends[~walked].tolist()):
+                for a, b in pivot_pairs(lambda i: close(s + i, slice(s, e)), e - s):
+                    yield a + s, b + s
+
+        root = _join_roots(len(fp), pairs())
         own = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.record_batch([pa.array(fp[own]), pa.array(fp[root[own]])], ["u", "v"])
+        return pa.record_batch([pa.array(node[own]), pa.array(node[root[own]])], ["u", "v"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -185,15 +276,29 @@ def links(distinct: DataFrame, budget: int, bands: int | None = None) -> DataFra
     return dealt.mapInArrow(walk, "u long, v long")
 
 
+def _classes(rows: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """`doc_id`, `fp`, `component_id` of each row from its node."""
+    named = distinct.join(components(found), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    smallest = stage(named.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    classes = stage(named.join(smallest, "root").select(F.col("node").alias("_node"), "component_id"))
+    return rows.join(classes, F.col("node") == F.col("_node")).select("doc_id", "fp", "component_id")
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """`doc_id`, `fp`, `component_id` for each row: the fingerprint and the smallest id of its component."""
-    rows = stage(docs.select(F.col(id_column).alias("doc_id"), fingerprints(F.col(text_column), shingle).alias("fp")))
-    distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    found = components(links(distinct, budget)).withColumnRenamed("node", "fp")
-    named = distinct.join(found, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = stage(named.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    classes = stage(named.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id"))
-    return rows.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    rows = stage(docs.select(F.col(id_column).alias("doc_id"), fingerprints(F.col(text_column), shingle).alias("fp")).withColumn("node", F.col("fp")))
+    distinct = stage(rows.groupBy("node").agg(F.min("doc_id").alias("first_id")))
+    sides = distinct.select("node", F.col("node").alias("fp"), F.lit(0).cast("long").alias("more"))
+    return _classes(rows, distinct, links(sides, exact_orders(budget), budget))
+
+
+def near_components(docs: DataFrame, shingle: int = 3, bits: int = NEAR_BITS, all_bits: int = NEAR_BITS_128, orders: int = NEAR_ORDERS,
+                    prefix: int = NEAR_PREFIX, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """As `simhash_components`, for copies with more edits."""
+    wide = docs.select(F.col(id_column).alias("doc_id"), wide_fingerprints(F.col(text_column), shingle).alias("w"))
+    rows = stage(wide.select("doc_id", "w.fp", "w.more", F.xxhash64("w.fp", "w.more").alias("node")))
+    distinct = stage(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("more").alias("more")))
+    return _classes(rows, distinct, links(distinct, random_orders(orders, prefix), bits, all_bits))
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -201,11 +306,11 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def one_per_component(docs: DataFrame, **options) -> DataFrame:
-    """The documents that have the smallest id of their component; of rows with the same id and text, one.
+    """The documents that have the smallest id of their component of near copies; of rows with equal id and text, one.
 
     Documents without an id stay where no document of their component has one.
     """
-    ids = simhash_components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+    ids = near_components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("component_id").alias("_kept")).distinct()
     id_column, text_column = options.get("id_column", "doc_id"), options.get("text_column", "text")
     return docs.join(ids, F.col(id_column).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_column, text_column])
