@@ -18,7 +18,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import stage, text_of, unused
 
 # 1: the token counts; 0: it may differ.
 MASKS = ("11101011", "1101100111", "10110101101")
@@ -90,5 +90,6 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that no benchmark item contaminates. Documents without an id go together: all, or none."""
-    bad = contaminations(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(options.get("id_column", "doc_id")).eqNullSafe(F.col("_bad")), "left_anti")
+    bad = unused(docs, "_bad")
+    ids = contaminations(docs, benchmark, **options).select(F.col("doc_id").alias(bad)).distinct()
+    return docs.join(ids, F.col(options.get("id_column", "doc_id")).eqNullSafe(F.col(bad)), "left_anti")

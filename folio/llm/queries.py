@@ -98,6 +98,35 @@ def op4_decontamination(read):
     return decontaminate.contaminations(read("documents"), read("benchmark"))
 
 
+def _decontamination_sql() -> str:
+    """The same masks over token lists; equal tokens instead of equal hashes."""
+    masks = ", ".join(f"({n}, [{', '.join(str(i) for i, m in enumerate(mask) if m == '1')}], {len(mask)})" for n, mask in enumerate(decontaminate.MASKS))
+    tokens = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    seed = "SELECT {0}, n, unnest(range(0, greatest(len(tok) - span + 1, 0))) AS pos FROM {1}, m"
+    return f"""
+WITH m AS (SELECT * FROM (VALUES {masks}) AS v(n, offs, span)),
+d AS (SELECT DISTINCT doc_id, {tokens} AS tok FROM documents),
+i AS (SELECT DISTINCT item_id, {tokens} AS tok FROM benchmark),
+ds AS (SELECT doc_id, tok, n, pos, list_transform(offs, lambda o: tok[pos + o + 1]) AS key FROM ({seed.format("doc_id, tok, offs", "d")})),
+si AS (SELECT item_id, tok, n, pos, list_transform(offs, lambda o: tok[pos + o + 1]) AS key FROM ({seed.format("item_id, tok, offs", "i")})),
+h AS (
+  SELECT DISTINCT ds.doc_id, ds.tok AS doc, si.item_id, si.tok AS item, (ds.pos - si.pos)::BIGINT AS shift
+  FROM ds JOIN si ON ds.n = si.n AND ds.key = si.key),
+e AS (
+  SELECT doc_id, item_id, len(item)::INT AS item_tokens, least(len(item), 13)::INT AS compared,
+         list_transform(range(0, len(item)), lambda k: CASE WHEN k + shift >= 0 AND doc[k + shift + 1] IS NOT DISTINCT FROM item[k + 1] THEN 1 ELSE 0 END) AS same
+  FROM h),
+r AS (
+  SELECT doc_id, item_id, item_tokens, compared, list_sum(same)::INT AS equal_tokens,
+         list_max(list_transform(range(0, len(same) - compared + 1), lambda s: list_sum(same[s + 1:s + compared])))::INT AS matched FROM e)
+SELECT doc_id, item_id, matched, compared, equal_tokens, item_tokens FROM r WHERE matched >= ceil(compared * 0.8)
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, equal_tokens DESC, compared DESC, item_tokens DESC) = 1
+"""
+
+
+SQL["op4_decontamination"] = _decontamination_sql()
+
+
 @query
 def op5_simhash(read):
     found = simhash.simhash_components(read("documents"), shingle=3, budget=2)

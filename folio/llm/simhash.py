@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import stage, text_of, unused
 from .components import components
 
 # Words of an ASCII-lower-cased text are joined by a space and hashed with this seed (fixed by the contract).
@@ -96,7 +96,7 @@ def wide_fingerprints(text: Column, shingle: int = 3) -> Column:
 
 
 def trie_pairs(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of keys that differ in `budget` bits at most; each [start, end) is one trie of sorted distinct keys."""
+    """Index pairs of keys that differ in `budget` bits at most; each [start, end) is one trie of sorted keys."""
     # Numbers of set bits before each key, for every bit: a node's children are cut off by counting.
     todo = [(bits - 1, starts, ends, starts, ends, np.zeros(len(starts), np.int8))]
     ones = {}
@@ -115,7 +115,15 @@ def trie_pairs(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int
             yield a[near], b[near]
             rest = ~single
             alo, ahi, blo, bhi, spent = alo[rest], ahi[rest], blo[rest], bhi[rest], spent[rest]
-        if not len(alo) or bit < 0:
+        if not len(alo):
+            continue
+        if bit < 0:
+            # Equal keys of different nodes: every element of one range with every element of the other.
+            width = bhi - blo
+            count = (ahi - alo) * width
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            a, b = np.repeat(alo, count) + at // np.repeat(width, count), np.repeat(blo, count) + at % np.repeat(width, count)
+            yield a[a < b], b[a < b]
             continue
         if bit not in ones:
             ones[bit] = np.concatenate(([0], np.cumsum((keys >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)))
@@ -310,7 +318,8 @@ def one_per_component(docs: DataFrame, **options) -> DataFrame:
 
     Documents without an id stay where no document of their component has one.
     """
+    kept = unused(docs, "_kept")
     ids = near_components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("component_id").alias("_kept")).distinct()
+        F.col("component_id").alias(kept)).distinct()
     id_column, text_column = options.get("id_column", "doc_id"), options.get("text_column", "text")
-    return docs.join(ids, F.col(id_column).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_column, text_column])
+    return docs.join(ids, F.col(id_column).eqNullSafe(F.col(kept)), "left_semi").dropDuplicates([id_column, text_column])

@@ -269,7 +269,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
     # At most the distinct words of the sample within an edit or two of a term.
     clean = sample.where("toxic = 0").select(F.explode(near(F.col("text"))).alias("w")).groupBy("w").count().where("count >= 2").limit(100_000).collect()
     model.clean = frozenset(r["w"] for r in clean)
-    data = sample.select("toxic", _features(model)(F.col("text")).alias("x")).orderBy("toxic", "x").collect()
+    # At most `sample_rows` rows of a few numbers; sorted, so that sums agree between runs.
+    data = sorted(sample.select("toxic", _features(model)(F.col("text")).alias("x")).collect(), key=lambda r: (r["toxic"], r["x"]))
     model.coefficients = _logistic(np.array([r["x"] for r in data]), np.array([r["toxic"] for r in data], float))
     return model
 
