@@ -73,6 +73,13 @@ _COLUMNS = (
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
+def _claim(role: Column, name: Column) -> Column:
+    """The kind a label names before its colon, or the kind of label an opening takes."""
+    plain = F.rtrim(name, F.lit("*"))
+    kind = F.when(plain.isin(*P.EQUATION_FAMILY), "equation").otherwise(plain)
+    return F.when(role == "label", F.substring_index(name, ":", 1)).otherwise(kind)
+
+
 class _Fold:
     """One stack over tokens in order. What depends on an unknown earlier stack stays as residue.
 
@@ -98,15 +105,11 @@ class _Fold:
         role = "unmatched" if self.stack or last else "end"
         self.out.append((role, name, "", None, None, None, None, page, line, offset, pos))
 
-    def label(self, key: str, pos: int, last: bool) -> None:
+    def label(self, key: str, claim: str, pos: int, last: bool) -> None:
+        """The innermost opening keeps the first label that claims its kind."""
         if self.stack:
             top = self.stack[-1]
-            if not top[1]:
-                kind = top[0].rstrip("*")
-                if kind in P.EQUATION_FAMILY:
-                    kind = "equation"
-                if key.partition(":")[0] == kind:
-                    top[1] = key
+            top[1] = top[1] or (key if claim == top[7] else "")
         elif not last:
             self.out.append(("label", key, "", None, None, None, None, None, None, None, pos))
 
@@ -130,19 +133,19 @@ def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         books, pages, blocks, lists = (batch.column(c) for c in ("book_id", "page", "block", "tokens"))
-        tokens = list(zip(*[lists.values.field(f).to_pylist() for f in ("op", "name", "start", "line")]))
+        tokens = list(zip(*[lists.values.field(f).to_pylist() for f in ("op", "name", "start", "line", "claim")]))
         ends = lists.offsets.to_pylist()
         for n, (book, page, block) in enumerate(zip(books.to_pylist(), pages.to_pylist(), blocks.to_pylist())):
             fold, ordinal = _Fold(), 0
-            for op, name, start, line in tokens[ends[n]:ends[n + 1]]:
+            for op, name, start, line, claim in tokens[ends[n]:ends[n + 1]]:
                 pos = (page << 32) + start
                 if op == "begin":
                     ordinal += 1
-                    fold.begin([name, "", page, line, start, ordinal, pos])
+                    fold.begin([name, "", page, line, start, ordinal, pos, claim])
                 elif op == "end":
                     fold.end([name, page, line, start, pos], last=False)
                 else:
-                    fold.label(name, pos, last=False)
+                    fold.label(name, claim, pos, last=False)
             rows.extend((book, block, *r) for r in fold.close(last=False))
         yield _batch(rows, batch.schema.field("book_id").type)
 
@@ -159,17 +162,17 @@ def _fold_sorted(last: bool):
             kind = batch.schema.field("book_id").type
             rows: list[tuple] = []
             for r in zip(*[c.to_pylist() for c in batch.columns]):
-                book, group, role, name, label, *place = r
+                book, group, role, name, label, *place, claim = r
                 if (book, group) != current:
                     if current is not None:
                         rows.extend((*current, *x) for x in fold.close(last))
                     current = (book, group)
                 if role == "begin":
-                    fold.begin([name, label, *place[:4], place[7]])
+                    fold.begin([name, label, *place[:4], place[7], claim])
                 elif role == "end":
                     fold.end([name, *place[4:8]], last)
                 else:
-                    fold.label(name, place[7], last)
+                    fold.label(name, claim, place[7], last)
             rows.extend((*current, *x) for x in fold.out)
             fold.out = []
             yield _batch(rows, kind)
@@ -183,7 +186,8 @@ def _widen(residue: DataFrame, schema: str, group: Column, last: bool) -> DataFr
     # An explicit number of partitions: the work is in the fold, not in the bytes by which they would be merged.
     tasks = int(residue.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["book_id", "grp"]
-    marked = residue.withColumn("grp", group.cast("bigint")).repartition(tasks, *keys).sortWithinPartitions(*keys, "pos")
+    claimed = residue.withColumn("claim", _claim(F.col("role"), F.col("name")))
+    marked = claimed.withColumn("grp", group.cast("bigint")).repartition(tasks, *keys).sortWithinPartitions(*keys, "pos")
     return marked.mapInArrow(_fold_sorted(last), schema)
 
 
@@ -196,8 +200,8 @@ def pair_strict(pages: DataFrame, dialect: MarkupDialect = TEX) -> tuple[DataFra
     book = pages.schema["book_id"].dataType.simpleString()
     schema = f"book_id {book}, " + ", ".join(f"{n} {t}" for n, t in _COLUMNS)
     block = page_block(position(F.col("page"), F.lit(0)))
-    tokens = pages.select("book_id", F.col("page").cast("bigint").alias("page"), block.alias("block"),
-                          env_token_array(F.col("tex"), dialect).alias("tokens"))
+    found = F.transform(env_token_array(F.col("tex"), dialect), lambda t: t.withField("claim", _claim(t["op"], t["name"])))
+    tokens = pages.select("book_id", F.col("page").cast("bigint").alias("page"), block.alias("block"), found.alias("tokens"))
     undecided = F.col("role").isin(*_RESIDUE)
     by_page = cut_lineage(tokens.mapInArrow(_fold_pages, schema))
     by_block = cut_lineage(_widen(by_page.filter(undecided), schema, F.col("grp"), last=False))

@@ -10,6 +10,7 @@ from ..operators import edits as ED
 from ..operators import environments as E
 from ..operators import markup as M
 from ..operators import references as R
+from ..operators import rebase as RB
 from ..operators import rules as Q
 from ..operators import search as SE
 from ..operators import seams as SM
@@ -301,26 +302,71 @@ def unique_replacements(spark, sf):
     return ED.apply_page_edits(pages, _page_edits(pages))
 
 
-@REGISTRY.add("rebased_tokens")
+def _equal_start(a, b):
+    """SQL: number of equal characters at the beginning of two texts."""
+    return f"coalesce(list_min(list_filter(range(1, least(length({a}), length({b})) + 1), lambda z: {a}[z] <> {b}[z])) - 1, least(length({a}), length({b})))"
+
+
+def _count(text, part):
+    return f"((length({text}) - length(replace({text}, {part}, ''))) // length({part}))"
+
+
+@REGISTRY.add("rebased_tokens", f"""
+WITH e AS (SELECT *, CASE page % 6 WHEN 0 THEN 'We argue.' WHEN 1 THEN 'Opening words.' WHEN 2 THEN 'x=1' ELSE 'Opening words.' || chr(10) END AS old,
+  CASE page % 6 WHEN 0 THEN 'We argue.' || chr(92) || 'end{{proof}}' WHEN 1 THEN 'Opening words.' WHEN 2 THEN 'x=2' WHEN 4 THEN chr(92) || 'begin{{lemma}}Opening words.' || chr(10) ELSE 'Opening  words.' || chr(10) END AS new
+  FROM ({C.TEX_PAGES}) WHERE page % 6 <> 3),
+h AS (SELECT *, {_equal_start("old", "new")} AS head, {_equal_start("reverse(old)", "reverse(new)")} AS tail FROM e),
+t AS (SELECT book_id, page, CAST(start AS BIGINT) AS start, CASE WHEN name = 'displaymath' THEN chr(92) || '[' ELSE chr(92) || 'begin{{' || name || '}}' END AS token
+  FROM ({C.DUCK_ENV_TOKENS}) WHERE op = 'begin'),
+j AS (SELECT t.*, h.*, h.old IS NOT NULL AS touched, {_count("h.tex", "h.old")} <> 1 AS stale, position(h.old in h.tex) - 1 AS lft, start - (position(h.old in h.tex) - 1) AS low
+  FROM t LEFT JOIN h ON t.book_id = h.book_id AND t.page = h.page),
+m AS (SELECT *, CASE WHEN low + length(token) <= head THEN low END AS ahead,
+  CASE WHEN low >= length(old) - tail THEN low + length(new) - length(old) END AS back,
+  CASE WHEN {_count("old", "token")} = 1 AND {_count("new", "token")} = 1 AND low >= 0 AND low + length(token) <= length(old) THEN position(token in new) - 1 END AS single,
+  {_count("new", "token")} > 0 AND low >= 0 AND low + length(token) <= length(old) AS kept, touched AND start < lft + length(old) AND start + length(token) > lft AS inside FROM j),
+u AS (SELECT *, CASE WHEN NOT touched THEN NULL WHEN stale THEN 'STALE_PATCH' WHEN inside AND CASE WHEN ahead IS NOT NULL AND back IS NOT NULL THEN ahead <> back
+  ELSE ahead IS NULL AND back IS NULL AND single IS NULL AND kept END THEN 'SEAM_TARGET_AMBIGUOUS' END AS problem FROM m)
+SELECT book_id, page || '-' || start AS id, CAST(CASE WHEN problem IS NOT NULL THEN NULL WHEN NOT touched THEN start WHEN inside THEN lft + coalesce(ahead, back, single)
+  WHEN start >= lft + length(old) THEN start + length(new) - length(old) ELSE start END AS BIGINT) AS new_offset, problem FROM u""")
 def rebased_tokens(spark, sf):
-    """Environment tokens followed through replacements; tests compare with text search on small pages."""
+    """Environment tokens followed through replacements."""
     pages = cut_lineage(C.tex_pages(spark, sf))
     tokens = M.env_tokens(pages).filter(F.col("op") == "begin")
     nodes = tokens.select("book_id", F.concat_ws("-", "page", "start").alias("id"), "page", F.col("start").alias("offset"),
                           F.when(F.col("name") == "displaymath", "\\[").otherwise(F.concat(F.lit("\\begin{"), "name", F.lit("}"))).alias("token"))
     edits = _page_edits(pages).filter(F.col("page") % 6 != 3)
-    return ED.rebase_nodes(nodes, pages, edits)
-
-
-@REGISTRY.add("rebased_ranges")
+    return RB.rebase_nodes(nodes, pages, edits)
+
+
+_WAS, _NOW = (f"regexp_extract_all({c}, '[^\\n]*\\n|[^\\n]+')" for c in ("original", "current"))
+
+
+@REGISTRY.add("rebased_ranges", f"""
+WITH r AS (SELECT book_id, page, tex AS original, CASE page % 3 WHEN 0 THEN 'New first line.' || chr(10) || tex
+  WHEN 1 THEN replace(tex, 'Opening words.' || chr(10), '') ELSE tex END AS current FROM ({C.TEX_PAGES})),
+l AS (SELECT book_id, page, {_WAS} AS a, {_NOW} AS b FROM r),
+s AS (SELECT *, len(a) AS n, len(b) AS m, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS head,
+  coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[-i] <> b[-i])) - 1, least(len(a), len(b))) AS free FROM l WHERE len(a) >= 2),
+t AS (SELECT *, least(free, least(n, m) - head) AS tail FROM s),
+q AS (SELECT *, n - tail AS stop, a[head + 1:n - tail] AS x, b[head + 1:m - tail] AS y FROM t),
+k AS (SELECT *, list_filter(list_transform(range(1, len(x) + 1), lambda i: {{'was': i - 1, 'now': list_position(y, x[i]) - 1,
+  'sure': len(list_filter(x, lambda z: z = x[i])) = 1 AND len(list_filter(y, lambda z: z = x[i])) = 1}}), lambda p: p.sure) AS w FROM q),
+v AS (SELECT *, list_filter(w, lambda p: len(list_filter(w, lambda o: o.was <> p.was AND (o.was < p.was) <> (o.now < p.now))) = 0) AS sure FROM k),
+g AS (SELECT *, CASE WHEN 1 < head THEN 1 WHEN 1 >= stop THEN 1 + m - n ELSE coalesce(
+    head + list_filter(sure, lambda p: p.was = 1 - head)[1].now, head + list_max(list_transform(list_filter(sure, lambda p: p.was < 1 - head), lambda p: p.now)) + 1, head) END AS low,
+  CASE WHEN n - 1 < head THEN n WHEN n - 1 >= stop THEN m ELSE coalesce(
+    head + list_filter(sure, lambda p: p.was = n - 1 - head)[1].now + 1, head + list_min(list_transform(list_filter(sure, lambda p: p.was > n - 1 - head), lambda p: p.now)), m - tail) END AS high
+  FROM v)
+SELECT book_id, page, CAST(CASE WHEN high > low THEN low + 1 END AS BIGINT) AS new_start, CAST(CASE WHEN high > low THEN high END AS BIGINT) AS new_end,
+  CASE WHEN NOT high > low THEN 'REFERENCE_REPAIR_CONFLICT' END AS problem FROM g""")
 def rebased_ranges(spark, sf):
-    """Line ranges mapped onto pages that gained or lost lines; tests compare with line search."""
+    """Line ranges mapped onto pages that gained or lost lines."""
     pages = C.tex_pages(spark, sf)
     changed = F.when(F.col("page") % 3 == 0, F.concat(F.lit("New first line.\n"), F.col("tex"))).when(
         F.col("page") % 3 == 1, F.regexp_replace("tex", r"Opening words\.\n", "")).otherwise(F.col("tex"))
     ranges = pages.select("book_id", "page", F.col("tex").alias("original"), changed.alias("current"), F.lit(2).alias("start_line"), F.lit(0).alias("end_line"))
     usable = ranges.filter(F.size(X.keep_lines(F.col("original"))) >= 2)
-    return ED.rebase_ranges(usable).select("book_id", "page", "new_start", "new_end", "problem")
+    return RB.rebase_ranges(usable).select("book_id", "page", "new_start", "new_end", "problem")
 
 
 @REGISTRY.add("fragment_edits", f"""
@@ -412,7 +458,7 @@ def verified_pairs(spark, sf):
     after = cut_lineage(ED.apply_page_edits(before, edits).drop("problem"))
     nodes = cut_lineage(E.pair_independent(M.env_tokens(before))[0]).filter("end_page IS NULL AND name = 'proof'")
     tracked = nodes.select("book_id", "id", F.col("begin_page").alias("page"), F.col("begin_offset").alias("offset"), F.lit("\\begin{proof}").alias("token"))
-    moved = ED.rebase_nodes(tracked, before, edits).select("book_id", "id", "new_offset")
+    moved = RB.rebase_nodes(tracked, before, edits).select("book_id", "id", "new_offset")
     actions = nodes.select(
         "book_id", "id", F.lit("unclosed").alias("kind"), "name", F.col("begin_page").alias("page"), F.col("begin_offset").alias("offset"),
         F.lit(True).alias("resolved"), F.lit(False).alias("reads_more"), F.col("begin_page").alias("closing_page"), F.array("begin_page").alias("seen"))

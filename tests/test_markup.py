@@ -72,30 +72,46 @@ def test_symbol_ids_context_and_offsets(spark):
 
 
 def model(rows, strict):
-    """Stacks in plain Python: one shared stack, or one per name."""
-    nodes, unmatched = {}, []
+    """Pairs by reduction: take out an opening and a closing of one name with nothing of the sequence left between them.
+
+    Strictly, a closing that meets another name's opening is taken out alone. Otherwise each name is a sequence.
+    """
+    nodes, unmatched, labels = {}, [], {}
     for book in sorted({r[0] for r in rows}):
-        stack = []
+        sequence = []
         for _, page, tex in sorted(r for r in rows if r[0] == book):
-            begun = ended = 0
-            for op, name, offset, line in tokens(tex):
+            numbers = {"begin": 0}
+            for op, name, offset, _ in tokens(tex):
                 if op == "begin":
-                    begun += 1
-                    stack.append({"key": (book, f"env-{page}-{begun}"), "name": name, "label": "", "end": None})
-                    nodes[stack[-1]["key"]] = stack[-1]
-                elif op == "label":
-                    if stack and not stack[-1]["label"]:
-                        kind = stack[-1]["name"].rstrip("*")
-                        if name.split(":")[0] == {"align": "equation", "displaymath": "equation"}.get(kind, kind):
-                            stack[-1]["label"] = name
+                    numbers["begin"] += 1
+                    nodes[book, f"env-{page}-{numbers['begin']}"] = {"name": name, "label": "", "end": None}
+                sequence.append((op, name, page, offset, f"env-{page}-{numbers['begin']}"))
+        names = [{t[1] for t in sequence if t[0] != "label"}] if strict else [{n} for n in {t[1] for t in sequence if t[0] != "label"}]
+        spans, lone = [], []
+        for own in names:
+            left = [t for t in sequence if t[0] != "label" and t[1] in own]
+            while (at := next((i for i, t in enumerate(left) if t[0] == "end"), None)) is not None:
+                if at and left[at - 1][1] == left[at][1]:
+                    nodes[book, left[at - 1][4]]["end"] = left[at][2:4]
+                    spans.append((left[at - 1], left[at]))
+                    del left[at - 1:at + 1]
                 else:
-                    open_here = [s for s in stack if s["name"] == name] if not strict else [s for s in stack[-1:] if s["name"] == name]
-                    if open_here:
-                        open_here[-1]["end"] = (page, offset)
-                        stack.remove(open_here[-1])
-                    else:
-                        ended += 1
-                        unmatched.append((book, f"end-{page}-{ended}", name, page, offset))
+                    lone.append(left.pop(at))
+            spans += [(t, None) for t in left]
+        counts = {}
+        for _, name, page, offset, _ in sorted(lone, key=lambda t: t[2:4]):
+            counts[page] = counts.get(page, 0) + 1
+            unmatched.append((book, f"end-{page}-{counts[page]}", name, page, offset))
+        if strict:
+            for op, key, page, offset, _ in sequence:
+                around = [b for b, e in spans if op == "label" and b[2:4] < (page, offset) and (e is None or (page, offset) < e[2:4])]
+                if around:
+                    inner = max(around, key=lambda b: b[2:4])
+                    kind = inner[1].rstrip("*")
+                    if key.split(":")[0] == {"align": "equation", "displaymath": "equation"}.get(kind, kind):
+                        labels.setdefault((book, inner[4]), key)
+    for at, key in labels.items():
+        nodes[at]["label"] = key
     return nodes, sorted(unmatched)
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.operators import edits as ED
+from folio.operators import rebase as RB
 from folio.operators import rules as Q
 from folio.operators import seams as SM
 from folio.operators import search as SE
@@ -83,7 +84,7 @@ def test_tokens_follow_replacements(spark):
 
     def follow(*edits):
         rows = spark.createDataFrame([(1, 1, n, o, w) for n, (o, w) in enumerate(edits)], "book_id bigint, page bigint, seq int, old string, new string")
-        return {r.id: (r.new_offset, r.problem) for r in ED.rebase_nodes(nodes, pages, rows).collect()}
+        return {r.id: (r.new_offset, r.problem) for r in RB.rebase_nodes(nodes, pages, rows).collect()}
 
     assert follow(("aa ", "a ")) == {"x": (2, None), "y": (20, None)}
     assert follow(("aa \\begin{proof}", "aa ")) == {"x": (None, None), "y": (8, None)}
@@ -96,7 +97,7 @@ def test_tokens_follow_replacements(spark):
 def test_line_ranges_follow_pages(spark):
     rows = [("a\nb\nc\n", "new\na\nb\nc\n", 2, 3), ("a\nb\nc\n", "a\nc\n", 2, 2), ("a\nb\nc\n", "a\nb\nc\n", 2, 0), ("", "x\ny\n", 1, 1)]
     df = spark.createDataFrame(rows, "original string, current string, start_line int, end_line int")
-    got = {(r.original, r.current): (r.new_start, r.new_end, r.problem) for r in ED.rebase_ranges(df).collect()}
+    got = {(r.original, r.current): (r.new_start, r.new_end, r.problem) for r in RB.rebase_ranges(df).collect()}
     assert got[rows[0][:2]] == (3, 4, None) and got[rows[1][:2]] == (None, None, "REFERENCE_REPAIR_CONFLICT")
     assert got[rows[2][:2]] == (2, 3, None) and got[rows[3][:2]] == (1, 2, None)
 
