@@ -136,3 +136,6 @@ LOG_FILE_ERROR = r"((?:body|headings|preamble|main)\.tex):(\d+): ([^\r\n]+)"
 # Options of an insertion command that compete with a new width.
 SIZE_OPTIONS = ["width", "height", "totalheight", "scale", "keepaspectratio"]
 # ----------------------------------------------------------------------------
+
+# Collation of titles.
+TITLE_COLLATION = "zh_Hans"

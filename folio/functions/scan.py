@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # A document position is page * 2^32 + offset, so one BIGINT sorts like (page, offset).
 PAGE_SHIFT = 32
 # 256 pages per block.
@@ -128,3 +130,31 @@ def stack_height(df: DataFrame, keys: list[str], order: list[str], block: Column
 def ordinal(df: DataFrame, keys: list[str], order: list[str], block: Column, name: str) -> DataFrame:
     """1-based row number inside `keys`, without one window per group."""
     return running(df, keys, order, block, [Running(name, "sum", F.lit(1).cast("bigint"))])
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """`stem`, with underscores before it until no column of the table has that name."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = "_" + stem
+    return stem
+
+
+def ranked(df: DataFrame, order: list[Column], rank: str) -> tuple[DataFrame, int]:
+    """All rows with their place from 0 in a global order, and the number of rows.
+
+    A range shuffle sorts, the sorted table is written once, and each partition adds the number of rows before it. No
+    task holds more than its range; the driver sees one count per partition. Rows equal in every key may swap places.
+    """
+    part, at = free_name(df, "_part"), free_name(df, "_at")
+    cut = cut_lineage(
+        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn(part, F.spark_partition_id())
+        .withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = {r[0]: r[1] for r in cut.groupBy(part).count().collect()}
+    before, total = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(p, 0)
+    offsets = F.split(F.lit(",".join(map(str, before or [0]))), ",").cast("array<bigint>")
+    return cut.withColumn(rank, F.element_at(offsets, F.col(part) + 1) + F.col(at)).drop(part, at), total

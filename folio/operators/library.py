@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..session import cut_lineage
 
 
 def split_library(books: DataFrame, deleted: bool) -> DataFrame:
@@ -17,19 +18,25 @@ def title_filter(books: DataFrame, query: str) -> DataFrame:
     return books.filter(F.contains(F.lower("title"), F.lower(F.lit(query.strip()))))
 
 
-def numeric_key(title: Column, width: int = 20) -> Column:
-    """Sort key in which runs of digits compare as numbers."""
+def numeric_key(title: Column) -> Column:
+    """Sort key in which runs of digits compare as numbers: without leading zeros, after their length in eight digits."""
     runs = F.regexp_extract_all(title, F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(F.ltrim(r, F.lit("0")), width, "0")).otherwise(r)), "")
 
+    def number(digits: Column) -> Column:
+        return F.concat(F.lpad(F.length(digits).cast("string"), 8, "0"), digits)
 
-def sort_library(books: DataFrame, key: str) -> DataFrame:
-    """recent (newest first), title (numeric-aware collation) or pages (most first)."""
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), number(F.ltrim(r, F.lit("0")))).otherwise(r)), "")
+
+
+def library_keys(key: str) -> list[Column]:
+    """Sort columns of an order: recent (newest first), title (numbers by value, Chinese by pronunciation) or pages."""
     if key == "title":
-        return books.orderBy(F.collate(numeric_key(F.col("title")), "UNICODE"), "id")
-    if key == "pages":
-        return books.orderBy(F.desc("page_count"), F.desc("id"))
-    return books.orderBy(F.desc("id"))
+        return [F.collate(numeric_key(F.col("title")), P.TITLE_COLLATION), F.col("id")]
+    return [F.desc("page_count"), F.desc("id")] if key == "pages" else [F.desc("id")]
+
+
+def sort_library(books: DataFrame, key: str) -> DataFrame:
+    return books.orderBy(*library_keys(key))
 
 
 def book_state(books: DataFrame, runs: DataFrame) -> DataFrame:
@@ -69,27 +76,31 @@ def active_warnings(warnings: DataFrame, reviews: DataFrame) -> tuple[DataFrame,
     return keyed.join(waiting, ["run_id", "key"], "left_anti"), keyed.join(waiting, ["run_id", "key"], "left_semi").select("run_id", "key").distinct()
 
 
-def provenance(runs: DataFrame, assets: DataFrame, max_depth: int = 100) -> DataFrame:
-    """For each run, the nearest run on its source chain that has assets. Chains with a cycle end at the repeat.
+def provenance(runs: DataFrame, assets: DataFrame) -> DataFrame:
+    """For each run, the nearest run on its source chain that has assets, and its distance. Null where there is none,
+    also on a chain that runs into a cycle.
 
-    `runs` has run_id and source_run_id (null at the end of a chain). The walk is a recursive query whose frontier
-    shrinks: a run leaves it as soon as its assets are found.
+    `runs` has run_id and source_run_id (null at the end of a chain). Every run points up its chain, and each round
+    doubles how far: a pointer continues where the run it points to has got. A run with assets points to itself. Rounds
+    are about the logarithm of the longest chain; they end when no more runs arrive, and what is left goes in circles.
     """
-    spark = runs.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     owners = assets.select("run_id").distinct().withColumn("has", F.lit(True))
-    runs.select("run_id", "source_run_id").join(owners, "run_id", "left").select(
-        "run_id", "source_run_id", F.coalesce("has", F.lit(False)).alias("has")).createOrReplaceTempView("folio_run_chain")
-    walked = spark.sql(f"""
-        WITH RECURSIVE walk(run_id, at, next, has, depth, seen) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT run_id, run_id, source_run_id, has, 0, array(run_id) FROM folio_run_chain
-          UNION ALL
-          SELECT w.run_id, c.run_id, c.source_run_id, c.has, w.depth + 1, concat(w.seen, array(c.run_id))
-          FROM walk w JOIN folio_run_chain c ON w.next = c.run_id
-          WHERE NOT w.has AND NOT array_contains(w.seen, c.run_id))
-        SELECT run_id, at, depth, has FROM walk""")
-    found = walked.filter("has").select("run_id", F.col("at").alias("source_run"), "depth")
-    return runs.select("run_id").join(found, "run_id", "left")
+    has = F.coalesce("has", F.lit(False))
+    own = runs.select("run_id", "source_run_id").join(owners, "run_id", "left")
+    now = cut_lineage(own.select("run_id", F.when(has, F.col("run_id")).otherwise(F.col("source_run_id")).alias("at"),
+                                 F.when(has, 0).otherwise(1).alias("depth"), (has | F.col("source_run_id").isNull()).alias("done")))
+    moving = None
+    while True:
+        left = now.filter(~F.col("done")).agg(F.count("*").alias("n")).first()["n"]
+        if not left or left == moving:
+            break
+        moving = left
+        up = now.select(F.col("run_id").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
+        further = now.filter(~F.col("done")).join(up, "at", "left").select(
+            "run_id", F.col("_at").alias("at"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.coalesce("_done", F.lit(True)).alias("done"))
+        now = cut_lineage(now.filter("done").unionByName(further))
+    there = F.col("done") & F.col("at").isNotNull()
+    return now.select("run_id", F.when(there, F.col("at")).alias("source_run"), F.when(there, F.col("depth")).alias("depth"))
 
 
 def asset_inventory(manifest: DataFrame, markers: DataFrame, files: DataFrame, books: DataFrame) -> DataFrame:

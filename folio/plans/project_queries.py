@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.scan import ranked
 from ..operators import library as LB
 from ..operators import snapshots as S
 from ..session import cut_lineage, stage_folder
@@ -172,16 +173,14 @@ def title_matches(spark, sf):
 
 
 @REGISTRY.add("library_order", f"""
-SELECT id, row_number() OVER (ORDER BY id DESC) AS recent, row_number() OVER (ORDER BY id) AS title, row_number() OVER (ORDER BY page_count DESC, id DESC) AS pages FROM {BOOKS} WHERE id < 100""")
+SELECT id, row_number() OVER (ORDER BY id DESC) AS recent, row_number() OVER (ORDER BY id) AS title, row_number() OVER (ORDER BY page_count DESC, id DESC) AS pages FROM {BOOKS}""")
 def library_order(spark, sf):
-    """Places of the first hundred ids in the three orders; titles carry their numbers without padding."""
-    from pyspark.sql import Window
-
-    books = _books(spark, sf).filter("id < 100").withColumn("title", F.concat(F.lit("Book "), F.col("id").cast("string")))
-    place = lambda key, *order: F.row_number().over(Window.orderBy(*order)).cast("bigint").alias(key)
-    return books.select(
-        "id", place("recent", F.desc("id")), place("title", F.collate(LB.numeric_key(F.col("title")), "UNICODE"), F.col("id")),
-        place("pages", F.desc("page_count"), F.desc("id")))
+    """Places of all books in the three orders; titles carry their numbers without padding."""
+    books = _books(spark, sf).withColumn("title", F.concat(F.lit("Book "), F.col("id").cast("string"))).select("id", "title", "page_count")
+    for key in ("recent", "title", "pages"):
+        placed, _ = ranked(books, LB.library_keys(key), "_place")
+        books = placed.withColumn(key + "_place", F.col("_place") + 1).drop("_place")
+    return books.select("id", *[F.col(k + "_place").alias(k) for k in ("recent", "title", "pages")])
 
 
 @REGISTRY.add("sorted_library", f"SELECT id, title, page_count FROM {BOOKS} ORDER BY page_count DESC, id DESC")

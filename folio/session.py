@@ -46,12 +46,6 @@ def ship_package(spark: SparkSession) -> None:
     context._folio_shipped = True
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the files give fewer splits than there are cores; large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def stage_folder(spark: SparkSession) -> str:
     """The shared folder for stage tables: the checkpoint folder of the cluster.
 

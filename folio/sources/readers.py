@@ -169,9 +169,11 @@ def log_warnings(logs: DataFrame) -> DataFrame:
         "run_id", "ord", F.regexp_replace(F.regexp_extract("w", P.LOG_UNDEFINED_KEY, 1), r"\s+", "").alias("key"))
 
 
-def compile_verdict(logs: DataFrame, reviews: DataFrame) -> DataFrame:
+def compile_verdict(logs: DataFrame, reviews: DataFrame, tail: int | None = None) -> DataFrame:
     """TEX_ERROR, REFERENCE_ERROR or null per log (run_id, log, exit_code), warnings awaiting a person left aside.
 
+    The log comes back whole, or its last `tail` characters.
+
     Keys waiting for a person are few per run; they ride along as one array.
     """
     waiting = reviews.groupBy("run_id").agg(F.collect_set("key").alias("_keys"))
@@ -189,7 +191,7 @@ def compile_verdict(logs: DataFrame, reviews: DataFrame) -> DataFrame:
     rerun = F.col("active").rlike(P.LOG_RERUN)
     broken = F.col("active").rlike(P.LOG_UNDEFINED) | F.col("active").rlike(P.LOG_REFERENCE)
     code = F.when(F.col("exit_code") != 0, "TEX_ERROR").when(rerun | broken, "REFERENCE_ERROR")
-    return rows.select("run_id", code.alias("code"), rerun.alias("rerun"), F.right("active", F.lit(12000)).alias("log"),
+    return rows.select("run_id", code.alias("code"), rerun.alias("rerun"), (F.right("active", F.lit(tail)) if tail else F.col("active")).alias("log"),
                        F.array_sort(F.array_distinct(F.transform(F.filter(found, known), lambda w: F.regexp_replace(F.regexp_extract(w, P.LOG_UNDEFINED_KEY, 1), r"\s+", "")))).alias("deferred"))
 
 

@@ -114,3 +114,22 @@ def test_titles_sort_by_number(spark):
     books = spark.createDataFrame([(1, "Book 10", 5), (2, "Book 9", 7), (3, "book 1", 7)], "id int, title string, page_count int")
     assert [r.id for r in LB.sort_library(books, "title").collect()] == [3, 2, 1]
     assert [r.id for r in LB.sort_library(books, "pages").collect()] == [3, 2, 1]
+
+
+def test_provenance_of_a_very_long_chain(spark):
+    n = 10_000
+    runs = spark.range(n).select(F.col("id").alias("run_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("source_run_id"))
+    rings = spark.createDataFrame([(n, n + 1), (n + 1, n + 2), (n + 2, n), (n + 3, n + 1), (n + 4, 999_999)], "run_id bigint, source_run_id bigint")
+    assets = spark.createDataFrame([(0,), (7_000,)], "run_id bigint")
+    got = {r.run_id: (r.source_run, r.depth) for r in LB.provenance(runs.union(rings), assets).collect()}
+    assert len(got) == n + 5 and all(got[n + i] == (None, None) for i in range(5))
+    assert all(got[i] == ((0, i) if i < 7_000 else (7_000, i - 7_000)) for i in range(n))
+
+
+def test_digit_runs_of_any_length_sort_by_value(spark):
+    titles = ["Vol 10", "Vol 9", "Vol 0010", "Vol 1" + "0" * 30, "Vol 1" + "0" * 30 + "1", "Vol 2" + "0" * 29, "安", "李", "张"]
+    books = spark.createDataFrame([(i, t, 1) for i, t in enumerate(titles)], "id bigint, title string, page_count bigint")
+    order = [r.title for r in LB.sort_library(books, "title").collect()]
+    latin = [t for t in order if t.startswith("Vol")]
+    assert latin == ["Vol 9", "Vol 10", "Vol 0010", "Vol 2" + "0" * 29, "Vol 1" + "0" * 30, "Vol 1" + "0" * 30 + "1"]
+    assert [t for t in order if not t.startswith("Vol")] == ["安", "李", "张"]
