@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import patterns as P
 
@@ -16,11 +17,6 @@ def _truthy(value: Column) -> Column:
     return value.isNotNull() & ~value.isin("", "{}", "[]", "0", "false", "null")
 
 
-def _number(usage: Column, names: list[str]) -> Column:
-    """First of the names whose value is a number; texts and missing values are passed over."""
-    return F.coalesce(*[F.try_variant_get(usage, "$." + n, "bigint") for n in names]) if names else F.lit(None)
-
-
 def normal_usage(text: Column) -> Column:
     """input, output and cached tokens from any provider's usage JSON, unwrapping `tokens` and `total`."""
     inner = F.get_json_object(text, "$.tokens")
@@ -51,42 +47,62 @@ def fenced(text: Column) -> Column:
     return F.when(F.size(blocks) == 1, F.get(blocks, F.lit(0)))
 
 
-def parse_result(text: Column, schema: str) -> Column:
-    """A closed-schema value from an answer: the single fenced block first, then the whole text; null if neither fits."""
-    names = [f.strip().split()[0].strip("`") for f in _top_fields(schema)]
+_INTEGER, _NUMBER = r"BIGINT", r"(?:BIGINT|DOUBLE|FLOAT|DECIMAL.*)"
+
+
+def _problem(code: str, path: Column, rule: str, actual: Column) -> Column:
+    return F.struct(F.lit(code).alias("code"), path.alias("path"), F.lit(rule).alias("rule"), preview(actual).alias("actual"))
+
+
+def _no_problems() -> Column:
+    return F.expr("cast(array() as array<struct<code:string,path:string,rule:string,actual:string>>)")
+
 
+def _step(path: Column, key: Column) -> Column:
+    return F.concat(path, pointer(F.array(key.cast("string"))))
+
+
+def _typed(value: Column, kind: T.DataType, path: Column) -> Column:
+    """Problems of a variant against a type, outer ones first: wrong types, missing fields, fields outside the schema."""
+    seen, shown = F.schema_of_variant(value), F.to_json(value)
+    if isinstance(kind, T.StructType):
+        names = F.array(*[F.lit(f.name) for f in kind.fields])
+        keys = keys_of(shown)
+        missing = F.transform(F.array_except(names, keys), lambda k: _problem("missing", _step(path, k), "required", shown))
+        extra = F.transform(F.array_sort(F.array_except(keys, names)), lambda k: _problem("extra_forbidden", _step(path, k), "additionalProperties", shown))
+        inner = []
+        for f in kind.fields:
+            child = F.try_variant_get(value, "$['" + f.name + "']", "variant")
+            inner.append(F.when(child.isNotNull(), _typed(child, f.dataType, _step(path, F.lit(f.name)))).otherwise(_no_problems()))
+        return F.when(F.startswith(seen, F.lit("OBJECT")), F.concat(missing, extra, *inner)).otherwise(F.array(_problem("type", path, "object", shown)))
+    if isinstance(kind, T.ArrayType):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        inner = F.flatten(F.transform(items, lambda v, i: _typed(v, kind.elementType, _step(path, i))))
+        return F.when(F.startswith(seen, F.lit("ARRAY")), inner).otherwise(F.array(_problem("type", path, "array", shown)))
+    rule, fits = {
+        T.StringType: ("string", "STRING"), T.BooleanType: ("boolean", "BOOLEAN"), T.LongType: ("integer", _INTEGER), T.IntegerType: ("integer", _INTEGER),
+        T.DoubleType: ("number", _NUMBER)}[type(kind)]
+    return F.when(seen.rlike(f"^{fits}$"), _no_problems()).otherwise(F.array(_problem("type", path, rule, shown)))
+
+
+def _candidate_problems(candidate: Column, schema: str) -> Column:
+    value = F.try_parse_json(candidate)
+    bad = F.array(_problem("JSON_SYNTAX", F.lit(""), "json", candidate))
+    return F.when(value.isNull(), bad).otherwise(_typed(value, T.StructType.fromDDL(schema), F.lit("")))
+
+
+def parse_result(text: Column, schema: str) -> Column:
+    """A value of a closed schema (a DDL list of fields) from an answer: the single fenced block first, then the whole
+    text; null if neither fits in every field and type."""
     def parsed(candidate: Column) -> Column:
-        value = F.from_json(candidate, schema, {"mode": "PERMISSIVE"})
-        keys = keys_of(candidate)
-        closed = (F.size(F.array_except(keys, F.array(*[F.lit(n) for n in names]))) == 0) & (F.size(F.array_intersect(keys, F.array(*[F.lit(n) for n in names]))) == len(names))
-        return F.when(closed, value)
+        return F.when(F.size(_candidate_problems(candidate, schema)) == 0, F.from_json(candidate, schema))
 
     return F.coalesce(parsed(fenced(text)), parsed(text))
 
 
-def _top_fields(schema: str) -> list[str]:
-    fields, depth, current = [], 0, ""
-    for ch in schema:
-        depth += ch in "<(" 
-        depth -= ch in ">)"
-        if ch == "," and depth == 0:
-            fields.append(current)
-            current = ""
-        else:
-            current += ch
-    return [*fields, current]
-
-
-def schema_problems(text: Column, required: list[str]) -> Column:
-    """Problems of an answer as (code, path, actual): unparsable text, missing fields, fields outside the schema."""
-    candidate = F.coalesce(fenced(text), text)
-    ok = F.try_parse_json(candidate).isNotNull()
-    keys = keys_of(candidate)
-    wanted = F.array(*[F.lit(r) for r in required])
-    shape = lambda code, path, actual: F.struct(code.alias("code"), path.alias("path"), actual.alias("actual"))
-    missing = F.transform(F.array_sort(F.array_except(wanted, keys)), lambda k: shape(F.lit("missing"), pointer(F.array(k)), F.lit(None).cast("string")))
-    extra = F.transform(F.array_sort(F.array_except(keys, wanted)), lambda k: shape(F.lit("extra_forbidden"), pointer(F.array(k)), preview(F.get_json_object(candidate, "$"))))
-    return F.when(~ok, F.array(shape(F.lit("JSON_SYNTAX"), F.lit("/"), preview(candidate)))).otherwise(F.concat(missing, extra))
+def schema_problems(text: Column, schema: str) -> Column:
+    """Problems of an answer as (code, path, rule, actual): text that is no JSON, and what `_typed` finds at any depth."""
+    return _candidate_problems(F.coalesce(fenced(text), text), schema)
 
 
 def preview(text: Column, limit: int = P.PREVIEW_LENGTH) -> Column:

@@ -313,14 +313,19 @@ def exhausted_calls(spark, sf):
     return L.mark_exhausted(calls, calls.filter("retry_exhausted")).select("id", "retry_exhausted")
 
 
-_ANSWER = "CASE k % 4 WHEN 0 THEN concat('```json', chr(10), chr(123), '\"n\": ', CAST(k AS STRING), ', \"ok\": true', chr(125), chr(10), '```') WHEN 1 THEN concat(chr(123), '\"n\": ', CAST(k AS STRING), ', \"ok\": false', chr(125)) WHEN 2 THEN concat(chr(123), '\"n\": 1, \"ok\": true, \"x\": 2', chr(125)) ELSE 'no json' END"
+_OBJECT = "concat(chr(123), {}, chr(125))"
+_N = "'\"n\": ', CAST(k AS STRING), '{}'"
+_ANSWER = f"""CASE k % 7 WHEN 0 THEN concat('```json', chr(10), {_OBJECT.format(_N.format(', "ok": true'))}, chr(10), '```')
+ WHEN 1 THEN {_OBJECT.format(_N.format(', "ok": false'))} WHEN 2 THEN {_OBJECT.format("'\"n\": 1, \"ok\": true, \"x\": 2'")}
+ WHEN 3 THEN 'no json' WHEN 4 THEN {_OBJECT.format("'\"n\": \"abc\", \"ok\": 1'")} WHEN 5 THEN {_OBJECT.format("'\"n\": null, \"ok\": true'")}
+ ELSE {_OBJECT.format("'\"n\": 1.5, \"k\": true'")} END"""
 _RECEIPTS = f"SELECT id AS call_id, seq, k, {_ANSWER} AS text, usage, k % 8 = 7 AS upstream FROM ({C.CALLS}) c WHERE k % 3 <> 2"
 
 
 @REGISTRY.add("reconciled_calls", f"""
 SELECT c.id, CASE WHEN good THEN 'COMPLETED' ELSE state END AS state, CASE WHEN good THEN 'RECOVERED' ELSE 'UNKNOWN' END AS status,
  CASE WHEN NOT good AND NOT coalesce(upstream, false) THEN 'NO_UPSTREAM_RECEIPT' END AS reason
-FROM (SELECT c.*, coalesce(r.k % 4 IN (0, 1), false) AS good, r.upstream FROM {CALLS} c LEFT JOIN {C.duck(_RECEIPTS)} r ON r.call_id = c.id) c
+FROM (SELECT c.*, coalesce(r.k % 7 IN (0, 1), false) AS good, r.upstream FROM {CALLS} c LEFT JOIN {C.duck(_RECEIPTS)} r ON r.call_id = c.id) c
 WHERE state IN ('RESERVED', 'RESULT_UNKNOWN') AND agent IS NULL""")
 def reconciled_calls(spark, sf):
     found = L.reconcile(_calls(spark, sf), C.frame(spark, sf, _RECEIPTS), "n bigint, ok boolean")
@@ -328,12 +333,13 @@ def reconciled_calls(spark, sf):
 
 
 @REGISTRY.add("parsed_results", f"""
-SELECT call_id, CASE WHEN k % 4 IN (0, 1) THEN k END AS n, CASE WHEN k % 4 IN (0, 1) THEN k % 4 = 0 END AS ok,
- CASE k % 4 WHEN 2 THEN 'extra_forbidden /x' WHEN 3 THEN 'JSON_SYNTAX /' ELSE '' END AS problems FROM {C.duck(_RECEIPTS)}""")
+SELECT call_id, CASE WHEN k % 7 IN (0, 1) THEN k END AS n, CASE WHEN k % 7 IN (0, 1) THEN k % 7 = 0 END AS ok,
+ CASE k % 7 WHEN 2 THEN 'extra_forbidden /x additionalProperties' WHEN 3 THEN 'JSON_SYNTAX  json' WHEN 4 THEN 'type /n integer;type /ok boolean'
+  WHEN 5 THEN 'type /n integer' WHEN 6 THEN 'missing /ok required;extra_forbidden /k additionalProperties;type /n integer' ELSE '' END AS problems FROM {C.duck(_RECEIPTS)}""")
 def parsed_results(spark, sf):
     rows = C.frame(spark, sf, _RECEIPTS)
     value = J.parse_result(F.col("text"), "n bigint, ok boolean")
-    problems = F.transform(J.schema_problems(F.col("text"), ["n", "ok"]), lambda p: F.concat_ws(" ", p["code"], p["path"]))
+    problems = F.transform(J.schema_problems(F.col("text"), "n bigint, ok boolean"), lambda p: F.concat_ws(" ", p["code"], p["path"], p["rule"]))
     return rows.select("call_id", value["n"].alias("n"), value["ok"].alias("ok"), F.array_join(problems, ";").alias("problems"))
 
 

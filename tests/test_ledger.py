@@ -133,3 +133,21 @@ def test_digit_runs_of_any_length_sort_by_value(spark):
     latin = [t for t in order if t.startswith("Vol")]
     assert latin == ["Vol 9", "Vol 10", "Vol 0010", "Vol 2" + "0" * 29, "Vol 1" + "0" * 30, "Vol 1" + "0" * 30 + "1"]
     assert [t for t in order if not t.startswith("Vol")] == ["安", "李", "张"]
+
+
+def test_answers_are_checked_at_every_depth(spark):
+    schema = "title string, `a/b~c` array<bigint>, box struct<x: double, tags: array<string>>"
+    good = {"title": "t", "a/b~c": [1, 2], "box": {"x": 1, "tags": []}}
+    cases = [
+        (good, []),
+        (good | {"a/b~c": [1, "wrong"], "extra": True}, [("extra_forbidden", "/extra"), ("type", "/a~1b~0c/1")]),
+        ({"title": 1, "a/b~c": {}, "box": {"x": "1", "tags": ["a", None]}}, [("type", "/title"), ("type", "/a~1b~0c"), ("type", "/box/x"), ("type", "/box/tags/1")]),
+        ({"title": None, "box": {"tags": [], "y": 2, "x": 0.5}}, [("missing", "/a~1b~0c"), ("type", "/title"), ("extra_forbidden", "/box/y")]),
+        ([1], [("type", "")]), (3, [("type", "")]), (None, [("type", "")]),
+    ]
+    rows = [(i, json.dumps(v)) for i, (v, _) in enumerate(cases)] + [(len(cases), "{"), (len(cases) + 1, "")]
+    table = spark.createDataFrame(rows, "i int, t string")
+    got = table.select("i", J.schema_problems(F.col("t"), schema).alias("p"), J.parse_result(F.col("t"), schema).alias("v")).orderBy("i").collect()
+    for row, want in zip(got, [w for _, w in cases] + [[("JSON_SYNTAX", "")]] * 2):
+        assert [(p.code, p.path) for p in row.p] == want and (row.v is not None) == (want == [])
+    assert got[1].p[1].rule == "integer" and got[1].p[1].actual == '"wrong"'
