@@ -25,6 +25,19 @@ def matches(text: Column, pattern: str) -> Column:
     return once(text, lambda t: _placed(t, pattern))
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of an array's elements up to each place.
+
+    Each round adds what stands 1, 2, 4, ... places before, so the cost is that of a few passes, not of growing copies.
+    """
+    def rounds(x: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(x))).cast("int") - 1)
+        return F.aggregate(steps, x, lambda acc, k: F.transform(
+            acc, lambda v, i: v + F.coalesce(F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))))
+
+    return once(values, lambda x: F.when(F.size(x) < 2, x).otherwise(rounds(x)))
+
+
 def _placed(text: Column, pattern: str) -> Column:
     steps = F.zip_with(
         F.split(text, pattern, -1),
@@ -35,22 +48,15 @@ def _placed(text: Column, pattern: str) -> Column:
             t.alias("token"),
         ),
     )
-    zero = F.struct(
-        F.lit(0).alias("pos"), F.lit(1).alias("line"),
-        F.expr("cast(array() as array<struct<token:string,start:int,line:int>>)").alias("out"),
-    )
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + x["gap"]
-        line = acc["line"] + x["breaks"]
-        item = F.struct(x["token"].alias("token"), start.alias("start"), line.alias("line"))
-        return F.struct(
-            (start + F.length(x["token"])).alias("pos"), line.alias("line"),
-            F.concat(acc["out"], F.array(item)).alias("out"),
-        )
+    def place(found: Column) -> Column:
+        ends = running_sums(F.transform(found, lambda x: x["gap"] + F.length(x["token"])))
+        breaks = running_sums(F.transform(found, lambda x: x["breaks"]))
+        return once(F.struct(ends.alias("ends"), breaks.alias("breaks")), lambda at: F.transform(found, lambda x, i: F.struct(
+            x["token"].alias("token"), (F.get(at["ends"], i) - F.length(x["token"])).alias("start"), (F.get(at["breaks"], i) + 1).alias("line"))))
 
     # The piece behind the last match has no token.
-    return F.aggregate(F.filter(steps, lambda x: x["token"].isNotNull()), zero, step, lambda acc: acc["out"])
+    return once(F.filter(steps, lambda x: x["token"].isNotNull()), place)
 
 
 def _blank(text: Column, pattern: str) -> Column:

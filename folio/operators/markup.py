@@ -190,15 +190,13 @@ def space_view(frame: DataFrame, text: str) -> DataFrame:
     `runs` lists the kept pieces as (start in the view, start in the source), enough to map any offset back.
     """
     gaps = X.matches(F.col(text), r"[ \t]+(?=\r?\n)")
-    starts = F.concat(
-        F.array(F.struct(F.lit(0).alias("source"), F.lit(0).alias("removed"))),
-        F.transform(gaps, lambda g: F.struct(
-            (g["start"] + F.length(g["token"])).alias("source"), F.length(g["token"]).alias("removed"))),
-    )
-    runs = F.transform(starts, lambda s, i: F.struct(
-        (s["source"] - F.aggregate(F.slice(starts, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x["removed"])).alias("view"),
-        s["source"].alias("source"),
-    ))
+    def placed(found: Column) -> Column:
+        removed = X.running_sums(F.transform(found, lambda g: F.length(g["token"])))
+        first = F.array(F.struct(F.lit(0).alias("view"), F.lit(0).alias("source")))
+        return F.concat(first, X.once(removed, lambda sums: F.transform(found, lambda g, i: X.once(
+            g["start"] + F.length(g["token"]), lambda source: F.struct((source - F.get(sums, i)).alias("view"), source.alias("source"))))))
+
+    runs = X.once(gaps, placed)
     return frame.withColumn("view", X.space_view(F.col(text))).withColumn("runs", runs)
 
 
