@@ -139,3 +139,6 @@ SIZE_OPTIONS = ["width", "height", "totalheight", "scale", "keepaspectratio"]
 
 # Collation of titles.
 TITLE_COLLATION = "zh_Hans"
+
+# Heading and figure records in a text.
+RECORD_MARKER = r"\\(?:BAHeading|BAFigure)\{[^{}]+\}"

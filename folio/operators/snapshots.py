@@ -54,24 +54,32 @@ def safe_path(path: Column, suffixes: list[str] | None = None) -> Column:
         (path != "") & ~F.contains(path, F.lit("\\")) & ~bad & suffix_of(path).isin([*(suffixes or P.PROJECT_SUFFIXES), ".md"]), F.lit(False))
 
 
-def _numbered_lines(parts: DataFrame, order: str) -> DataFrame:
-    """Lines of a project's parts, numbered through the whole project."""
-    lined = parts.withColumn("_lines", X.keep_lines(F.col("content"))).withColumn("_n", F.size("_lines").cast("bigint"))
-    placed = running(lined, ["project_id"], [order], F.floor(F.col(order) / 1024), [Running("_upto", "sum", F.col("_n"))])
-    return placed.select("project_id", (F.col("_upto") - F.col("_n")).alias("_base"), F.posexplode("_lines").alias("i", "line")).select(
-        "project_id", (F.col("_base") + F.col("i")).alias("line_no"), "line")
+# Characters that are compared at once.
+BLOCK = 4096
+
+
+def _blocks(parts: DataFrame, order: str) -> DataFrame:
+    """The text of each project, cut into blocks of equal length wherever its parts were cut."""
+    sized = parts.select("project_id", order, "content", F.length("content").cast("bigint").alias("_n"))
+    placed = running(sized, ["project_id"], [order], F.floor(F.col(order) / 1024), [Running("_end", "sum", F.col("_n"))]).filter("_n > 0")
+    spread = placed.withColumn("_start", F.col("_end") - F.col("_n")).withColumn(
+        "block", F.explode(F.sequence(F.floor(F.col("_start") / BLOCK), F.floor((F.col("_end") - 1) / BLOCK))))
+    low, high = F.greatest("_start", F.col("block") * BLOCK), F.least("_end", (F.col("block") + 1) * BLOCK)
+    pieces = spread.select("project_id", "block", F.struct(
+        low.alias("at"), F.substr("content", (low - F.col("_start") + 1).cast("int"), (high - low).cast("int")).alias("text")).alias("piece"))
+    return pieces.groupBy("project_id", "block").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["text"]), "").alias("text"))
 
 
 def reassembles(fragments: DataFrame, originals: DataFrame, order: str = "ord") -> DataFrame:
-    """Whether the fragments of each project, in order, give the original body exactly.
+    """Whether the fragments of each project, in order, give the original body exactly, wherever they are cut.
 
-    Fragments end at line ends (`boundary_errors` says where not), so bodies are compared line by line in a join and
-    no project is glued together.
+    Both sides are compared block by block, so no project is glued together.
     """
-    a = _numbered_lines(fragments, order).withColumnRenamed("line", "_a")
-    b = _numbered_lines(originals, order).withColumnRenamed("line", "_b")
-    compared = a.join(b, ["project_id", "line_no"], "full")
-    return compared.groupBy("project_id").agg(F.bool_and(F.col("_a").eqNullSafe(F.col("_b"))).alias("same"))
+    a, b = (_blocks(x, order).withColumnRenamed("text", n) for x, n in ((fragments, "_a"), (originals, "_b")))
+    differ = a.join(b, ["project_id", "block"], "full").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("project_id").distinct()
+    known = fragments.select("project_id").union(originals.select("project_id")).distinct()
+    return known.join(differ.withColumn("_differs", F.lit(True)), "project_id", "left").select("project_id", F.col("_differs").isNull().alias("same"))
 
 
 def boundary_errors(fragments: DataFrame, order: str = "ord") -> DataFrame:

@@ -296,10 +296,11 @@ WITH e AS (SELECT *, CASE page % 6 WHEN 0 THEN 'We argue.' WHEN 1 THEN 'Opening
   CASE page % 6 WHEN 0 THEN 'We argue.' || chr(92) || 'end{{proof}}' WHEN 4 THEN chr(92) || 'begin{{lemma}}Opening words.' || chr(10) ELSE 'Opening  words.' || chr(10) END AS new FROM ({C.TEX_PAGES})),
 c AS (SELECT *, CASE WHEN page % 11 = 0 THEN 'SEAM_PAGE_SCOPE' WHEN (length(tex) - length(replace(tex, old, ''))) / length(old) <> 1 THEN 'STALE_PATCH'
   WHEN page % 6 = 1 THEN 'EMPTY_PATCH' WHEN page % 6 = 2 THEN 'SEAM_CONTENT_CHANGE' END AS problem FROM e)
-SELECT book_id, page, CASE WHEN problem IS NULL THEN replace(tex, old, new) ELSE tex END AS tex, problem FROM c""")
+SELECT book_id, page, CASE WHEN bool_or(problem IS NOT NULL) OVER (PARTITION BY book_id, page // 2) THEN tex ELSE replace(tex, old, new) END AS tex, problem FROM c""")
 def unique_replacements(spark, sf):
+    """Each action edits two neighbouring pages, or none of them."""
     pages = C.tex_pages(spark, sf)
-    return ED.apply_page_edits(pages, _page_edits(pages))
+    return ED.apply_page_edits(pages, _page_edits(pages).withColumn("action_id", F.floor(F.col("page") / 2)))
 
 
 def _equal_start(a, b):

@@ -68,7 +68,7 @@ def live_sliding_usage(spark, sf):
 
 @REGISTRY.add("live_status", f"SELECT run_id, purpose, coalesce(task_id, input_hash, id) AS request, arg_max(state, seq) AS state, max(seq) AS seq FROM {CALLS} GROUP BY ALL")
 def live_status(spark, sf):
-    return _finish(spark, V.live_status(_calls(spark, sf)), ["run_id", "purpose", "request"])
+    return V.latest_status(_finish(spark, V.live_status(_calls(spark, sf)), ["span", "run_id", "purpose", "request"]))
 
 
 @REGISTRY.add("activity_sessions", f"""
@@ -83,4 +83,4 @@ def activity_sessions(spark, sf):
 
 @REGISTRY.add("live_attempts", f"SELECT run_id, task_id, purpose, count(*) AS used, count(*) >= 8 AS exhausted FROM {CALLS} WHERE repair AND task_id IS NOT NULL GROUP BY ALL")
 def live_attempts(spark, sf):
-    return _finish(spark, V.live_attempts(_calls(spark, sf)), ["run_id", "task_id", "purpose"])
+    return V.all_attempts(_finish(spark, V.live_attempts(_calls(spark, sf)), ["span", "run_id", "task_id", "purpose"]))

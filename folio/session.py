@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pathlib
+import re
 import tempfile
 import uuid
 import zipfile
@@ -49,12 +50,14 @@ def ship_package(spark: SparkSession) -> None:
 def stage_folder(spark: SparkSession) -> str:
     """The shared folder for stage tables: the checkpoint folder of the cluster.
 
-    A temporary folder is used only where `spark.checkpoint.dir` is unset, as in tests.
+    Only in local mode, as in tests, an unset `spark.checkpoint.dir` gives way to a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -68,5 +71,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     pruning, filter pushdown and sizes.
     """
     path = f"{stage_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    _STAGES.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_STAGES: list[str] = []
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the stage tables that this application wrote, once nothing reads them any more."""
+    jvm = spark._jvm
+    while _STAGES:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

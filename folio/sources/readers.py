@@ -42,9 +42,9 @@ def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
     return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "modificationTime")
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """Per-batch JSON files, one row per batch, with the file each came from."""
-    return spark.read.schema(BATCH).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+def read_batches(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """Batches of JSON files, one row per batch, with the file each came from; a file is a batch, or each of its lines."""
+    return spark.read.schema(BATCH).option("multiLine", not by_line).json(path).withColumn("file", F.input_file_name())
 
 
 def batch_pages(batches: DataFrame) -> DataFrame:

@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 
 
+def _versions(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """Numbers of the versions of a table: all, and those that are complete."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in files.listStatus(folder)] if files.exists(folder) else []
+    named = [(int(f.getName()[1:]), f) for f in found if re.fullmatch(r"v\d+", f.getName())]
+    return [n for n, _ in named], [n for n, f in named if files.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+
+
 def write_table(df: DataFrame, path: str) -> None:
-    """Replace a table as one job; readers see the old or the new one by the commit protocol."""
-    df.write.mode("overwrite").parquet(path)
+    """Replace a table: a new version beside the old ones, which readers see once it is complete.
+
+    A write that fails changes nothing. Old versions stay until someone deletes them. One writer at a time is assumed.
+    """
+    known, _ = _versions(df.sparkSession, path)
+    df.write.parquet(f"{path}/v{max(known, default=0) + 1}")
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The latest complete version of a table."""
+    _, complete = _versions(spark, path)
+    return spark.read.parquet(f"{path}/v{max(complete)}")
 
 
 def render_pages(pages: DataFrame, headings: DataFrame) -> DataFrame:

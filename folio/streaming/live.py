@@ -36,12 +36,20 @@ def live_usage(calls: DataFrame, window: str, slide: str | None = None, delay: s
         .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "provider", "count", "failed", "input", "output"))
 
 
-def live_status(calls: DataFrame) -> DataFrame:
-    """Latest state per request; an update stream for `write_updates`."""
-    return request_key(calls).groupBy("run_id", "purpose", "request").agg(
+def live_status(calls: DataFrame, span: str = "1 day", delay: str = DELAY) -> DataFrame:
+    """Latest state per request and span of time; an update stream for `write_updates`, to be read by `latest_status`.
+
+    Spans that the watermark has passed leave the state, so it does not grow with all requests ever made.
+    """
+    return request_key(calls).withWatermark("ts", delay).groupBy(F.window("ts", span)["start"].alias("span"), "run_id", "purpose", "request").agg(
         F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"))
 
 
+def latest_status(rows: DataFrame) -> DataFrame:
+    """The latest state per request over all spans."""
+    return rows.groupBy("run_id", "purpose", "request").agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"))
+
+
 def activity_sessions(events: DataFrame, gap: str, delay: str = DELAY) -> DataFrame:
     """Spans of activity per run, closed by a gap."""
     return (
@@ -49,10 +57,15 @@ def activity_sessions(events: DataFrame, gap: str, delay: str = DELAY) -> DataFr
         .select("run_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "events"))
 
 
-def live_attempts(calls: DataFrame, cap: int = P.REPAIR_LIMIT) -> DataFrame:
-    """Repairs per task so far and whether the cap is reached; an update stream."""
-    return calls.filter(F.col("repair") & F.col("task_id").isNotNull()).groupBy("run_id", "task_id", "purpose").agg(
-        F.count("*").alias("used")).withColumn("exhausted", F.col("used") >= cap)
+def live_attempts(calls: DataFrame, span: str = "1 day", delay: str = DELAY) -> DataFrame:
+    """Repairs per task and span of time; an update stream, to be read by `all_attempts`."""
+    repairs = calls.filter(F.col("repair") & F.col("task_id").isNotNull()).withWatermark("ts", delay)
+    return repairs.groupBy(F.window("ts", span)["start"].alias("span"), "run_id", "task_id", "purpose").agg(F.count("*").alias("used"))
+
+
+def all_attempts(rows: DataFrame, cap: int = P.REPAIR_LIMIT) -> DataFrame:
+    """Repairs per task so far and whether the cap is reached."""
+    return rows.groupBy("run_id", "task_id", "purpose").agg(F.sum("used").alias("used")).withColumn("exhausted", F.col("used") >= cap)
 
 
 # --- sinks ------------------------------------------------------------------
