@@ -144,7 +144,8 @@ def repairable(assets: DataFrame, books: DataFrame) -> DataFrame:
 def check_counters(rules: DataFrame, seeds: DataFrame, setups: DataFrame) -> DataFrame:
     """COUNTER_RULE: repeated rule or seed, a level the class lacks, an impossible share, or a cycle.
 
-    `rules` are a book's own; cycles are looked for in the effective rules, reached from the book's own names.
+    `rules` are a book's own, in the order `ord`; of repeated rules the last one holds. Cycles are looked for in the
+    effective rules, reached from the book's own names.
     """
     from .scope import effective_rules
 
@@ -159,7 +160,8 @@ def check_counters(rules: DataFrame, seeds: DataFrame, setups: DataFrame) -> Dat
         & (~F.col("name").isin(P.THEOREMS) | ~F.col("shared_with").isin(P.THEOREMS) | (F.col("shared_with") == F.col("name")) | (F.col("reset_by") != ""))
     ).withColumn("_d", F.concat(F.lit("share of "), "name"))
     # Only theorem-like defaults take part in the search, as counters without a rule end a chain.
-    once = rules.dropDuplicates(["book_id", "name"])
+    fields = ["reset_by", "shared_with", "style", "prefix_parent"]
+    once = rules.groupBy("book_id", "name").agg(F.max_by(F.struct(*fields), "ord").alias("r")).select("book_id", "name", "r.*")
     effective = effective_rules(once, setups).filter(F.col("name").isin(P.THEOREMS)).unionByName(
         once.filter(~F.col("name").isin(P.THEOREMS)).select("book_id", "name", "reset_by", "shared_with", "style", "prefix_parent"))
     cyclic = counter_closure(effective).filter("cyclic").join(once.select("book_id", "name"), ["book_id", "name"], "left_semi").withColumn(

@@ -160,7 +160,13 @@ def materialise_counters(steps: DataFrame, rules: DataFrame, seeds: DataFrame, a
     are known from their last step, so the data is scanned three times, however deep the nesting.
 
     `appendix` (book_id, id) names the heading that starts the appendix: its counter begins again, in capital letters.
+    In a book with a cycle of rules nothing can be counted: `cyclic` is true there, value and number are null.
     """
+    rings = counter_closure(rules).filter("cyclic").select("book_id").distinct()
+    uncounted = steps.join(rings, "book_id", "left_semi").select(
+        "book_id", "page", "start", "id", "counter", F.lit(None).cast("bigint").alias("value"), F.lit(None).cast("string").alias("visible_number"),
+        F.lit(True).alias("cyclic"))
+    steps, rules = steps.join(rings, "book_id", "left_anti"), rules.join(rings, "book_id", "left_anti")
     books = _rule_map(rules)
     chains = F.map_from_entries(F.transform(F.map_keys("rules"), lambda n: F.struct(n, _walk(F.col("rules"), n)["seen"])))
     # One small row per book, read by every step below.
@@ -175,7 +181,7 @@ def materialise_counters(steps: DataFrame, rules: DataFrame, seeds: DataFrame, a
     # Each counter also sees the steps of the counters above it, as resets.
     below = books.select("book_id", "rules", "chains", F.explode(F.map_keys("rules")).alias("below"))
     links = below.filter(shared_by(F.col("below")) == "").select(
-        "book_id", "below", F.explode(F.slice(F.try_element_at(F.col("chains"), F.col("below")), 2, 99)).alias("root"))
+        "book_id", "below", F.explode(F.slice(F.try_element_at(F.col("chains"), F.col("below")), 2, 2147483646)).alias("root"))
     resets = own.join(links, ["book_id", "root"]).select("book_id", "pos", F.col("below").alias("stream"), F.lit(1).alias("reset"))
     counted = own.select("book_id", "pos", F.col("root").alias("stream"), F.lit(0).alias("reset"))
     starts = own.limit(0).select("book_id", F.col("pos").alias("_app_pos"), F.col("root").alias("_app_root"))
@@ -209,7 +215,7 @@ def materialise_counters(steps: DataFrame, rules: DataFrame, seeds: DataFrame, a
     def value_now(name: Column) -> Column:
         """0 after a reset by a counter above it, the seed before the first step."""
         reset_at = F.aggregate(
-            F.slice(F.try_element_at(F.col("chains"), name), 2, 99), F.lit(-1).cast("bigint"),
+            F.slice(F.try_element_at(F.col("chains"), name), 2, 2147483646), F.lit(-1).cast("bigint"),
             lambda acc, up: F.greatest(acc, F.coalesce(F.try_element_at(F.col("_last"), up)["pos"], F.lit(-1))))
         mine = F.try_element_at(F.col("_last"), name)
         return (
@@ -231,4 +237,5 @@ def materialise_counters(steps: DataFrame, rules: DataFrame, seeds: DataFrame, a
             (acc["go"] & rule_of(n)["prefix_parent"]).alias("go")),
         lambda acc: acc["n"])
     visible = F.array_join(F.reverse(F.slice(parts, F.lit(1), shown)), ".")
-    return above.select("book_id", "page", "start", "id", "counter", "value", visible.alias("visible_number"))
+    counted = above.select("book_id", "page", "start", "id", "counter", "value", visible.alias("visible_number"), F.lit(False).alias("cyclic"))
+    return counted.unionByName(uncounted)

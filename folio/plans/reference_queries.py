@@ -343,7 +343,7 @@ def counter_closure(spark, sf):
 _STEPS = f"""(SELECT m.book_id, m.page, m.start, h.level AS counter FROM ({C.DUCK_MARKERS}) m JOIN {C.duck(C.HEADINGS)} h ON m.book_id = h.book_id AND m.key = h.id WHERE command = 'BAHeading'
 UNION ALL SELECT book_id, page, start, CASE name WHEN 'displaymath' THEN 'equation' ELSE name END FROM ({C.DUCK_ENV_TOKENS}) WHERE op = 'begin' AND name <> 'proof')"""
 
-# Books whose rules have a cycle are reported by the closure, not numbered.
+# Every fifth book's rules have a cycle.
 _ROOT = "CASE WHEN e.shared_with <> '' THEN e.shared_with ELSE e.name END"
 
 
@@ -353,10 +353,11 @@ up AS (SELECT book_id, name, reset_by AS above FROM eff WHERE shared_with = '' A
  UNION ALL SELECT u.book_id, u.name, e.reset_by FROM up u JOIN eff e ON e.book_id = u.book_id AND e.name = u.above WHERE e.reset_by <> ''),
 st AS MATERIALIZED (SELECT s.*, CAST(s.page * 4294967296 + s.start AS BIGINT) AS pos, {_ROOT} AS root FROM {_STEPS} s JOIN eff e ON e.book_id = s.book_id AND e.name = s.counter),
 seg AS (SELECT s.*, (SELECT coalesce(max(r.pos), -1) FROM st r JOIN up u ON u.book_id = r.book_id AND u.name = s.root AND u.above = r.root WHERE r.book_id = s.book_id AND r.pos < s.pos) AS reset_at FROM st s)
-SELECT book_id, page, start, counter, CAST(row_number() OVER (PARTITION BY book_id, root, reset_at ORDER BY pos) + CASE WHEN reset_at = -1 THEN coalesce(seed, 0) ELSE 0 END AS BIGINT) AS value
-FROM seg LEFT JOIN (SELECT book_id AS sb, name AS sn, value AS seed FROM {C.duck(SEEDS)}) z ON sb = book_id AND sn = root""")
+SELECT book_id, page, start, counter, CAST(row_number() OVER (PARTITION BY book_id, root, reset_at ORDER BY pos) + CASE WHEN reset_at = -1 THEN coalesce(seed, 0) ELSE 0 END AS BIGINT) AS value, false AS cyclic
+FROM seg LEFT JOIN (SELECT book_id AS sb, name AS sn, value AS seed FROM {C.duck(SEEDS)}) z ON sb = book_id AND sn = root
+UNION ALL SELECT book_id, page, start, counter, NULL, true FROM {_STEPS} WHERE book_id % 5 = 4""")
 def counter_values(spark, sf):
-    return _counted(spark, sf).select("book_id", "page", "start", "counter", "value")
+    return _counted(spark, sf).select("book_id", "page", "start", "counter", "value", "cyclic")
 
 
 def _counted(spark, sf):
@@ -367,7 +368,7 @@ def _counted(spark, sf):
     opens = M.env_tokens(pages).filter((F.col("op") == "begin") & (F.col("name") != "proof")).select(
         "book_id", "page", F.col("start").cast("bigint"), F.concat(F.lit("env-"), "page", F.lit("-"), "ordinal").alias("id"),
         F.when(F.col("name") == "displaymath", "equation").otherwise(F.col("name")).alias("counter"))
-    steps = cut_lineage(marks.unionByName(opens).filter(F.col("book_id") % 5 != 4))
+    steps = cut_lineage(marks.unionByName(opens))
     rules = S.effective_rules(C.frame(spark, sf, RULES), C.frame(spark, sf, SETUPS))
     return S.materialise_counters(steps, rules, C.frame(spark, sf, SEEDS))
 
