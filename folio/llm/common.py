@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.scan import free_name as unused
+from folio.functions.scan import ranked
 from folio.session import cut_lineage
 
+__all__ = ["WORD", "bound", "ranked", "stage", "text_of", "uniform_hash", "unused", "word_count"]
+
 # Words are runs of anything but these ASCII spaces (fixed value of the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,14 +20,6 @@ def stage(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def unused(df: DataFrame, stem: str) -> str:
-    """`stem`, with underscores before it until no column of the table has that name."""
-    taken = {c.lower() for c in df.columns}
-    while stem.lower() in taken:
-        stem = "_" + stem
-    return stem
-
-
 def text_of(column: str | Column) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -39,26 +35,6 @@ def uniform_hash(key: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def ranked(df: DataFrame, order: list[Column], rank: str) -> tuple[DataFrame, int]:
-    """All rows with their place from 0 in a global order, and the number of rows.
-
-    A range shuffle sorts, the sorted table is written once, and each partition adds the number of rows before it. No
-    task holds more than its range; the driver sees one count per partition. Rows equal in every key may swap places.
-    """
-    part, at = unused(df, "_part"), unused(df, "_at")
-    cut = stage(
-        df.repartitionByRange(*order).sortWithinPartitions(*order)
-        .withColumn(part, F.spark_partition_id())
-        .withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    counts = {r[0]: r[1] for r in cut.groupBy(part).count().collect()}
-    before, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        before.append(total)
-        total += counts.get(p, 0)
-    offsets = F.split(F.lit(",".join(map(str, before or [0]))), ",").cast("array<bigint>")
-    return cut.withColumn(rank, F.element_at(offsets, F.col(part) + 1) + F.col(at)).drop(part, at), total
-
-
 def bound(value: Column, use) -> Column:
     """`use(value)` with the value computed once; a plain column may be computed again wherever a lambda names it."""
     return F.transform(F.array(value), use)[0]
