@@ -100,7 +100,7 @@ class Lexicon:
         """The best term for a word: fewest edits, then most weight, then the term itself; -1 edits marks a stem."""
         now, best = self._start, None
         for at, letter in enumerate(word):
-            if len(self._states) > 200_000:
+            if len(self._states) > 50_000:
                 # Transitions are a cache; a fresh one gives the same answers.
                 self._states, self._numbers, self._next = [], {}, []
                 self._start = self._number(self._closed({0: 0}))
@@ -150,7 +150,7 @@ class Matcher:
 
     def match(self, raw: str) -> tuple[str, float, int] | None:
         if raw not in self.known:
-            if len(self.known) > 500_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             word = bare(raw)
             found = self.lexicon.find(word) if word else None
