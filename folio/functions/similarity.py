@@ -9,17 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CHUNK = 256
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Matching-block ratio of two strings; the second one is the sequence searched for."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)])
-
-
 def _bounds(keys, pool) -> np.ndarray:
     """Upper bound of the ratio for each pair: twice the shared characters, whatever their order, over both lengths."""
     alphabet = {c: i for i, c in enumerate(sorted(set("".join(keys)) | set("".join(pool))))}
