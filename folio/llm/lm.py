@@ -9,7 +9,9 @@ them on held-out counts: each training token is predicted from the counts withou
 
 Counting moves packed arrays instead of rows. Texts are cut into chunks. Of a chunk's distinct words and word pairs,
 sorted by hash, each range of hashes goes with its training counts to one task as one compressed value. That task
-adds up the counts of all chunks and answers every chunk with the totals; the answers meet the chunk's words again.
+adds up the counts of all chunks and answers every chunk with the totals; the answers meet the chunk's words, which are
+read a second time instead of being shuffled twice. So the input has to give the same rows in the same partitions
+each time, as a scan of files does; write other inputs to a table first. A difference is noticed and ends the job.
 All counts are over all documents. Only sums, and a histogram of fixed size for the weights, reach the driver.
 
 Tokens are words of the ASCII-lower-cased text, then one end per text; 62 bits of a hash stand for a word or pair. Null
@@ -28,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,48 +98,67 @@ SENT = "range int, chunk long, kind int, first int, keys binary, counts binary,
 SENT_NAMES = [c.split(" ")[0] for c in SENT.split(", ")]
 
 
-def _sender(ranges: int):
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of a partition in numbered chunks; the same rows give the same chunks when they are read again."""
+    chunk, size = None, 0
+    held: list[tuple] = []
+    for batch in batches:
+        for *row, part in zip(*(c.to_pylist() for c in batch.columns)):
+            chunk = part << 32 if chunk is None else chunk
+            held.append(row)
+            size += len(row[1])
+            if size >= CHUNK_BYTES:
+                yield chunk, held
+                held, size, chunk = [], 0, chunk + 1
+    if held:
+        yield chunk, held
+
+
+def _tokens_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _read([text.encode("utf-8", "surrogatepass") for _, text, _ in rows])
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], SENT_NAMES)
+
+
+def _requests(ranges: int):
+    """Distinct keys of each chunk with their training counts, a row for each range of hashes."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The same rows give the same chunks when a lost task is run again.
-        chunk = TaskContext.get().partitionId() << 32
-        held: list[tuple] = []
-        size = 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                held.append(row)
-                size += len(row[1])
-                if size >= CHUNK_BYTES:
-                    yield build(held, chunk)
-                    held, size, chunk = [], 0, chunk + 1
-        if held:
-            yield build(held, chunk)
-
-    def build(rows: list[tuple], chunk: int) -> pa.RecordBatch:
-        ids, texts, training = zip(*rows)
-        hashes, tokens, lengths = _read([t.encode("utf-8", "surrogatepass") for t in texts])
-        word, _, pair = _keys(hashes[tokens], lengths)
-        learned = np.repeat(np.array(training, bool), lengths)
-        keys = _request(word, pair)
-        counts = np.zeros(len(keys), np.uint32)
-        seen = np.sort(np.concatenate((word[learned], pair[learned])))
-        if len(seen):
-            starts = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1])))
-            counts[np.searchsorted(keys, seen[starts])] = np.diff(np.append(starts, len(seen)))
-        counts[np.searchsorted(keys, BEGIN)] = sum(training)
+        for chunk, rows in _chunks(batches):
+            training = [r[2] for r in rows]
+            hashes, tokens, lengths = _tokens_of(rows)
+            word, _, pair = _keys(hashes[tokens], lengths)
+            learned = np.repeat(np.array(training, bool), lengths)
+            keys = _request(word, pair)
+            counts = np.zeros(len(keys), np.uint32)
+            seen = np.sort(np.concatenate((word[learned], pair[learned])))
+            if len(seen):
+                starts = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1])))
+                counts[np.searchsorted(keys, seen[starts])] = np.diff(np.append(starts, len(seen)))
+            counts[np.searchsorted(keys, BEGIN)] = sum(training)
+            edges = _edges(keys, ranges)
+            sent = []
+            for r in np.flatnonzero(edges[1:] > edges[:-1]):
+                a, b = edges[r], edges[r + 1]
+                steps = np.diff(keys[a:b], prepend=np.uint64(0))
+                sent.append((int(r), chunk, ANSWER, int(a), _squeeze(steps), _squeeze(counts[a:b]), None))
+            yield _sent(sent)
+
+    return send
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of each chunk, and which rows they are of."""
+    for chunk, rows in _chunks(batches):
+        ids, _, training = zip(*rows)
+        hashes, tokens, lengths = _tokens_of(rows)
         meta = pa.BufferOutputStream()
         table = pa.record_batch([pa.array(ids, pa.int64()), pa.array(training, pa.bool_()), pa.array(lengths)], ["id", "training", "tokens"])
         with pa.ipc.new_stream(meta, table.schema) as out:
             out.write_batch(table)
-        sent = [(chunk % ranges, chunk, CHUNK, len(keys), _squeeze(hashes), _squeeze(tokens), meta.getvalue().to_pybytes())]
-        edges = _edges(keys, ranges)
-        for r in np.flatnonzero(edges[1:] > edges[:-1]):
-            a, b = edges[r], edges[r + 1]
-            steps = np.diff(keys[a:b], prepend=np.uint64(0))
-            sent.append((int(r), chunk, ANSWER, int(a), _squeeze(steps), _squeeze(counts[a:b]), None))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sent), (
-            pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], SENT_NAMES)
-
-    return send
+        yield _sent([(0, chunk, CHUNK, -1, _squeeze(hashes), _squeeze(tokens), meta.getvalue().to_pybytes())])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -147,7 +167,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each range of hashes, the total counts, given to every chunk that asked; chunks pass through."""
+    """Of each range of hashes, the total counts, given to every chunk that asked."""
     def answer(asked: list[tuple]) -> Iterator[pa.RecordBatch]:
         keys = [np.cumsum(_expand(r[4], np.uint64), dtype=np.uint64) for r in asked]
         sizes = np.array([len(k) for k in keys])
@@ -162,17 +182,10 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = ((ranked[first] & np.uint64(3)) == 1) & (ranked[first] != BEGIN) & (totals > 0)
         out = [(r[0], r[1], ANSWER, r[3], None, _squeeze(part.astype(np.uint32)), None) for r, part in zip(asked, np.split(own, np.cumsum(sizes)[:-1]))]
         out.append((asked[0][0], -1, TOTALS, 0, None, None, np.array([words.sum(), totals[words].sum()], np.int64).tobytes()))
-        yield packed(out)
-
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
-            pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], SENT_NAMES)
+        yield _sent(out)
 
     asked: list[tuple] = []
     for row in _rows(batches):
-        if row[2] == CHUNK:
-            yield packed([row])
-            continue
         if asked and asked[0][0] != row[0]:
             yield from answer(asked)
             asked = []
@@ -181,7 +194,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from answer(asked)
 
 
-COUNTED = "chunk long, rows binary, word binary, context binary, pair binary, totals array<long>, cells array<long>, seen array<long>"
+COUNTED = "chunk long, rows binary, word binary, pair binary, begun long, totals array<long>, cells array<long>, seen array<long>"
 COUNTED_NAMES = [c.split(" ")[0] for c in COUNTED.split(", ")]
 
 
@@ -190,6 +203,14 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(context.astype(float) + 1)).astype(np.int64), BUCKETS - 1)
 
 
+def _before(own: np.ndarray, lengths: np.ndarray, begun: int) -> np.ndarray:
+    """Counts of the contexts: of the word before, or of texts begun."""
+    out = np.empty_like(own)
+    out[1:] = own[:-1]
+    out[np.cumsum(lengths) - lengths] = begun
+    return out
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The counts of every token of a chunk, and of its training tokens the histogram from which weights are learned."""
     def join(chunk: tuple, parts: list[np.ndarray]) -> tuple:
@@ -197,22 +218,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.ipc.open_stream(chunk[6]).read_all()
         lengths = rows["tokens"].to_numpy()
         word, context, pair = _keys(hashes[tokens], lengths)
-        keys, counts = _request(word, pair), np.concatenate(parts)
+        keys, counts = _request(word, pair), np.concatenate([np.zeros(0, np.uint32), *parts])
+        if len(keys) != len(counts):
+            raise RuntimeError("the input gave other rows when it was read again; write it to a table first")
         # Words repeat, so their place is looked up once each.
         own = counts[np.searchsorted(keys, (hashes & ~np.uint64(3)) | np.uint64(1))][tokens]
-        before = np.empty_like(own)
-        before[1:] = own[:-1]
-        before[np.cumsum(lengths) - lengths] = counts[np.searchsorted(keys, BEGIN)]
+        begun = int(counts[np.searchsorted(keys, BEGIN)])
+        before = _before(own, lengths, begun)
         both = counts[np.searchsorted(keys, pair)]
         learned = np.repeat(rows["training"].to_numpy(zero_copy_only=False), lengths)
         c, b, p = own[learned].astype(np.int64) - 1, before[learned].astype(np.int64) - 1, both[learned].astype(np.int64) - 1
         rate = np.where(p > 0, 1 + np.clip(-4 * np.log2(np.maximum(p, 1) / np.maximum(b, 1)), 0, RATES - 2), 0).astype(np.int64)
         often = np.where(c > 0, 1 + np.clip(4 * np.log2(np.maximum(c, 1)), 0, COUNTS - 2), 0).astype(np.int64)
         cells, seen = np.unique((_bucket(np.maximum(b, 0)) * RATES + rate) * COUNTS + often, return_counts=True)
-        return (chunk[1], chunk[6], _squeeze(own), _squeeze(before), _squeeze(both), None, cells.tolist(), seen.tolist())
+        return (chunk[1], chunk[6], _squeeze(own), _squeeze(both), begun, None, cells.tolist(), seen.tolist())
 
     def packed(row: tuple) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], COUNTED_NAMES)
 
     chunk, parts = None, []
@@ -269,7 +291,8 @@ def _scorer(weights: np.ndarray, n: int, v: int):
             rows = pa.ipc.open_stream(chunk[0]).read_all()
             lengths = rows["tokens"].to_numpy()
             starts = np.cumsum(lengths) - lengths
-            own, before, both = (_expand(chunk[i], np.uint32).astype(np.int64) for i in (1, 2, 3))
+            own, both = (_expand(chunk[i], np.uint32).astype(np.int64) for i in (1, 2))
+            before = _before(own, lengths, chunk[3])
             base = np.log10((own + 1.0) / (n + v + 1.0))
             w = weights[_bucket(before)]
             # Where the context was never seen, its bucket gives the pair no weight.
@@ -289,17 +312,18 @@ def held_out(doc_id: Column) -> Column:
 
 def scores(docs: DataFrame) -> DataFrame:
     """`doc_id`, `text` → per row `held_out`, `n_tokens`, `n_known`, `train_tokens`, `base_score`, `score`."""
-    rows = docs.select("doc_id", text_of("text").alias("text"), (~held_out(F.col("doc_id"))).alias("training"))
+    rows = docs.select("doc_id", text_of("text").alias("text"), (~held_out(F.col("doc_id"))).alias("training"),
+                       F.spark_partition_id().alias("part"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = min(MOST_RANGES, max(parts, ceil(size / RANGE_BYTES)))
-    sent = rows.mapInArrow(_sender(ranges), SENT)
-    # Places within a partition are numbers already spread evenly, so the range itself is the key.
-    answers = sent.repartition(ranges, "range").sortWithinPartitions("range", "kind").mapInArrow(_answers, SENT)
-    counted = stage(answers.repartition(ranges, "chunk").sortWithinPartitions("chunk", "kind", "first").mapInArrow(_counted, COUNTED))
+    asked = rows.mapInArrow(_requests(ranges), SENT)
+    answers = asked.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_answers, SENT)
+    met = answers.union(rows.mapInArrow(_contents, SENT)).repartition(ranges, "chunk").sortWithinPartitions("chunk", "kind", "first")
+    counted = stage(met.mapInArrow(_counted, COUNTED))
     v, n = counted.where("totals IS NOT NULL").agg(F.sum(F.get("totals", F.lit(0))), F.sum(F.get("totals", F.lit(1)))).first()
     v, n = int(v or 0), int(n or 0)
     histogram = {r[0]: r[1] for r in counted.select(F.explode(F.arrays_zip("cells", "seen")).alias("x")).groupBy("x.cells").agg(F.sum("x.seen")).collect()}
     weights = mixture_weights(histogram, n, v)
-    done = counted.where("rows IS NOT NULL").select("rows", "word", "context", "pair").mapInArrow(_scorer(weights, n, v), SCORED)
+    done = counted.where("rows IS NOT NULL").select("rows", "word", "pair", "begun").mapInArrow(_scorer(weights, n, v), SCORED)
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
