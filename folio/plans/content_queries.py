@@ -194,9 +194,60 @@ def _patched(spark, sf):
     return SM.apply_seam(_pairs(spark, sf).withColumn("left_suffix", suffix).withColumn("right_prefix", prefix).withColumn("replacement", new))
 
 
-@REGISTRY.add("seam_patches")
+def _equal_start(a, b):
+    """SQL: number of equal characters at the beginning of two texts."""
+    return f"coalesce(list_min(list_filter(range(1, least(length({a}), length({b})) + 1), lambda z: {a}[z] <> {b}[z])) - 1, least(length({a}), length({b})))"
+
+
+def _edge_sql(text: str, part: str, suffix: bool) -> str:
+    """SQL: the part adjusted to the edge of the text, as the operator's docstrings say."""
+    at_edge = "ends_with" if suffix else "starts_with"
+    short = (f"list_filter(list_transform(range(1, 9), lambda c: length({part}) - c), "
+             f"lambda k: k >= greatest(8, length({part}) // 2) AND {at_edge}({text}, substr({part}, 1, k)))[1]")
+    if suffix:
+        place = f"length({text}) - length({part}) - position(reverse({part}) in reverse({text})) + 1"
+        gap, longer = f"length({text}) - ({place}) - length({part})", f"substr({text}, {place} + 1)"
+    else:
+        gap, longer = f"position({part} in {text}) - 1", f"substr({text}, 1, position({part} in {text}) - 1 + length({part}))"
+    return (f"CASE WHEN {at_edge}({text}, {part}) THEN {part} WHEN {short} IS NOT NULL THEN substr({part}, 1, {short}) "
+            f"WHEN length({part}) >= 8 AND contains({text}, {part}) AND {gap} BETWEEN 1 AND 8 THEN {longer} END")
+
+
+def _view_sql(text: str) -> str:
+    return f"regexp_replace({text}, '[ \\t]+(\\r?\\n)', '\\1', 'g')"
+
+
+def _kept_sql(text: str) -> str:
+    """SQL: positions of the characters that stay without space at line ends."""
+    return f"list_filter(range(1, length({text}) + 1), lambda z: NOT regexp_matches(substr({text}, z), '^[ \\t]+\\r?\\n'))"
+
+
+_LONE = "(?:[^A-Za-z]|$)"
+_UNSAFE_SQL = f"""CASE WHEN contains(new, '^^') OR regexp_matches(new, '{P.BODY_FORBIDDEN.replace("(?![A-Za-z])", _LONE)}') THEN 'UNSAFE_TEX'
+ WHEN contains(new, chr(92) || 'begin{{document}}') OR contains(new, chr(92) || 'end{{document}}') THEN 'BODY_REQUIRED'
+ WHEN regexp_matches(new, '{P.MANUAL_NUMBERING.replace("(?![A-Za-z])", _LONE)}') THEN 'AUTOMATIC_NUMBERING' END"""
+_PATCHED = f"""(
+WITH q AS (SELECT *, batch_no % 7 AS n, right(left_tex, least(length(left_tex), 20)) AS a, left(right_tex, least(length(right_tex), 20)) AS b FROM {PAIRS}),
+r AS (SELECT *, CASE n WHEN 1 THEN substr(a, 1, greatest(0, length(a) - 3)) WHEN 2 THEN a || 'zz' WHEN 3 THEN 'nothing like it' WHEN 5 THEN '' ELSE a END AS suffix,
+  CASE n WHEN 4 THEN b || 'zzz' WHEN 5 THEN '' ELSE b END AS prefix FROM q),
+v AS (SELECT *, CASE WHEN n = 5 THEN CASE WHEN batch_no % 2 = 0 THEN '' ELSE 'more' END WHEN n = 6 THEN regexp_replace(suffix || prefix, '{P.MARKER}', '', 'g')
+   WHEN n IN (2, 4) THEN a || b ELSE suffix || prefix END AS new,
+  {_view_sql("left_tex")} AS lv, {_view_sql("suffix")} AS sv, {_view_sql("right_tex")} AS rv, {_view_sql("prefix")} AS pv FROM r),
+f AS (SELECT *, {_edge_sql("left_tex", "suffix", True)} AS da, {_edge_sql("right_tex", "prefix", False)} AS db,
+  length({_edge_sql("lv", "sv", True)}) AS ka, length({_edge_sql("rv", "pv", False)}) AS kb FROM v),
+g AS (SELECT *, CASE WHEN suffix = '' THEN '' ELSE coalesce(da, CASE WHEN ka > 0 THEN substr(left_tex, {_kept_sql("left_tex")}[length(lv) - ka + 1]) END) END AS ea,
+  CASE WHEN prefix = '' THEN '' ELSE coalesce(db, CASE WHEN kb > 0 THEN substr(right_tex, 1, {_kept_sql("right_tex")}[kb]) END) END AS eb FROM f),
+h AS (SELECT *, CASE WHEN suffix = '' AND prefix = '' THEN CASE WHEN new <> '' THEN 'INVALID_PATCH' END WHEN ea IS NULL OR eb IS NULL THEN 'STALE_PATCH'
+  WHEN {_UNSAFE_SQL} IS NOT NULL THEN {_UNSAFE_SQL}
+  WHEN regexp_extract_all(ea || eb, '{P.MARKER}') <> regexp_extract_all(new, '{P.MARKER}') THEN 'ANCHOR_CHANGE' END AS problem FROM g)
+SELECT book_id, batch_no, left_page, right_page, left_tex, right_tex, new, problem,
+ CASE WHEN problem IS NULL AND NOT (suffix = '' AND prefix = '') THEN substr(left_tex, 1, length(left_tex) - length(ea)) || new ELSE left_tex END AS new_left,
+ CASE WHEN problem IS NULL AND NOT (suffix = '' AND prefix = '') THEN substr(right_tex, length(eb) + 1) ELSE right_tex END AS new_right FROM h)"""
+
+
+@REGISTRY.add("seam_patches", f"SELECT book_id, batch_no, problem, new_left, new_right FROM {_PATCHED}")
 def seam_patches(spark, sf):
-    """Applied seams with their problem; alignment tolerances are checked against a small model in the tests."""
+    """Applied seams with their problem."""
     return _patched(spark, sf).select("book_id", "batch_no", "problem", "new_left", "new_right")
 
 
@@ -212,18 +263,47 @@ def exact_seam_patches(spark, sf):
     return patched.filter(F.col("problem").isNull()).select("book_id", "batch_no", "new_left", "new_right")
 
 
-@REGISTRY.add("stitched_pages")
+@REGISTRY.add("stitched_pages", f"""
+WITH s AS MATERIALIZED (SELECT * FROM {_PATCHED} WHERE problem IS NULL),
+j AS (SELECT p.book_id, p.page, p.tex, coalesce(length(r.right_tex) - length(r.new_right), 0) AS cut, l.new_left, length(l.new_left) - length(l.new) AS kept
+ FROM ({C.TEX_PAGES}) p LEFT JOIN s r ON r.book_id = p.book_id AND r.right_page = p.page LEFT JOIN s l ON l.book_id = p.book_id AND l.left_page = p.page)
+SELECT book_id, page, CASE WHEN new_left IS NOT NULL AND cut <= kept THEN substr(new_left, cut + 1) ELSE substr(tex, cut + 1) END AS tex,
+ new_left IS NOT NULL AND cut > kept AS stale FROM j""")
 def stitched_pages(spark, sf):
     """Pages after every applicable seam of the book."""
     pages = C.tex_pages(spark, sf)
     return SM.stitch(pages, cut_lineage(_patched(spark, sf)))
 
 
-@REGISTRY.add("seam_mismatches")
+def _mismatch_sql(text: str, part: str, suffix: bool) -> str:
+    """SQL: where a part first differs from the edge of a text, both seen without space at line ends."""
+    turned = "reverse({})" if suffix else "{}"
+    at = lambda seen: f"length({seen}) - common - 1" if suffix else "common"
+    place = lambda source, seen: (f"CASE WHEN {at(seen)} < 0 THEN -1 WHEN {at(seen)} >= length({seen}) THEN length({source}) "
+                                  f"ELSE {_kept_sql(source)}[{at(seen)} + 1] - 1 END")
+    gap = "position(reverse(sv) in reverse(tv)) - 1" if suffix else "position(sv in tv) - 1"
+    return f"""(WITH x AS (SELECT *, {_view_sql(text)} AS tv, {_view_sql(part)} AS sv FROM stale),
+ y AS (SELECT *, {_equal_start(turned.format("tv"), turned.format("sv"))} AS common FROM x),
+ z AS (SELECT *, {place(text, "tv")} AS text_offset, {place(part, "sv")} AS part_offset FROM y)
+ SELECT book_id, batch_no, '{part}' AS side, CAST(text_offset AS INTEGER) AS text_offset, CAST(part_offset AS INTEGER) AS part_offset,
+  CAST(1 + length(substr({text}, 1, greatest(0, text_offset))) - length(replace(substr({text}, 1, greatest(0, text_offset)), chr(10), '')) AS INTEGER) AS line,
+  CAST(1 + length(string_split(substr({text}, 1, greatest(0, text_offset)), chr(10))[-1]) AS INTEGER) AS "column",
+  CASE WHEN text_offset BETWEEN 0 AND length({text}) - 1 THEN unicode(substr({text}, CAST(text_offset AS INTEGER) + 1, 1)) END AS code_point,
+  CASE WHEN length(sv) > 0 AND contains(tv, sv) THEN CAST({gap} AS INTEGER) END AS gap FROM z)"""
+
+
+@REGISTRY.add("seam_mismatches", f"""
+WITH stale AS MATERIALIZED (SELECT *, 'nothing like it' AS left_part, substr(right_tex, 4, 20) || 'nothing' AS right_part FROM {_PATCHED} WHERE problem = 'STALE_PATCH' AND batch_no % 7 = 3)
+SELECT * FROM {_mismatch_sql("left_tex", "left_part", True)} UNION ALL SELECT * FROM {_mismatch_sql("right_tex", "right_part", False)}""")
 def seam_mismatches(spark, sf):
-    """First difference of each stale left patch, in offsets of the page."""
-    stale = _patched(spark, sf).filter((F.col("problem") == "STALE_PATCH")).select("book_id", "batch_no", "left_tex", "left_suffix")
-    return SM.seam_mismatch(stale, "left_tex", "left_suffix", True).drop("left_tex")
+    """First difference of each stale patch on both sides, in offsets of the page; right parts here begin too late."""
+    stale = _patched(spark, sf).filter((F.col("problem") == "STALE_PATCH") & (F.col("batch_no") % 7 == 3)).select(
+        "book_id", "batch_no", "left_tex", "right_tex", F.col("left_suffix").alias("left_part"),
+        F.concat(F.substr("right_tex", F.lit(4), F.lit(20)), F.lit("nothing")).alias("right_part"))
+    keys = ["book_id", "batch_no"]
+    left = SM.seam_mismatch(stale.select(*keys, F.lit("left_part").alias("side"), "left_tex", "left_part"), "left_tex", "left_part", True)
+    right = SM.seam_mismatch(stale.select(*keys, F.lit("right_part").alias("side"), "right_tex", "right_part"), "right_tex", "right_part", False)
+    return left.drop("left_tex", "left_part").unionByName(right.drop("right_tex", "right_part"))
 
 
 @REGISTRY.add("stale_seams", f"""
@@ -303,11 +383,6 @@ def unique_replacements(spark, sf):
     return ED.apply_page_edits(pages, _page_edits(pages).withColumn("action_id", F.floor(F.col("page") / 2)))
 
 
-def _equal_start(a, b):
-    """SQL: number of equal characters at the beginning of two texts."""
-    return f"coalesce(list_min(list_filter(range(1, least(length({a}), length({b})) + 1), lambda z: {a}[z] <> {b}[z])) - 1, least(length({a}), length({b})))"
-
-
 def _count(text, part):
     return f"((length({text}) - length(replace({text}, {part}, ''))) // length({part}))"
 
