@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions.scan import ranked
 from ..operators import library as LB
 from ..operators import snapshots as S
@@ -365,9 +366,30 @@ def heading_definitions(spark, sf):
     return SK.render_headings(headings, setups)
 
 
-@REGISTRY.add("counter_preambles")
+_BS = "chr(92) || "
+_DECLARED = ", ".join(f"({i}, '{t}')" for i, t in enumerate(P.THEOREMS))
+_LEVELS = ", ".join(f"({i}, '{h}')" for i, h in enumerate(P.HEADINGS[:4]))
+_NATIVE = ", ".join(f"'{n}'" for n in P.BUILTIN_COUNTERS)
+
+
+@REGISTRY.add("counter_preambles", f"""
+WITH r AS (SELECT *, CASE name WHEN 'theorem' THEN 1 WHEN 'lemma' THEN 2 WHEN 'equation' THEN 3 ELSE 4 END AS o FROM {C.duck(RULES)}),
+t AS (SELECT s.book_id, d.i, d.n, upper(left(d.n, 1)) || substr(d.n, 2) AS title, coalesce(r.reset_by, '') AS parent,
+  CASE WHEN r.name IS NOT NULL THEN r.shared_with WHEN d.n = 'theorem' THEN '' ELSE 'theorem' END AS shared
+ FROM {C.duck(SETUPS)} s CROSS JOIN (VALUES {_DECLARED}) d(i, n) LEFT JOIN r ON r.book_id = s.book_id AND r.name = d.n),
+own AS (SELECT r.*, s.documentclass FROM r JOIN {C.duck(SETUPS)} s ON s.book_id = r.book_id WHERE r.shared_with = ''),
+l AS (
+ SELECT book_id, 0 AS a, i AS b, 0 AS c, CASE WHEN shared <> '' THEN {_BS}'newtheorem{{' || n || '}}[' || shared || ']{{' || title || '}}'
+  ELSE {_BS}'newtheorem{{' || n || '}}{{' || title || '}}' || CASE WHEN parent <> '' THEN '[' || parent || ']' ELSE '' END END AS line FROM t
+ UNION ALL SELECT book_id, 0, i, 1, {_BS}'newtheorem*{{' || n || '*}}{{' || title || '}}' FROM t
+ UNION ALL SELECT book_id, 1, o, v.i, {_BS}'counterwithout*{{' || name || '}}{{' || v.h || '}}' FROM own JOIN (VALUES {_LEVELS}) v(i, h)
+  ON name IN ({_NATIVE}) AND v.h <> name AND NOT (documentclass = 'article' AND v.h = 'chapter')
+ UNION ALL SELECT book_id, 1, o, 8, {_BS}'counterwithin*{{' || name || '}}{{' || reset_by || '}}' FROM own WHERE name IN ({_NATIVE}) AND reset_by <> ''
+ UNION ALL SELECT book_id, 1, o, 9, {_BS}'renewcommand{{' || {_BS}'the' || name || '}}{{' || CASE WHEN reset_by <> '' AND prefix_parent THEN {_BS}'the' || reset_by || '.' ELSE '' END
+  || {_BS}style || '{{' || name || '}}}}' FROM own)
+SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY a, b, c) - 1 AS INTEGER) AS ord, line FROM l""")
 def counter_preambles(spark, sf):
-    """Declarations of each book's counters; the expected lines of small plans are in the tests."""
+    """Declarations of each book's counters."""
     rules = C.frame(spark, sf, RULES).withColumn("ord", F.when(F.col("name") == "theorem", 1).when(F.col("name") == "lemma", 2).when(F.col("name") == "equation", 3).otherwise(4))
     return SK.counter_preamble(rules, C.frame(spark, sf, SETUPS))
 
