@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,18 @@ def register_rule(code: str, fn: Callable[..., DataFrame]) -> None:
     RULES[code] = fn
 
 
+def run_rules(codes: list[str] | None = None, **tables: DataFrame) -> DataFrame:
+    """Violations of all registered rules, or of those named, whose input tables are given by the names of their parameters."""
+    found = []
+    for code, rule in RULES.items():
+        wanted = list(signature(rule).parameters)
+        if (codes is None or code in codes) and all(w in tables for w in wanted):
+            found.append(rule(*[tables[w] for w in wanted]))
+    if not found:
+        raise ValueError("no registered rule has all its tables")
+    return all_violations(*found)
+
+
 def _violation(rows: DataFrame, code: str | Column, detail: Column, page: Column | None = None) -> DataFrame:
     code = F.lit(code) if isinstance(code, str) else code
     page = F.col("page") if page is None else page

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -16,6 +17,7 @@ from ..operators import search as SE
 from ..operators import seams as SM
 from ..session import cut_lineage
 from . import corpora as C
+from .markup_queries import _pairs_sql
 from .reference_queries import _CHECKED, SEEDS, SETUPS, SYM, _edits, symbol_table
 from .registry import Registry
 
@@ -526,7 +528,16 @@ def insertion_widths(spark, sf):
     return ED.width_edits(C.tex_pages(spark, sf), figures)
 
 
-@REGISTRY.add("verified_pairs")
+_ARGUED = f"""(SELECT book_id, page, position('We argue.' in tex) AS spot, (length(tex) - length(replace(tex, 'We argue.', ''))) // 9 AS times FROM ({C.TEX_PAGES}) WHERE page % 6 = 0)"""
+# The added closing stands before whatever began at its place.
+_CLOSED = f"""{C.DUCK_ENV_TOKENS} UNION ALL BY NAME SELECT book_id, page, 'end' AS op, 'proof' AS name, spot + 7.5 AS start, 0 AS line FROM {_ARGUED} WHERE times = 1 AND page % 11 <> 0"""
+
+
+@REGISTRY.add("verified_pairs", f"""
+SELECT b.book_id, b.id, CASE WHEN g.times <> 1 THEN 'SEAM_OPENING_REMOVED' WHEN a.end_page IS NULL OR a.end_page <> b.begin_page THEN 'SEAM_TODO_PENDING' END AS problem
+FROM ({_pairs_sql(C.DUCK_ENV_TOKENS)}) b JOIN ({_pairs_sql(_CLOSED)}) a ON a.book_id = b.book_id AND a.name = b.name AND a.begin_page = b.begin_page AND a.begin_offset = b.begin_offset
+LEFT JOIN {_ARGUED} g ON g.book_id = b.book_id AND g.page = b.begin_page
+WHERE b.end_page IS NULL AND b.name = 'proof'""")
 def verified_pairs(spark, sf):
     """Claimed fixes of unclosed proofs, judged before and after the replacements."""
     before = cut_lineage(C.tex_pages(spark, sf))
@@ -555,6 +566,22 @@ def body_rules(spark, sf):
     return Q.all_violations(Q.check_body(pages), Q.check_manual_numbers(pages), Q.marker_violations(pages))
 
 
+@REGISTRY.add("registered_rules", """
+SELECT source AS book_id, doc_id AS page, CASE doc_id % 9 WHEN 0 THEN 'UNSAFE_TEX' WHEN 2 THEN 'UNSAFE_TEX' WHEN 3 THEN 'BODY_REQUIRED' WHEN 4 THEN 'AUTOMATIC_NUMBERING' ELSE 'LABEL_NAME' END AS code,
+ CASE doc_id % 9 WHEN 0 THEN chr(92) || 'input' WHEN 4 THEN chr(92) || 'tag' WHEN 5 THEN 'bad key' ELSE '' END AS detail FROM documents WHERE doc_id % 9 IN (0, 2, 3, 4, 5)
+UNION ALL SELECT source, doc_id, 'LONG_PAGE', CAST(length(text) AS VARCHAR) FROM documents WHERE length(text) > 4000""")
+def registered_rules(spark, sf):
+    """All rules on page texts that are registered, one of them added here."""
+    pages = C.frame(spark, sf, _BODY)
+
+    def long_pages(raw: DataFrame) -> DataFrame:
+        return raw.filter(F.length("text") > 4000).select(
+            F.col("source").alias("book_id"), F.col("doc_id").alias("page"), F.lit("LONG_PAGE").alias("code"), F.length("text").cast("string").alias("detail"))
+
+    Q.register_rule("LONG_PAGE", long_pages)
+    return Q.run_rules(["UNSAFE_TEX", "AUTOMATIC_NUMBERING", "LABEL_NAME", "LONG_PAGE"], pages=pages, raw=C.load(spark, sf, "documents"))
+
+
 @REGISTRY.add("bounded_violations", """
 SELECT book_id, code, CAST(to_json(list({'page': page, 'detail': detail} ORDER BY page, detail) FILTER (WHERE n <= 10)) AS VARCHAR) AS errors, count(*) > 10 AS has_more FROM (
  SELECT *, row_number() OVER (PARTITION BY book_id, code ORDER BY page, detail) AS n FROM (
