@@ -178,20 +178,19 @@ FROM r LEFT JOIN f ON r.source IS NOT DISTINCT FROM f.source
 
 @query
 def op7_token_counts(read):
-    """All documents under one tokenizer; those labelled toxic deleted; those of low quality recounted by another one.
+    """All documents under one tokenizer; those not in English recounted by another one; those labelled toxic deleted.
 
     The deletion is sent twice, as after a lost answer.
     """
     first, second = "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"
-    docs, labels = read("documents"), read("labels")
+    docs = read("documents")
     store = token_counts.Rollup(docs.sparkSession, f"{stage_folder(docs.sparkSession).rstrip('/')}/tokens-{uuid.uuid4().hex}")
     store.commit("load", token_counts.insertions(docs, first))
-    toxic = labels.where("toxic = 1").select("doc_id")
+    foreign = docs.where("lang <> 'en'")
+    store.commit("recount", token_counts.deletions(foreign, first).union(token_counts.insertions(foreign, second)))
+    toxic = read("labels").where("toxic = 1").select("doc_id")
     for _ in range(2):
-        store.commit("toxic", token_counts.deletions(toxic, first))
-    poor = labels.where("quality = 0 AND coalesce(toxic, 0) = 0").select("doc_id").distinct()
-    recounted = token_counts.insertions(docs.join(poor, "doc_id", "left_semi"), second)
-    store.commit("recount", token_counts.deletions(poor, first).union(recounted))
+        store.commit("toxic", token_counts.deletions(toxic, first).union(token_counts.deletions(toxic, second)))
     return store.totals()
 
 
