@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import stage, text_of
 
-CHUNK_BYTES, RANGE_BYTES, MOST_RANGES = 4 << 20, 16 << 20, 4096
+CHUNK_BYTES, RANGE_BYTES, MOST_RANGES = 4 << 20, 8 << 20, 4096
 BUCKETS, RATES, COUNTS = 24, 80, 160
 END, BEGIN = b"\n", np.uint64(4 * 0x5851F42D4C957F2D & ((1 << 64) - 4)) | np.uint64(1)
 CHUNK, ANSWER, TOTALS = 0, 1, 2
