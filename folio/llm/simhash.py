@@ -318,8 +318,10 @@ def one_per_component(docs: DataFrame, **options) -> DataFrame:
 
     Documents without an id stay where no document of their component has one.
     """
+    from .copies import near_copies
+
     kept = unused(docs, "_kept")
-    ids = near_components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+    ids = near_copies(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("component_id").alias(kept)).distinct()
     id_column, text_column = options.get("id_column", "doc_id"), options.get("text_column", "text")
     return docs.join(ids, F.col(id_column).eqNullSafe(F.col(kept)), "left_semi").dropDuplicates([id_column, text_column])
