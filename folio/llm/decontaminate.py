@@ -6,14 +6,19 @@ are joined with seeds of the documents; each hit names a document, an item and t
 two token sequences are compared position by position. A document is contaminated by an item if in some run of
 `window` item tokens (or in the whole of a shorter item) at least `overlap` of the tokens are equal.
 
-Tokens are runs of letters and digits, in lower case. Null texts count as empty. Items of fewer tokens than a mask
-are not searched for. Equal rows of an item or of a document count once. Documents without an id are reported under a
+Which masks an item is searched with depends on its number of tokens: to the given ones come others, until every
+tolerated choice of different tokens leaves one mask that fits between them. A run in which nothing may differ is one
+key. So no contamination is lost, also of items of a few tokens.
+
+Tokens are runs of letters and digits, in lower case. Null texts count as empty. Equal rows of an item or of a document count once. Documents without an id are reported under a
 null id.
 """
 
 from __future__ import annotations
 
-from math import ceil
+from functools import lru_cache
+from itertools import combinations
+from math import ceil, comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +27,8 @@ from .common import stage, text_of, unused
 
 # 1: the token counts; 0: it may differ.
 MASKS = ("11101011", "1101100111", "10110101101")
+# Tokens that a mask found by enumeration compares at most; patterns up to which masks are enumerated.
+WEIGHT, PATTERNS = 6, 5000
 # Benchmark seeds in one broadcast; more are joined block by block. A row has 28 bytes.
 BLOCK = 200_000
 
@@ -35,8 +42,42 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, hashes: str, masks: tuple[str, ...]) -> DataFrame:
-    """One row per window and mask: the columns of `rows` but the hashes, `at` (from 0) and `seed`."""
+def _hit(mask: str, length: int) -> set[tuple[int, ...]]:
+    """For each place of the mask in a run of so many tokens, the positions it compares."""
+    return {tuple(at + i for i, m in enumerate(mask) if m == "1") for at in range(length - len(mask) + 1)}
+
+
+@lru_cache(None)
+def covering(masks: tuple[str, ...], length: int, overlap: float) -> tuple[str, ...]:
+    """Masks of which one has a hit in a run of `length` tokens, whichever of them differ as far as `overlap` tolerates."""
+    equal = max(1, ceil(length * overlap))
+    differ = length - equal
+    if not differ:
+        return ("1" * length,)
+    if comb(length, differ) > PATTERNS:
+        # Some stretch between the differing tokens is that long.
+        return ("1" * ceil(equal / (differ + 1)),)
+    chosen = [m for m in masks if len(m) <= length]
+    left = {frozenset(p) for p in combinations(range(length), differ)}
+    left = {p for p in left if all(p.intersection(at) for m in chosen for at in _hit(m, length))}
+    weight = min(WEIGHT, equal)
+    places = {}
+    for at in combinations(range(length), weight) if left else ():
+        if not at[0]:
+            mask = "".join("1" if i in at else "0" for i in range(at[-1] + 1))
+            places[mask] = [set(x) for x in _hit(mask, length)]
+    while left:
+        best = max(places, key=lambda m: (sum(any(not p & at for at in places[m]) for p in left), -len(m), m))
+        chosen.append(best)
+        left = {p for p in left if all(p & at for at in places[best])}
+    return tuple(chosen)
+
+
+def seeds(rows: DataFrame, hashes: str, masks: tuple[str, ...], lengths: dict[str, list[int]] | None = None, window: int = 0) -> DataFrame:
+    """One row per window and mask: the columns of `rows` but the hashes, `at` (from 0) and `seed`.
+
+    With `lengths`, a mask is for rows of these numbers of tokens only; `window` stands for itself and above.
+    """
     own = [c for c in rows.columns if c != hashes]
     # The outer form, as the plain one makes Spark compute the tokens once more in a filter on their number.
     placed = rows.select(*own, hashes, F.posexplode_outer(hashes).alias("at", "_token"))
@@ -45,6 +86,8 @@ def seeds(rows: DataFrame, hashes: str, masks: tuple[str, ...]) -> DataFrame:
         offsets = [i for i, m in enumerate(mask) if m == "1"]
         picked = [F.get(F.col(hashes), F.col("at") + i) for i in offsets[1:]]
         inside = F.col("at") + len(mask) <= F.size(hashes)
+        if lengths is not None:
+            inside = inside & F.least(F.size(hashes), F.lit(window)).isin(lengths[mask])
         return F.when(inside, F.xxhash64(F.lit(n), F.col("_token"), *picked))
 
     hashed = placed.select(*own, "at", F.explode_outer(F.array(*[of(n, m) for n, m in enumerate(masks)])).alias("seed"))
@@ -57,7 +100,13 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     items = stage(benchmark.select("item_id", token_hashes(F.col("text")).alias("_item")).distinct())
     # An item's row may occur with several texts under one id: texts are told apart by their tokens.
     keyed = items.select("item_id", F.xxhash64("_item").alias("_text"), "_item")
-    probes = stage(seeds(keyed, "_item", masks).select("item_id", "_text", F.col("at").alias("_at"), F.col("seed").alias("_seed")))
+    lengths: dict[str, list[int]] = {}
+    for r in items.select(F.least(F.size("_item"), F.lit(window)).alias("n")).where("n > 0").distinct().orderBy("n").collect():
+        for mask in covering(tuple(masks), r.n, overlap):
+            lengths.setdefault(mask, []).append(r.n)
+    masks = tuple(lengths) or tuple(masks)
+    probes = stage(seeds(keyed, "_item", masks, {m: lengths.get(m, []) for m in masks}, window).select(
+        "item_id", "_text", F.col("at").alias("_at"), F.col("seed").alias("_seed")))
     rows = docs.select(F.col(id_column).alias("doc_id"), token_hashes(F.col(text_column)).alias("_doc"))
     hashed = seeds(rows, "_doc", masks)
     blocks = max(1, ceil(probes.count() / BLOCK))
