@@ -11,7 +11,7 @@ tolerated choice of different tokens leaves one mask that fits between them. A r
 key. So no contamination is lost, also of items of a few tokens.
 
 Tokens are runs of letters and digits, in lower case. Null texts count as empty. Equal rows of an item or of a document count once. Documents without an id are reported under a
-null id.
+null id, and so are items without one.
 """
 
 from __future__ import annotations
@@ -120,7 +120,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     there = found.select(F.col("doc_id").alias("_id"), F.col("item_id"), "_text", "_shift")
     sides = (docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("_body"))
              .join(there, F.col("doc_id").eqNullSafe(F.col("_id")))
-             .join(keyed.withColumnRenamed("_text", "_key"), ["item_id"]).where("_text = _key"))
+             .join(keyed.select(F.col("item_id").alias("_item_id"), F.col("_text").alias("_key"), "_item"),
+                   (F.col("_text") == F.col("_key")) & F.col("item_id").eqNullSafe(F.col("_item_id"))))
     # Position by position along the shift.
     # The document's tokens are bound once, as the only element of an array.
     equal = F.transform(F.array(token_hashes(F.col("_body"))), lambda body: F.transform("_item", lambda h, i: (

@@ -44,3 +44,11 @@ def test_tolerated_substitutions_are_found_in_items_of_any_length(spark):
                 docs.append((len(docs), f"{prose(len(docs), 3)} {passage} {prose(len(docs) + 7000, 3)}"))
     found = decontaminate.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in found.collect()} == contaminated_model(docs, items)
+
+
+def test_items_without_an_id_are_reported(spark):
+    bench = spark.createDataFrame([(None, prose(900, 30)), (None, prose(901, 20)), (1, prose(900, 30))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, prose(1, 9) + " " + prose(900, 30)), (2, prose(901, 20)), (3, prose(3, 50))], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminations(docs, bench).collect()}
+    assert found == {(1, None), (1, 1), (2, None)}
+    assert [r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()] == [3]
