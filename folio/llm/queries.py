@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folio.session import ship_package, stage_folder
 
-from . import chat, decontaminate, hilbert, lines, lm, minhash, mixture, simhash, token_counts, toxicity
+from . import chat, decontaminate, hilbert, lines, lm, merkle, minhash, mining, mixture, passages, simhash, token_counts, toxicity
 from .common import text_of
 
 QUERIES: dict = {}
@@ -212,3 +212,93 @@ def op9_hilbert_shards(read):
 @query
 def op10_lm_scores(read):
     return lm.scores(read("documents"))
+
+
+@query
+def op11_hard_negatives(read):
+    rows = mining.usable(read("embeddings"))
+    moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mining.hard_negatives(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+SQL["op11_hard_negatives"] = """
+WITH e AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.id))::INT AS rank,
+       s.id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
+@query
+def op12_merkle_manifest(read):
+    return merkle.audited(read("documents"))
+
+
+def _merkle_sql(levels: int = 6, top: int = 3) -> str:
+    """The same tree by aggregating strings level by level, enough for 8^6 documents a language and 8^3 languages."""
+    field = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR, '-')"
+    fields = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    # CRC-32 bit by bit: DuckDB has no function for it.
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    digits = "list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], {digits}), lambda c, b: {bits}), 4294967295)"
+    parts = [f"""
+r AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, {fields} AS head, text,
+         CASE WHEN {crc} % 3 = 0 THEN translate(text, '{upper}', '{upper.lower()}') ELSE text END AS other FROM documents),
+l AS (
+  SELECT doc_id, tree, sha256(head || {field.format("text")}) AS leaf, sha256(head || {field.format("other")}) AS f FROM r),
+d0 AS (
+  SELECT doc_id, leaf, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, f, '' AS proof FROM l),
+n0 AS (SELECT tree, pos, leaf AS h FROM d0)"""]
+
+    def level(k: int, nodes: str, docs: str, place: str, group: str = "") -> str:
+        """Nodes and documents one level up: runs of eight in `place`, per `group` if there is one; a lone node stays."""
+        keys, same = (f"{group}, ", f"c.{group} = d.{group} AND ") if group else ("", "")
+        over = f"PARTITION BY {group}" if group else ""
+        return f"""
+c{k} AS (
+  SELECT {keys}{place} // 8 AS {place}, list(h ORDER BY {place}) AS hs, (count(*) OVER ({over}) > 1 OR count(*) > 1) AS many
+  FROM {nodes} GROUP BY {keys}{place} // 8),
+n{k} AS (SELECT {keys}{place}, CASE WHEN many THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM c{k}),
+d{k} AS (
+  SELECT d.* EXCLUDE (s) REPLACE (
+    d.{place} // 8 AS {place},
+    CASE WHEN many THEN sha256(array_to_string(hs[1:s], '') || f || array_to_string(hs[s + 2:], '')) ELSE f END AS f,
+    proof || array_to_string(hs[1:s], '') || array_to_string(hs[s + 2:], '') AS proof)
+  FROM (SELECT *, ({place} % 8)::INT AS s FROM {docs}) d JOIN c{k} c ON {same}c.{place} = d.{place} // 8)"""
+
+    for k in range(1, levels + 1):
+        parts.append(level(k, f"n{k - 1}", f"d{k - 1}", "pos", "tree"))
+    # The subroots are the leaves of one more tree.
+    parts.append(f"""
+n AS (SELECT tree, h FROM n{levels}),
+d AS (SELECT d{levels}.*, h AS subroot FROM d{levels} JOIN n{levels} USING (tree))""")
+    for k in range(levels + 1, levels + top + 1):
+        parts.append(level(k, "n" if k == levels + 1 else f"n{k - 1}", "d" if k == levels + 1 else f"d{k - 1}", "tree"))
+    return f"""
+WITH {",".join(parts)}
+SELECT doc_id, leaf, subroot, n{levels + top}.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = n{levels + top}.h AS verified
+FROM d{levels + top}, n{levels + top}
+"""
+
+
+SQL["op12_merkle_manifest"] = _merkle_sql()
+
+
+@query
+def op13_quality(read):
+    return passages.scored(read("documents").select("doc_id", "text"), read("labels")).select("doc_id", "held_out", "score", "predicted")
