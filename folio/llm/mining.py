@@ -32,8 +32,8 @@ from .common import stage
 SAMPLE_ROWS, WORDS = 4096, 16
 # Rows and anchors of a block, about.
 ROW_BLOCK, ANCHOR_BLOCK = 32768, 4096
-# Cells that are scored at once.
-STEP = 8
+# Cells are scored together until they have so many rows.
+STEP = 512
 
 
 class Codebooks(NamedTuple):
@@ -121,18 +121,20 @@ class Index:
         one, two = bounds
         heap = [(-(one[0] + two[0]), 0, 0)] if one and two else []
         step: list[tuple[int, int]] = []
+        rows = 0
         while heap:
             _, i, j = heapq.heappop(heap)
             cell = orders[0][i] * len(self.books.second) + orders[1][j]
             if self.edges[cell] < self.edges[cell + 1]:
                 step.append((int(self.edges[cell]), int(self.edges[cell + 1])))
+                rows += step[-1][1] - step[-1][0]
             if j + 1 < len(two):
                 heapq.heappush(heap, (-(one[i] + two[j + 1]), i, j + 1))
             if j == 0 and i + 1 < len(one):
                 heapq.heappush(heap, (-(one[i + 1] + two[0]), i + 1, 0))
-            if len(step) == STEP or not heap:
+            if rows >= STEP or not heap:
                 yield step, -heap[0][0] if heap else -np.inf
-                step = []
+                step, rows = [], 0
 
     def scored(self, q: np.ndarray, ranges: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         """Places of the rows in the ranges and their scores."""
