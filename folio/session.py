@@ -71,17 +71,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     pruning, filter pushdown and sizes.
     """
     path = f"{stage_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    _STAGES.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-_STAGES: list[str] = []
-
-
-def drop_stages(spark: SparkSession) -> None:
-    """Delete the stage tables that this application wrote, once nothing reads them any more."""
-    jvm = spark._jvm
-    while _STAGES:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stage_path = path
+    return table
+
+
+def drop_stage(*tables: DataFrame) -> None:
+    """Delete stage tables that nothing reads any more; other tables are left alone."""
+    for table in tables:
+        if path := getattr(table, "_stage_path", None):
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
