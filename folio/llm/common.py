@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from folio.functions.scan import free_name as unused
 from folio.functions.scan import ranked
-from folio.session import cut_lineage
+from folio.session import cut_lineage, drop_stage
 
-__all__ = ["WORD", "bound", "ranked", "stage", "text_of", "uniform_hash", "unused", "word_count"]
+__all__ = ["WORD", "bound", "drop_stage", "ranked", "stage", "text_of", "uniform_hash", "unused", "word_count"]
 
 # Words are runs of anything but these ASCII spaces (fixed value of the contracts).
 WORD = r"[^\x20\x09-\x0D]+"

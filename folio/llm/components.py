@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop_stage, stage
 
 
 def _lowest(rows: DataFrame) -> DataFrame:
@@ -20,18 +20,21 @@ def components(edges: DataFrame) -> DataFrame:
     edges never grows, rounds are about the logarithm of the largest diameter, and the end is a star per component. A
     hub meets no task whole: minima combine before the shuffle, and its rows only meet one row in the joins.
     """
-    now = stage(edges.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).where("hi != lo").distinct())
-    mark = None
+    now, before, count = stage(edges.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).where("hi != lo").distinct()), None, -1
     while True:
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % 1000003)).first()
-        if seen == mark or not seen[0]:
+        rows = now.count()
+        # Distinct rows, as many as before and none that is new: the same rows.
+        if not rows or (rows == count and not now.join(before, ["hi", "lo"], "left_anti").limit(1).count()):
             break
-        mark = seen
+        if before is not None:
+            drop_stage(before)
+        before, count = now, rows
         lows = _lowest(now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v"))))
         large = stage(now.join(lows, F.col("lo") == F.col("u")).select("hi", F.col("m").alias("lo")).distinct())
-        lows = _lowest(large.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
+        first, lows = lows, _lowest(large.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         met = large.join(lows, F.col("hi") == F.col("u"))
         now = stage(met.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi != lo")
                     .union(met.select("hi", F.col("m").alias("lo"))).distinct())
+        drop_stage(first, lows, large)
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
         now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

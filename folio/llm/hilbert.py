@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ranked, unused
+from .common import ranked, stage, unused
 
 
 def curve_index(cells: list[Column], bits: int) -> Column:
@@ -75,19 +75,24 @@ def quantised(df: DataFrame, column: str, bits: int, out: str) -> DataFrame:
     return df.join(numbered, F.col(column).cast("string") == F.col(value), "left").drop(value).withColumn(out, F.coalesce(out, F.lit(0)))
 
 
-def shard(docs: DataFrame, shards: int, dimensions: tuple[str, ...] = ("source", "lang", "n_chars"), bits: int = 5,
-          ties: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The rows with `curve`, `shard` (0 to shards - 1) and `slot` (gapless from 0 in each shard).
-
-    Shards are consecutive runs of the curve; their row counts differ by one at most. `ties` order the rows of a cell.
-    """
+def _indexed(docs: DataFrame, dimensions: tuple[str, ...], bits: int) -> DataFrame:
+    """The rows with `curve`; input columns of the names of results are left out."""
     kept = [c for c in docs.columns if c.lower() not in ("curve", "shard", "slot")]
     cells = docs.select(*kept)
     names = []
     for d in dimensions:
         names.append(unused(cells, f"_cell_{d}"))
         cells = quantised(cells, d, bits, names[-1])
-    indexed = cells.withColumn("curve", curve_index([F.col(c) for c in names], bits)).drop(*names)
+    return cells.withColumn("curve", curve_index([F.col(c) for c in names], bits)).drop(*names)
+
+
+def shard(docs: DataFrame, shards: int, dimensions: tuple[str, ...] = ("source", "lang", "n_chars"), bits: int = 5,
+          ties: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The rows with `curve`, `shard` (0 to shards - 1) and `slot` (gapless from 0 in each shard).
+
+    Shards are consecutive runs of the curve; their row counts differ by one at most. `ties` order the rows of a cell.
+    """
+    indexed = _indexed(docs, dimensions, bits)
     rank = unused(indexed, "_rank")
     placed, total = ranked(indexed, [F.col("curve"), *[F.col(t) for t in ties]], rank)
     base, wide = divmod(total, shards)
@@ -99,3 +104,34 @@ def shard(docs: DataFrame, shards: int, dimensions: tuple[str, ...] = ("source",
                 F.lit(wide) + F.expr(f"(`{rank}` - {edge}) div {max(base, 1)}")).cast("int"))
             .withColumn("slot", F.when(early, at % (base + 1)).otherwise((at - edge) % max(base, 1)))
             .drop(rank))
+
+
+def clustered(docs: DataFrame, shards: int, dimensions: tuple[str, ...] = ("source", "lang", "n_chars"), bits: int = 5,
+              id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows with `curve` and `shard`, dealt out and sorted along the curve, ready to be written as files.
+
+    The borders between shards come from narrow rows (place, id, a hash of the text); whole rows move once. Rows equal in
+    all three stay together, so shards differ by one row and by such copies at most.
+    """
+    indexed = _indexed(docs, dimensions, bits)
+    keys = ["curve", unused(indexed, "_id"), unused(indexed, "_hash")]
+    full = indexed.withColumn(keys[1], F.col(id_column)).withColumn(keys[2], F.xxhash64(text_column))
+    narrow = stage(full.select(*keys))
+    rank = unused(narrow, "_rank")
+    placed, total = ranked(narrow, [F.col(k) for k in keys], rank)
+    base, wide = divmod(total, shards)
+    # The last rows of all shards but the last: at most one row per shard goes to the driver.
+    ends = [n * base + min(n, wide) - 1 for n in range(1, shards)]
+    borders = placed.where(F.col(rank).isin([e for e in ends if e >= 0])).select(rank, *keys).orderBy(rank).collect()
+    kind = narrow.schema
+    at = F.lit(sum(e < 0 for e in ends))
+    for b in borders:
+        here = F.lit(False)
+        for k in reversed(keys):
+            value = F.lit(b[k]).cast(kind[k].dataType)
+            # Nulls come first, as in the sort.
+            above = F.coalesce(F.col(k) > value, F.col(k).isNotNull() & value.isNull(), F.lit(False)) if b[k] is not None else F.col(k).isNotNull()
+            here = above | (F.col(k).eqNullSafe(value) & here)
+        at = at + here.cast("int")
+    out = full.withColumn("shard", at.cast("int"))
+    return out.repartitionByRange("shard", *keys).sortWithinPartitions("shard", *keys).drop(*keys[1:])

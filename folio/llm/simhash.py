@@ -5,10 +5,8 @@ walks pairs of its nodes downwards, adds up the bits in which their paths differ
 spent more than the budget.
 
 To share the work out, the bits are put in several orders, and the fingerprints below one prefix of an order are one
-task's trie. `simhash_components` is exact: the bits are cut into bands, a linked pair agrees in all but `budget` bands,
-and each choice of bands that may agree comes first once. `near_components` is for edited copies, which differ in more
-bits than any such choice leaves: it uses random orders, enough of them that a pair with similarity 0.8 shares a prefix
-with a chance of 96%, and compares 128 bits, of which 64 alone would link strangers at this distance.
+task's trie. The search is exact: the bits are cut into bands, a linked pair agrees in all but `budget` bands, and each
+choice of bands that may agree comes first once.
 
 A prefix with very many fingerprints is cut into chunks, and chunk meets chunk. Only trees of links leave a task, never
 all pairs of a group, and copies count once.
@@ -30,17 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of, unused
+from .common import stage, text_of
 from .components import components
 
 # Words of an ASCII-lower-cased text are joined by a space and hashed with this seed (fixed by the contract).
 SEED = 42
 # Fingerprints in one chunk of a prefix group, and node pairs a task holds at once.
 CHUNK, FRONTIER = 8192, 1 << 20
-# Near copies: bits that may differ of the first 64 and of all 128; orders, and bits of their prefixes.
-NEAR_BITS, NEAR_BITS_128, NEAR_ORDERS, NEAR_PREFIX = 15, 23, 48, 22
-# Groups above this size are searched from pivots when many pairs may link.
-PIVOT_GROUP = 64
 
 
 def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -80,21 +74,6 @@ def fingerprints(text: Column, shingle: int = 3) -> Column:
     return of(text_of(text))
 
 
-def wide_fingerprints(text: Column, shingle: int = 3) -> Column:
-    """128 bits as `fp` and `more`: the fingerprint, and one of the same hashes mixed again."""
-
-    @F.pandas_udf("fp long, more long")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            hashes = _shingle_hashes(t.encode("utf-8", "surrogatepass"), shingle)
-            mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            out.append((_majority(hashes), _majority(mixed ^ (mixed >> np.uint64(32)))))
-        return pd.DataFrame(out, columns=["fp", "more"], dtype="int64")
-
-    return of(text_of(text))
-
-
 def trie_pairs(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of keys that differ in `budget` bits at most; each [start, end) is one trie of sorted keys."""
     # Numbers of set bits before each key, for every bit: a node's children are cut off by counting.
@@ -170,11 +149,6 @@ def exact_orders(budget: int) -> Orders:
     return Orders(bits, prefix)
 
 
-def random_orders(orders: int, prefix: int) -> Orders:
-    random = np.random.Generator(np.random.PCG64(SEED))
-    return Orders([random.permutation(64).tolist() for _ in range(orders)], [prefix] * orders)
-
-
 def _turned(values: np.ndarray, bits: list[int]) -> np.ndarray:
     out = np.zeros_like(values)
     for b in bits:
@@ -182,46 +156,18 @@ def _turned(values: np.ndarray, bits: list[int]) -> np.ndarray:
     return out
 
 
-def pivot_pairs(near, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a large group that join what all its pairs would join; `near(i)` marks what links to i.
-
-    A few pivots find the largest component. Its members need not be compared with each other any more; all others are
-    compared with everything.
-    """
-    spaced = np.unique(np.linspace(0, size - 1, 8).astype(np.int64)).tolist()
-    found = {p: near(p) for p in spaced}
-    first = max(spaced, key=lambda p: int(found[p].sum()))
-    inside = found.pop(first)
-    inside[first] = True
-    yield np.full(int(inside.sum()), first), np.flatnonzero(inside)
-    for _ in range(16):
-        members = np.flatnonzero(inside)
-        pivot = int(members[(len(members) * 7919) % len(members) - 1]) if len(members) < 3 else int(members[np.argmax(np.diff(members, append=size))])
-        linked = near(pivot)
-        if not (linked & ~inside).any():
-            break
-        yield np.full(int(linked.sum()), pivot), np.flatnonzero(linked)
-        inside |= linked
-    for i in np.flatnonzero(~inside).tolist():
-        linked = np.flatnonzero(near(i))
-        yield np.full(len(linked), i), linked
-
-
-def links(distinct: DataFrame, orders: Orders, budget: int, all_bits: int | None = None) -> DataFrame:
-    """`node`, `fp`, `more` → `u`, `v`: links of nodes whose components are those of all pairs within the budget.
-
-    With `all_bits`, `fp` and `more` together may differ in so many bits at most.
-    """
+def links(distinct: DataFrame, orders: Orders, budget: int) -> DataFrame:
+    """`node`, its own fingerprint → `u`, `v`: links of nodes whose components are those of all pairs within the budget."""
     below = 64 - min(orders.prefix)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for n, (bits, head) in enumerate(zip(orders.bits, orders.prefix)):
                 prefix = _turned(values, bits[:head]).view(np.int64)
-                yield pa.record_batch([pa.array(np.full(len(values), n, np.int32)), pa.array(prefix), *batch.columns], ["choice", "prefix", "node", "fp", "more"])
+                yield pa.record_batch([pa.array(np.full(len(values), n, np.int32)), pa.array(prefix), *batch.columns], ["choice", "prefix", "node"])
 
-    keyed = stage(distinct.select("node", "fp", "more").mapInArrow(spread, "choice int, prefix long, node long, fp long, more long"))
+    keyed = stage(distinct.select("node").mapInArrow(spread, "choice int, prefix long, node long"))
     large = keyed.groupBy("choice", "prefix").count().where(F.col("count") > CHUNK).select(
         F.col("choice").alias("_c"), F.col("prefix").alias("_p"), F.ceil(F.col("count") / CHUNK).alias("_k"))
     # A chunk meets every chunk of its group, itself included; a group of one chunk is one cell.
@@ -229,41 +175,33 @@ def links(distinct: DataFrame, orders: Orders, budget: int, all_bits: int | None
     cells = F.when(F.col("_k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("_k") - 1), lambda j: F.least(j, chunk) * F.col("_k") + F.greatest(j, chunk)))
     tasks = keyed.join(large, (F.col("choice") == F.col("_c")) & (F.col("prefix") == F.col("_p")), "left").select(
-        "choice", "prefix", F.explode(cells).alias("cell"), "node", "fp", "more")
+        "choice", "prefix", F.explode(cells).alias("cell"), "node")
     dealt = tasks.repartition("choice", "prefix", "cell").sortWithinPartitions("choice", "prefix", "cell")
 
     def joined(held: list[np.ndarray]) -> pa.RecordBatch:
-        choice, prefix, cell, node, fp, more = held
+        choice, prefix, cell, node = held
         edge = np.flatnonzero((choice[1:] != choice[:-1]) | (prefix[1:] != prefix[:-1]) | (cell[1:] != cell[:-1])) + 1
-        sizes = np.diff(np.concatenate(([0], edge, [len(fp)])))
+        sizes = np.diff(np.concatenate(([0], edge, [len(node)])))
         # Fingerprints that share a prefix with no other are done.
         many = np.repeat(sizes > 1, sizes)
-        choice, node, fp, more, sizes = choice[many], node[many], fp[many].view(np.uint64), more[many].view(np.uint64), sizes[sizes > 1]
-        turned = np.zeros_like(fp)
+        choice, node, sizes = choice[many], node[many].view(np.uint64), sizes[sizes > 1]
+        turned = np.zeros_like(node)
         for n in np.unique(choice).tolist():
             here = choice == n
-            turned[here] = _turned(fp[here], orders.bits[n][orders.prefix[n]:])
+            turned[here] = _turned(node[here], orders.bits[n][orders.prefix[n]:])
         order = np.lexsort((turned, np.repeat(np.arange(len(sizes)), sizes)))
-        node, fp, more, turned = node[order], fp[order], more[order], turned[order]
+        node, turned = node[order], turned[order]
         ends = np.cumsum(sizes)
         starts = ends - sizes
 
-        def close(a: np.ndarray | int, b: np.ndarray | slice) -> np.ndarray:
-            first = np.bitwise_count(fp[a] ^ fp[b])
-            return (first <= budget) & (all_bits is None or first + np.bitwise_count(more[a] ^ more[b]) <= all_bits)
-
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            walked = sizes <= PIVOT_GROUP if all_bits is not None else sizes > 0
-            for a, b in trie_pairs(turned, starts[walked], ends[walked], below, budget):
-                near = close(a, b)
+            for a, b in trie_pairs(turned, starts, ends, below, budget):
+                near = np.bitwise_count(node[a] ^ node[b]) <= budget
                 yield a[near], b[near]
-            for s, e in zip(starts[~walked].tolist(), ends[~walked].tolist()):
-                for a, b in pivot_pairs(lambda i: close(s + i, slice(s, e)), e - s):
-                    yield a + s, b + s
 
-        root = _join_roots(len(fp), pairs())
-        own = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.record_batch([pa.array(node[own]), pa.array(node[root[own]])], ["u", "v"])
+        root = _join_roots(len(node), pairs())
+        own = np.flatnonzero(root != np.arange(len(node)))
+        return pa.record_batch([pa.array(node[own].view(np.int64)), pa.array(node[root[own]].view(np.int64))], ["u", "v"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -296,32 +234,9 @@ def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 2, id_co
     """`doc_id`, `fp`, `component_id` for each row: the fingerprint and the smallest id of its component."""
     rows = stage(docs.select(F.col(id_column).alias("doc_id"), fingerprints(F.col(text_column), shingle).alias("fp")).withColumn("node", F.col("fp")))
     distinct = stage(rows.groupBy("node").agg(F.min("doc_id").alias("first_id")))
-    sides = distinct.select("node", F.col("node").alias("fp"), F.lit(0).cast("long").alias("more"))
-    return _classes(rows, distinct, links(sides, exact_orders(budget), budget))
-
-
-def near_components(docs: DataFrame, shingle: int = 3, bits: int = NEAR_BITS, all_bits: int = NEAR_BITS_128, orders: int = NEAR_ORDERS,
-                    prefix: int = NEAR_PREFIX, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """As `simhash_components`, for copies with more edits."""
-    wide = docs.select(F.col(id_column).alias("doc_id"), wide_fingerprints(F.col(text_column), shingle).alias("w"))
-    rows = stage(wide.select("doc_id", "w.fp", "w.more", F.xxhash64("w.fp", "w.more").alias("node")))
-    distinct = stage(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("more").alias("more")))
-    return _classes(rows, distinct, links(distinct, random_orders(orders, prefix), bits, all_bits))
+    return _classes(rows, distinct, links(distinct, exact_orders(budget), budget))
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
-
-def one_per_component(docs: DataFrame, **options) -> DataFrame:
-    """The documents that have the smallest id of their component of near copies; of rows with equal id and text, one.
-
-    Documents without an id stay where no document of their component has one.
-    """
-    from .copies import near_copies
-
-    kept = unused(docs, "_kept")
-    ids = near_copies(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("component_id").alias(kept)).distinct()
-    id_column, text_column = options.get("id_column", "doc_id"), options.get("text_column", "text")
-    return docs.join(ids, F.col(id_column).eqNullSafe(F.col(kept)), "left_semi").dropDuplicates([id_column, text_column])

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from folio.llm import lm, minhash, simhash, token_counts, toxicity
+from folio.llm import copies, lm, minhash, simhash, token_counts, toxicity
 
 from .conftest import hard_rows, prose
 
@@ -129,18 +129,9 @@ def test_one_of_each_group_of_edited_copies_stays(spark, hard, empty):
     rows = [(i, " ".join(base[:10 * i] + ["edited"] + base[10 * i + 1:])) for i in range(1, 25)]
     rows += [(100 + i, prose(1000 + i, 200)) for i in range(30)] + [(1, rows[0][1])]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.one_per_component(table).collect()) == [1, *range(100, 130)]
-    kept = simhash.one_per_component(hard)
-    assert kept.columns == hard.columns and 47 not in {r.doc_id for r in kept.collect()} and simhash.one_per_component(empty).count() == 0
-
-
-def test_pivots_join_what_all_pairs_join():
-    random = np.random.Generator(np.random.PCG64(3))
-    points = np.sort(random.random(300))
-    close = lambda i: np.abs(points - points[i]) <= 0.01
-    root = simhash._join_roots(300, simhash.pivot_pairs(close, 300))
-    want = np.concatenate(([0], np.cumsum(np.diff(points) > 0.01)))
-    assert len(set(root.tolist())) == len(set(want.tolist())) == len(set(zip(root.tolist(), want.tolist())))
+    assert sorted(r.doc_id for r in copies.one_per_component(table).collect()) == [1, *range(100, 130)]
+    kept = copies.one_per_component(hard)
+    assert kept.columns == hard.columns and 47 not in {r.doc_id for r in kept.collect()} and copies.one_per_component(empty).count() == 0
 
 
 FIRST, SECOND = "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"

@@ -181,3 +181,21 @@ def test_shards_are_even_and_gapless(hard, empty, crowded):
         ordered = sorted(rows, key=lambda r: (r.shard, r.slot))
         assert [r.curve for r in ordered] == sorted(r.curve for r in rows)
     assert hilbert.shard(empty, 5).count() == 0
+
+
+def test_clustered_shards_equal_a_plain_sort(hard, empty, spark):
+    rows = hilbert.clustered(hard.withColumn("_id", F.lit("x")), 7).collect()
+    assert len(rows) == hard.count() and set(rows[0].asDict()) == {*hard.columns, "_id", "curve", "shard"}
+    hashes = {r.text: r.h for r in hard.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    key = lambda r: (r.curve, r.doc_id is not None, r.doc_id or 0, hashes[r.text])
+    ordered = sorted(rows, key=key)
+    base, wide = divmod(len(rows), 7)
+    ends = [n * base + min(n, wide) for n in range(1, 7)]
+    want, at = [], 0
+    for i, r in enumerate(ordered):
+        # A border between equal rows moves behind them.
+        while at < 6 and i >= ends[at] and key(r) != key(ordered[ends[at] - 1]):
+            at += 1
+        want.append(at)
+    assert [r.shard for r in ordered] == want
+    assert hilbert.clustered(empty, 7).count() == 0 and {r.shard for r in hilbert.clustered(hard.limit(3), 7).collect()} <= set(range(7))

@@ -36,5 +36,5 @@ def test_pipeline_catches_planted_cases(spark, tmp_path):
 
 def test_each_query_is_registered_once():
     names = sorted(queries.QUERIES)
-    assert len(names) == 10 and {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
+    assert len(names) == 13 and {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.SQL) <= set(names) and json.dumps(queries.SQL)
