@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,9 +116,35 @@ def family(kind: Column) -> Column:
     )
 
 
+@cache
+def _foldings() -> dict[str, str]:
+    """Lower-case characters that full case folding changes further, by the rule of the Unicode database."""
+    lower = (chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and chr(c).lower() == chr(c))
+    return {c: c.casefold() for c in lower if c.casefold() != c}
+
+
+def _ranges(codes: list[int]) -> str:
+    """A character class of ascending codes, neighbours as ranges."""
+    out: list[list[int]] = []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
 def fold_case(text: Column) -> Column:
-    """Case folding as lower case plus the one common full folding."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, then what differs from it (ß as ss, ligatures, the final sigma, ...).
+
+    Texts in ASCII are done with lower case, and only those with a rare letter are taken apart.
+    """
+    table = _foldings()
+    rare = F.lit(_ranges([ord(c) for c in table if c != "ß"]))
+    lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    letters = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(lookup, c), c)), "")
+    full = lambda t: F.when(F.rlike(t, rare), letters(t)).otherwise(F.replace(t, F.lit("ß"), F.lit("ss")))
+    return once(F.lower(text), lambda low: F.when(F.rlike(low, F.lit("[^\\x00-\\x7f]")), full(low)).otherwise(low))
 
 
 def normal_number(number: Column) -> Column:

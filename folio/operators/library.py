@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions import text as X
 from ..session import cut_lineage
 
 
@@ -15,7 +16,7 @@ def split_library(books: DataFrame, deleted: bool) -> DataFrame:
 
 def title_filter(books: DataFrame, query: str) -> DataFrame:
     """Case-insensitive part of the title; blanks around the query do not count."""
-    return books.filter(F.contains(F.lower("title"), F.lower(F.lit(query.strip()))))
+    return books.filter(F.contains(X.fold_case(F.col("title")), F.lit(query.strip().casefold())))
 
 
 def numeric_key(title: Column) -> Column:

@@ -1,139 +1,100 @@
-"""Positions followed through edits: tokens through replacements, line ranges through a changed page.
+"""Positions followed through edits: tokens through replacements, line ranges and line diffs of a changed page.
 
-Both rest on what surely stayed: equal text at the beginning and at the end of a changed piece, and what occurs exactly
-once before and once after. Where a general text comparison would choose one of several equal places, these rules call
-it ambiguous (tokens) or widen the range to the nearest sure line (ranges).
+All rest on one alignment, `functions/alignment.py`, that Arrow batches of pages compute in the tasks; a page is one value,
+so its two versions meet in one row. Only rows that an edit touches reach Python.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as X
-
-
-def _leading(a: Column, b: Column) -> Column:
-    """Number of equal elements at the beginning of two arrays."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    return X.once(F.array_position(same, False), lambda at: F.when(at == 0, F.size(a)).otherwise(at - 1).cast("int"))
-
-
-def _letters(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
-
-
-def _place_in(old: Column, new: Column, token: Column, low: Column) -> Column:
-    """Where a token at `low` of `old` is in `new`: `at` (null: removed), and `unsure` if that cannot be told.
-
-    `low` is negative, or the token longer than `old`, where the edit covers a part of the token only.
-    """
-    high = low + F.length(token)
-    once_before, once_after = X.occurrences(old, token) == 1, X.occurrences(new, token) == 1
-
-    def decide(equal: Column) -> Column:
-        ahead = F.when(high <= equal["head"], low)
-        back = F.when(low >= F.length(old) - equal["tail"], low + F.length(new) - F.length(old))
-        unique = F.when(once_before & once_after & (low >= 0) & (high <= F.length(old)), F.position(token, new) - 1)
-        kept = (X.occurrences(new, token) > 0) & (low >= 0) & (high <= F.length(old))
-        unsure = F.when(ahead.isNotNull() & back.isNotNull(), ahead != back).otherwise(
-            ahead.isNull() & back.isNull() & unique.isNull() & kept)
-        return F.struct(F.coalesce(ahead, back, unique).cast("int").alias("at"), unsure.alias("unsure"))
-
-    letters = F.struct(_letters(old).alias("o"), _letters(new).alias("n"))
-    equal = X.once(letters, lambda c: F.struct(
-        _leading(c["o"], c["n"]).alias("head"), _leading(F.reverse(c["o"]), F.reverse(c["n"])).alias("tail")))
-    return X.once(equal, decide)
+from ..functions import alignment as A
+
+
+def _follow(tex: str, offset: int | None, token: str, edits) -> tuple[int | None, str | None]:
+    """A token's offset after the edits of its page (None once it is removed), or the problem that ended the walk."""
+    for edit in edits:
+        old, new = edit["old"], edit["new"]
+        if not old or tex.count(old) != 1:
+            return None, "STALE_PATCH"
+        left = tex.index(old)
+        right = left + len(old)
+        if offset is not None and offset >= right:
+            offset += len(new) - len(old)
+        elif offset is not None and offset + len(token) > left:
+            low, high = offset - left, offset - left + len(token)
+            # Read from both ends: only a place that both ways agree on is sure.
+            ahead = A.kept_at(old, new, low, high)
+            back = A.kept_at(old[::-1], new[::-1], len(old) - high, len(old) - low)
+            if ahead != (None if back is None else len(new) - back - len(token)):
+                return None, "SEAM_TARGET_AMBIGUOUS"
+            offset = None if ahead is None else left + ahead
+        tex = tex[:left] + new + tex[right:]
+    return offset, None
 
 
 def rebase_nodes(nodes: DataFrame, pages: DataFrame, edits: DataFrame) -> DataFrame:
     """Tracked tokens after the edits of their page: `new_offset` (null when removed) and `problem`.
 
     `nodes` has book_id, id, page, offset and token; `edits` has book_id, page, seq, old and new. A token before an edit
-    stays, one behind it moves by the difference in length. One inside is looked for as `_place_in` says.
+    stays, one behind it moves by the difference in length. One that an edit covers is where the alignment of old and new
+    keeps it; if alignments from the left and from the right disagree, it is SEAM_TARGET_AMBIGUOUS.
     """
     per_page = edits.groupBy("book_id", "page").agg(F.array_sort(F.collect_list(F.struct("seq", "old", "new"))).alias("_edits"))
     touched = nodes.join(per_page, ["book_id", "page"]).join(pages.select("book_id", "page", "tex"), ["book_id", "page"])
-    token = F.col("token")
-
-    def state(tex: Column, at: Column, problem: Column) -> Column:
-        return F.struct(tex.alias("tex"), at.cast("int").alias("at"), problem.cast("string").alias("problem"))
-
-    def edited(s: Column, e: Column) -> Column:
-        left = F.position(e["old"], s["tex"]) - 1
-        right = left + F.length(e["old"])
-        tex = F.replace(s["tex"], e["old"], e["new"])
-        inside = (s["at"] < right) & (s["at"] + F.length(token) > left)
-
-        def put(found: Column) -> Column:
-            return state(tex, left + found["at"], F.when(found["unsure"], F.lit("SEAM_TARGET_AMBIGUOUS")))
 
-        shifted = F.when(s["at"] >= right, s["at"] + F.length(e["new"]) - F.length(e["old"])).otherwise(s["at"])
-        return F.when(inside, X.once(_place_in(e["old"], e["new"], token, s["at"] - left), put)).otherwise(
-            state(tex, shifted, F.lit(None)))
+    @F.pandas_udf("at bigint, problem string")
+    def moved(tex: pd.Series, offset: pd.Series, token: pd.Series, changes: pd.Series) -> pd.DataFrame:
+        rows = [_follow(t, None if pd.isna(o) else int(o), k, e) for t, o, k, e in zip(tex, offset, token, changes)]
+        return pd.DataFrame({"at": pd.array([r[0] for r in rows], "Int64"), "problem": pd.Series([r[1] for r in rows], dtype=object)})
 
-    def step(s: Column, e: Column) -> Column:
-        stale = X.occurrences(s["tex"], e["old"]) != 1
-        return F.when(s["problem"].isNotNull(), s).when(stale, state(s["tex"], F.lit(None), F.lit("STALE_PATCH"))).otherwise(edited(s, e))
-
-    moved = touched.withColumn("_s", F.aggregate("_edits", state(F.col("tex"), F.col("offset"), F.lit(None)), step))
-    changed = moved.select("book_id", "id", F.when(F.col("_s.problem").isNull(), F.col("_s.at")).cast("bigint").alias("new_offset"),
-                           F.col("_s.problem").alias("problem"))
+    changed = touched.withColumn("_s", moved("tex", F.col("offset").cast("bigint"), "token", "_edits")).select(
+        "book_id", "id", F.col("_s.at").alias("new_offset"), F.col("_s.problem").alias("problem"))
     still = nodes.join(per_page.select("book_id", "page"), ["book_id", "page"], "left_anti").select(
         "book_id", "id", F.col("offset").cast("bigint").alias("new_offset"), F.lit(None).cast("string").alias("problem"))
     return changed.unionByName(still)
 
 
-def _sure_lines(before: Column, after: Column) -> Column:
-    """Lines that occur once in both pieces and change places with no other such line, as (was, now) indexes."""
-    def count(lines: Column, x: Column) -> Column:
-        return F.size(F.filter(lines, lambda y: y == x))
+def line_diff(versions: DataFrame, old: str = "original", new: str = "current") -> DataFrame:
+    """One row per operation between the lines of two texts: `tag` and the ranges `old_start`–`old_end`, `new_start`–`new_end`.
+
+    Ranges count lines from 0 and are half open. Lines keep their ends. The other columns of `versions` are kept.
+    """
+    kind = "array<struct<tag:string,old_start:int,old_end:int,new_start:int,new_end:int>>"
+
+    @F.pandas_udf(kind)
+    def compared(was: pd.Series, now: pd.Series) -> pd.Series:
+        names = ("tag", "old_start", "old_end", "new_start", "new_end")
+        return pd.Series([[dict(zip(names, o)) for o in A.operations(a.splitlines(keepends=True), b.splitlines(keepends=True))] for a, b in zip(was, now)])
 
-    both = F.transform(before, lambda x, i: F.struct(i.alias("was"), (F.array_position(after, x) - 1).cast("int").alias("now"),
-                                                     ((count(before, x) == 1) & (count(after, x) == 1)).alias("sure")))
-    return X.once(F.filter(both, lambda p: p["sure"]), lambda all_: F.filter(all_, lambda p: F.forall(
-        all_, lambda q: (q["was"] == p["was"]) | ((q["was"] < p["was"]) == (q["now"] < p["now"])))))
+    kept = [c for c in versions.columns if c not in (old, new)]
+    text = [F.coalesce(F.col(c), F.lit("")) for c in (old, new)]
+    return versions.withColumn("_o", F.explode(compared(*text))).select(*kept, "_o.*")
 
 
 def rebase_ranges(ranges: DataFrame) -> DataFrame:
     """Line ranges mapped from `original` to `current`; a range deleted meanwhile is REFERENCE_REPAIR_CONFLICT.
 
-    Equal lines at the beginning and end of the page keep their distance to it. Between them, a border moves with its
-    line if that is a sure one, else to the nearest sure line outside the range. An end of 0 means the last line.
+    Both borders are carried over the line diff: one inside a changed piece goes to the piece's outer end. An end of 0
+    means the last line. A page without lines gives the whole page.
     """
-    def mapped(p: Column) -> Column:
-        was, now = p["was"], p["now"]
-        n, m = F.size(was), F.size(now)
-        first = F.col("start_line") - 1
-        last = F.when(F.col("end_line") == 0, n).otherwise(F.col("end_line")) - 1
-
-        def border(s: Column) -> Column:
-            head, tail, sure = s["head"], n - s["tail"], s["sure"]
-            own = lambda i: F.get(F.filter(sure, lambda q: q["was"] == i - head), F.lit(0))["now"]
-            left = F.array_max(F.transform(F.filter(sure, lambda q: q["was"] < first - head), lambda q: q["now"]))
-            right = F.array_min(F.transform(F.filter(sure, lambda q: q["was"] > last - head), lambda q: q["now"]))
-            low = F.when(first < head, first).when(first >= tail, first + m - n).otherwise(
-                F.coalesce(head + own(first), head + left + 1, head))
-            high = F.when(last < head, last + 1).when(last >= tail, last + 1 + m - n).otherwise(
-                F.coalesce(head + own(last) + 1, head + right, m - s["tail"]))
-            return F.struct(low.alias("low"), high.alias("high"))
-
-        def middle(s: Column) -> Column:
-            a = F.slice(was, s["head"] + 1, n - s["head"] - s["tail"])
-            b = F.slice(now, s["head"] + 1, m - s["head"] - s["tail"])
-            return X.once(F.struct(s["head"].alias("head"), s["tail"].alias("tail"), X.once(
-                F.struct(a.alias("a"), b.alias("b")), lambda x: _sure_lines(x["a"], x["b"])).alias("sure")), border)
-
-        head = _leading(was, now)
-        ends = X.once(head, lambda h: F.struct(h.alias("head"), F.least(
-            _leading(F.reverse(was), F.reverse(now)), F.least(n, m) - h).alias("tail")))
-        found = X.once(ends, middle)
-        return F.when(n == 0, F.struct(F.lit(0).alias("low"), F.greatest(F.lit(1), m).alias("high"))).otherwise(found)
-
-    lines = F.struct(X.keep_lines(F.col("original")).alias("was"), X.keep_lines(F.col("current")).alias("now"))
-    done = ranges.withColumn("_r", X.once(lines, mapped))
+    @F.pandas_udf("low bigint, high bigint")
+    def mapped(was: pd.Series, now: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b, first, last in zip(was, now, start, end):
+            before, after = a.splitlines(keepends=True), b.splitlines(keepends=True)
+            if not before:
+                out.append((0, max(1, len(after))))
+                continue
+            steps = A.operations(before, after)
+            out.append((A.carried(steps, len(after), int(first) - 1, False), A.carried(steps, len(after), int(last) or len(before), True)))
+        return pd.DataFrame(out, columns=["low", "high"], dtype="int64")
+
+    text = [F.coalesce(F.col(c), F.lit("")) for c in ("original", "current")]
+    done = ranges.withColumn("_r", mapped(*text, "start_line", "end_line"))
     there = F.col("_r.high") > F.col("_r.low")
     return done.select(
-        *ranges.columns, F.when(there, F.col("_r.low") + 1).cast("bigint").alias("new_start"),
-        F.when(there, F.col("_r.high")).cast("bigint").alias("new_end"),
+        *ranges.columns, F.when(there, F.col("_r.low") + 1).alias("new_start"), F.when(there, F.col("_r.high")).alias("new_end"),
         F.when(~there, F.lit("REFERENCE_REPAIR_CONFLICT")).alias("problem"))

@@ -389,62 +389,122 @@ def _count(text, part):
     return f"((length({text}) - length(replace({text}, {part}, ''))) // length({part}))"
 
 
+def _aligned_sql(source: str, name: str) -> str:
+    """SQL: tables that align `a` and `b` of each `k` of a source, recursively by the longest common block.
+
+    `{name}` has one row per block: k, i, j, n. `{name}_cells` holds equal elements with the run that begins there.
+    """
+    return f"""
+{name}_cells AS MATERIALIZED (
+ SELECT k, i, j, max(i) OVER (PARTITION BY k, i - j, i - place) - i + 1 AS run FROM (
+  SELECT *, row_number() OVER (PARTITION BY k, i - j ORDER BY i) AS place FROM (
+   SELECT k, i, unnest(range(0, len(b))) AS j, a, b FROM (SELECT k, a, b, unnest(range(0, len(a))) AS i FROM {source})) WHERE a[i + 1] = b[j + 1])),
+{name}_parts AS (
+ SELECT k, CAST(0 AS BIGINT) AS alo, CAST(len(a) AS BIGINT) AS ahi, CAST(0 AS BIGINT) AS blo, CAST(len(b) AS BIGINT) AS bhi, false AS own,
+  CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS n FROM {source}
+ UNION ALL
+ SELECT k, CASE WHEN own THEN alo ELSE i + n END, CASE WHEN own THEN i ELSE ahi END, CASE WHEN own THEN blo ELSE j + n END, CASE WHEN own THEN j ELSE bhi END, own, i, j, n
+ FROM (SELECT k, alo, ahi, blo, bhi, -m.x AS i, -m.y AS j, m.n AS n, unnest([true, false]) AS own FROM (
+  SELECT p.k, alo, ahi, blo, bhi, max({{'n': least(run, ahi - c.i, bhi - c.j), 'x': -c.i, 'y': -c.j}}) AS m FROM {name}_parts p
+  JOIN {name}_cells c ON c.k = p.k AND c.i >= alo AND c.i < ahi AND c.j >= blo AND c.j < bhi GROUP BY p.k, alo, ahi, blo, bhi))),
+{name}_found AS (SELECT DISTINCT k, i, j, n FROM {name}_parts WHERE own),
+-- Blocks that touch on both sides are one.
+{name} AS (SELECT k, min(i) AS i, min(j) AS j, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS grp FROM (
+   SELECT *, coalesce(lag(i + n) OVER w = i AND lag(j + n) OVER w = j, false) AS joined FROM {name}_found WINDOW w AS (PARTITION BY k ORDER BY i))) GROUP BY k, grp)"""
+
+
+def _token_edits(pages):
+    """One replacement per page: of a token by two, of a piece of one, of text around one, of one that is not there."""
+    n = F.col("page") % 6
+    old, new = (F.element_at(F.array(*[F.lit(x[at]) for x in _TOKEN_EDITS]), (n + 1).cast("int")) for at in (0, 1))
+    return pages.select("book_id", "page", F.lit(1).alias("seq"), old.alias("old"), new.alias("new"))
+
+
+_TOKEN_EDITS = [
+    ("\\begin{theorem}", "\\begin{theorem}\\begin{theorem}"), ("words.\n\\beg", "words, more words.\n\n\\beg"), ("\\[x=1", "first \\[y=2\\] and \\[x=1"),
+    ("no such text", "nothing"), ("\n\\begin{theorem}\\label", "\nA \\begin{lemma}\\begin{theorem}\\label"), ("\\begin{proof}We argue.", "We \\begin{proof}argue. \\begin{proof}"),
+]
+_QUOTED = ["'" + x.replace("\n", "' || chr(10) || '").replace("\\", "' || chr(92) || '") + "'" for pair in _TOKEN_EDITS for x in pair]
+
+
 @REGISTRY.add("rebased_tokens", f"""
-WITH e AS (SELECT *, CASE page % 6 WHEN 0 THEN 'We argue.' WHEN 1 THEN 'Opening words.' WHEN 2 THEN 'x=1' ELSE 'Opening words.' || chr(10) END AS old,
-  CASE page % 6 WHEN 0 THEN 'We argue.' || chr(92) || 'end{{proof}}' WHEN 1 THEN 'Opening words.' WHEN 2 THEN 'x=2' WHEN 4 THEN chr(92) || 'begin{{lemma}}Opening words.' || chr(10) ELSE 'Opening  words.' || chr(10) END AS new
-  FROM ({C.TEX_PAGES}) WHERE page % 6 <> 3),
-h AS (SELECT *, {_equal_start("old", "new")} AS head, {_equal_start("reverse(old)", "reverse(new)")} AS tail FROM e),
+WITH RECURSIVE v AS (SELECT * FROM (VALUES {", ".join(f"({n}, {_QUOTED[2 * n]}, {_QUOTED[2 * n + 1]})" for n in range(6))}) AS x(n, old, new)),
+v1 AS (SELECT n AS k, string_split(old, '') AS a, string_split(new, '') AS b FROM v),
+v2 AS (SELECT n AS k, string_split(reverse(old), '') AS a, string_split(reverse(new), '') AS b FROM v),
+{_aligned_sql("v1", "ahead")}, {_aligned_sql("v2", "back")},
 t AS (SELECT book_id, page, CAST(start AS BIGINT) AS start, CASE WHEN name = 'displaymath' THEN chr(92) || '[' ELSE chr(92) || 'begin{{' || name || '}}' END AS token
   FROM ({C.DUCK_ENV_TOKENS}) WHERE op = 'begin'),
-j AS (SELECT t.*, h.*, h.old IS NOT NULL AS touched, {_count("h.tex", "h.old")} <> 1 AS stale, position(h.old in h.tex) - 1 AS lft, start - (position(h.old in h.tex) - 1) AS low
-  FROM t LEFT JOIN h ON t.book_id = h.book_id AND t.page = h.page),
-m AS (SELECT *, CASE WHEN low + length(token) <= head THEN low END AS ahead,
-  CASE WHEN low >= length(old) - tail THEN low + length(new) - length(old) END AS back,
-  CASE WHEN {_count("old", "token")} = 1 AND {_count("new", "token")} = 1 AND low >= 0 AND low + length(token) <= length(old) THEN position(token in new) - 1 END AS single,
-  {_count("new", "token")} > 0 AND low >= 0 AND low + length(token) <= length(old) AS kept, touched AND start < lft + length(old) AND start + length(token) > lft AS inside FROM j),
-u AS (SELECT *, CASE WHEN NOT touched THEN NULL WHEN stale THEN 'STALE_PATCH' WHEN inside AND CASE WHEN ahead IS NOT NULL AND back IS NOT NULL THEN ahead <> back
-  ELSE ahead IS NULL AND back IS NULL AND single IS NULL AND kept END THEN 'SEAM_TARGET_AMBIGUOUS' END AS problem FROM m)
-SELECT book_id, page || '-' || start AS id, CAST(CASE WHEN problem IS NOT NULL THEN NULL WHEN NOT touched THEN start WHEN inside THEN lft + coalesce(ahead, back, single)
-  WHEN start >= lft + length(old) THEN start + length(new) - length(old) ELSE start END AS BIGINT) AS new_offset, problem FROM u""")
+j AS (SELECT t.*, v.*, length(old) AS n_old, length(new) AS n_new, position(old in tex) - 1 AS lft,
+  (length(tex) - length(replace(tex, old, ''))) // length(old) <> 1 AS stale, start - (position(old in tex) - 1) AS low, start - (position(old in tex) - 1) + length(token) AS high
+  FROM t JOIN ({C.TEX_PAGES}) p ON p.book_id = t.book_id AND p.page = t.page JOIN v ON v.n = t.page % 6),
+m AS (SELECT j.*, x.j + low - x.i AS one, n_new - (y.j + n_old - high - y.i) - length(token) AS two, start < lft + n_old AND start + length(token) > lft AS inside
+  FROM j LEFT JOIN ahead x ON x.k = j.n AND x.i <= low AND high <= x.i + x.n LEFT JOIN back y ON y.k = j.n AND y.i <= n_old - high AND n_old - low <= y.i + y.n),
+u AS (SELECT *, CASE WHEN stale THEN 'STALE_PATCH' WHEN inside AND one IS DISTINCT FROM two THEN 'SEAM_TARGET_AMBIGUOUS' END AS problem FROM m)
+SELECT book_id, page || '-' || start AS id, CAST(CASE WHEN problem IS NOT NULL THEN NULL WHEN inside THEN lft + one
+  WHEN start >= lft + n_old THEN start + n_new - n_old ELSE start END AS BIGINT) AS new_offset, problem FROM u""")
 def rebased_tokens(spark, sf):
-    """Environment tokens followed through replacements."""
+    """Environment tokens followed through replacements, on every page."""
     pages = cut_lineage(C.tex_pages(spark, sf))
     tokens = M.env_tokens(pages).filter(F.col("op") == "begin")
     nodes = tokens.select("book_id", F.concat_ws("-", "page", "start").alias("id"), "page", F.col("start").alias("offset"),
                           F.when(F.col("name") == "displaymath", "\\[").otherwise(F.concat(F.lit("\\begin{"), "name", F.lit("}"))).alias("token"))
-    edits = _page_edits(pages).filter(F.col("page") % 6 != 3)
-    return RB.rebase_nodes(nodes, pages, edits)
+    return RB.rebase_nodes(nodes, pages, _token_edits(pages))
+
+
+# Two versions of each page whose lines repeat: the page twice, and lines added, taken out, doubled or turned round.
+_VERSIONS = f"""SELECT concat(book_id, '-', page) AS k, book_id, page, concat(tex, tex) AS original, CASE page % 4 WHEN 0 THEN concat('New first line.', chr(10), tex, tex)
+ WHEN 1 THEN replace(concat(tex, tex), concat('Opening words.', chr(10)), '') WHEN 2 THEN concat(tex, 'Between.', chr(10), tex, tex) ELSE concat('Opening words.', chr(10), tex, 'End.') END AS current
+ FROM ({C.TEX_PAGES}) t"""
 
 
-_WAS, _NOW = (f"regexp_extract_all({c}, '[^\\n]*\\n|[^\\n]+')" for c in ("original", "current"))
+def _versions(spark, sf):
+    tex, twice = F.col("tex"), F.concat("tex", "tex")
+    n = F.col("page") % 4
+    current = (F.when(n == 0, F.concat(F.lit("New first line.\n"), twice)).when(n == 1, F.replace(twice, F.lit("Opening words.\n"), F.lit("")))
+               .when(n == 2, F.concat(tex, F.lit("Between.\n"), twice)).otherwise(F.concat(F.lit("Opening words.\n"), tex, F.lit("End."))))
+    return C.tex_pages(spark, sf).select("book_id", "page", twice.alias("original"), current.alias("current"))
+
+
+_LINES = f"""v AS MATERIALIZED ({_VERSIONS}),
+l AS MATERIALIZED (SELECT k, book_id, page, {", ".join(f"regexp_extract_all({c}, '[^{chr(92)}n]*{chr(92)}n|[^{chr(92)}n]+') AS {x}" for c, x in (("original", "a"), ("current", "b")))} FROM v)"""
+
+
+@REGISTRY.add("line_diffs", f"""
+WITH RECURSIVE {_LINES}, {_aligned_sql("l", "blocks")},
+e AS (SELECT k, i, j, n FROM blocks UNION ALL SELECT k, len(a), len(b), 0 FROM l),
+g AS (SELECT *, coalesce(lag(i + n) OVER w, 0) AS pi, coalesce(lag(j + n) OVER w, 0) AS pj FROM e WINDOW w AS (PARTITION BY k ORDER BY i, j, n DESC)),
+o AS (SELECT k, 'equal' AS tag, i AS a1, i + n AS a2, j AS b1, j + n AS b2 FROM e WHERE n > 0
+ UNION ALL SELECT k, CASE WHEN pi < i AND pj < j THEN 'replace' WHEN pi < i THEN 'delete' ELSE 'insert' END, pi, i, pj, j FROM g WHERE pi < i OR pj < j)
+SELECT book_id, page, tag, CAST(a1 AS INTEGER) AS old_start, CAST(a2 AS INTEGER) AS old_end, CAST(b1 AS INTEGER) AS new_start, CAST(b2 AS INTEGER) AS new_end FROM o JOIN l USING (k)""")
+def line_diffs(spark, sf):
+    """The operations between two versions of each page."""
+    return RB.line_diff(_versions(spark, sf))
+
+
+def _carried_sql(at: str, right: bool) -> str:
+    """SQL: a border before line `at`, by the blocks of its page as the list `bs`, which ends with an empty one at both ends."""
+    inside = f"list_filter(bs, lambda x: x.i < {at} AND {at} < x.i + x.n)"
+    ends = f"list_filter(bs, lambda x: x.n > 0 AND x.i + x.n <= {at})"
+    last = f"CASE WHEN len({ends}) = 0 THEN {{'i': 0, 'j': 0}} ELSE {{'i': {ends}[-1].i + {ends}[-1].n, 'j': {ends}[-1].j + {ends}[-1].n}} END"
+    following = f"list_filter(bs, lambda x: x.i >= {at})[1]"
+    return f"""CASE WHEN len({inside}) > 0 THEN {inside}[1].j + {at} - {inside}[1].i WHEN ({last}).i = {at} THEN ({last}).j
+ WHEN {at} = len(a) THEN len(b) WHEN {following}.i = {at} THEN {following}.j ELSE {following + ".j" if right else f"({last}).j"} END"""
 
 
 @REGISTRY.add("rebased_ranges", f"""
-WITH r AS (SELECT book_id, page, tex AS original, CASE page % 3 WHEN 0 THEN 'New first line.' || chr(10) || tex
-  WHEN 1 THEN replace(tex, 'Opening words.' || chr(10), '') ELSE tex END AS current FROM ({C.TEX_PAGES})),
-l AS (SELECT book_id, page, {_WAS} AS a, {_NOW} AS b FROM r),
-s AS (SELECT *, len(a) AS n, len(b) AS m, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS head,
-  coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[-i] <> b[-i])) - 1, least(len(a), len(b))) AS free FROM l WHERE len(a) >= 2),
-t AS (SELECT *, least(free, least(n, m) - head) AS tail FROM s),
-q AS (SELECT *, n - tail AS stop, a[head + 1:n - tail] AS x, b[head + 1:m - tail] AS y FROM t),
-k AS (SELECT *, list_filter(list_transform(range(1, len(x) + 1), lambda i: {{'was': i - 1, 'now': list_position(y, x[i]) - 1,
-  'sure': len(list_filter(x, lambda z: z = x[i])) = 1 AND len(list_filter(y, lambda z: z = x[i])) = 1}}), lambda p: p.sure) AS w FROM q),
-v AS (SELECT *, list_filter(w, lambda p: len(list_filter(w, lambda o: o.was <> p.was AND (o.was < p.was) <> (o.now < p.now))) = 0) AS sure FROM k),
-g AS (SELECT *, CASE WHEN 1 < head THEN 1 WHEN 1 >= stop THEN 1 + m - n ELSE coalesce(
-    head + list_filter(sure, lambda p: p.was = 1 - head)[1].now, head + list_max(list_transform(list_filter(sure, lambda p: p.was < 1 - head), lambda p: p.now)) + 1, head) END AS low,
-  CASE WHEN n - 1 < head THEN n WHEN n - 1 >= stop THEN m ELSE coalesce(
-    head + list_filter(sure, lambda p: p.was = n - 1 - head)[1].now + 1, head + list_min(list_transform(list_filter(sure, lambda p: p.was > n - 1 - head), lambda p: p.now)), m - tail) END AS high
-  FROM v)
-SELECT book_id, page, CAST(CASE WHEN high > low THEN low + 1 END AS BIGINT) AS new_start, CAST(CASE WHEN high > low THEN high END AS BIGINT) AS new_end,
-  CASE WHEN NOT high > low THEN 'REFERENCE_REPAIR_CONFLICT' END AS problem FROM g""")
+WITH RECURSIVE {_LINES}, {_aligned_sql("l", "blocks")},
+e AS (SELECT k, list({{'i': i, 'j': j, 'n': n}} ORDER BY i, j, n DESC) AS bs FROM (SELECT k, i, j, n FROM blocks UNION ALL SELECT k, len(a), len(b), 0 FROM l) GROUP BY k),
+r AS (SELECT l.*, bs, s.first, CASE WHEN s.last = 0 THEN len(a) ELSE s.last END AS stop, s.last FROM l JOIN e USING (k), (VALUES (1, 2), (2, 3), (3, 0)) AS s(first, last) WHERE len(a) >= 3),
+w AS (SELECT book_id, page, first, last, {_carried_sql("(first - 1)", False)} AS low, {_carried_sql("stop", True)} AS high FROM r)
+SELECT book_id, page, CAST(first AS INTEGER) AS start_line, CAST(CASE WHEN high > low THEN low + 1 END AS BIGINT) AS new_start, CAST(CASE WHEN high > low THEN high END AS BIGINT) AS new_end,
+  CASE WHEN NOT high > low THEN 'REFERENCE_REPAIR_CONFLICT' END AS problem FROM w""")
 def rebased_ranges(spark, sf):
-    """Line ranges mapped onto pages that gained or lost lines."""
-    pages = C.tex_pages(spark, sf)
-    changed = F.when(F.col("page") % 3 == 0, F.concat(F.lit("New first line.\n"), F.col("tex"))).when(
-        F.col("page") % 3 == 1, F.regexp_replace("tex", r"Opening words\.\n", "")).otherwise(F.col("tex"))
-    ranges = pages.select("book_id", "page", F.col("tex").alias("original"), changed.alias("current"), F.lit(2).alias("start_line"), F.lit(0).alias("end_line"))
-    usable = ranges.filter(F.size(X.keep_lines(F.col("original"))) >= 2)
-    return RB.rebase_ranges(usable).select("book_id", "page", "new_start", "new_end", "problem")
+    """Line ranges mapped onto pages whose lines repeat and that gained or lost some."""
+    asked = F.explode(F.array(*[F.struct(F.lit(a).alias("start_line"), F.lit(b).alias("end_line")) for a, b in ((1, 2), (2, 3), (3, 0))]))
+    ranges = _versions(spark, sf).withColumn("r", asked).select("book_id", "page", "original", "current", "r.*")
+    usable = ranges.filter(F.size(X.keep_lines(F.col("original"))) >= 3)
+    return RB.rebase_ranges(usable).select("book_id", "page", "start_line", "new_start", "new_end", "problem")
 
 
 @REGISTRY.add("fragment_edits", f"""

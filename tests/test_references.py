@@ -81,15 +81,6 @@ def test_unconfirmed_needs_a_missing_unedited_reference_with_reason(spark):
     assert R.check_unconfirmed(blank, symbols, edits, items.limit(0)).first().problem == "REFERENCE_REVIEW"
 
 
-def test_search_in_many_blocks_equals_search_in_one(spark, monkeypatch):
-    lines = spark.createDataFrame([(1, 1, n, t) for n, t in enumerate(["Straße und Weg", "the End.", "x", "STRASSE", "weg weg weg"], 1)], "book_id bigint, page bigint, line int, text string")
-    queries = spark.createDataFrame([(1, "strasse"), (2, "WEG"), (3, "x"), (4, "nd"), (5, "zzz")], "query_id int, query string")
-    in_place = sorted(map(tuple, SE.search_lines(lines, queries).collect()))
-    monkeypatch.setattr(SE, "BLOCK", 2)
-    assert sorted(map(tuple, SE.search_lines(lines, queries).collect())) == in_place
-    assert [(r[0], r[3]) for r in in_place] == [(1, 1), (1, 4), (2, 1), (2, 5), (3, 3), (4, 1), (4, 2)]
-
-
 def test_paging_of_hits(spark):
     hits = spark.createDataFrame([(1, 1, p, 1) for p in range(1, 2000, 3)], "query_id int, book_id bigint, page bigint, line int")
     asked = spark.createDataFrame([(1, 300, 2)], "query_id int, offset int, limit int")
