@@ -1,4 +1,10 @@
-"""Similarity of keys by matching blocks, over bounded chunks of distinct keys."""
+"""Similarity of keys by matching blocks: by deletion neighbourhoods, then over bounded chunks of distinct keys.
+
+The ratio of two keys is 1 - d / (sum of their lengths), where d is at least the number of characters that must be deleted
+from both to make them equal. Keys with d up to NEAR share a string that up to NEAR deletions in all leave of both, so an
+equi-join of such strings finds them. A key whose best matches are above anything that d > NEAR allows is done; the others
+are compared chunk by chunk, as are families that fit into one chunk.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 CHUNK = 256
+# Deletions in both keys together that the join covers.
+NEAR = 2
 
 
 def _bounds(keys, pool) -> np.ndarray:
@@ -93,3 +103,47 @@ def near_keys_in_chunks(wanted: DataFrame, offered: DataFrame, n: int, cutoff: f
     order = Window.partitionBy("book_id", "key").orderBy(F.desc("score"), F.desc("near_key"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select(
         "book_id", "key", "rank", "near_key", "score")
+
+
+def _shorter(key: Column) -> Column:
+    """Every string that one deletion leaves, once."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.concat(
+        F.substr(key, F.lit(1), i - 1), F.substr(key, i + 1))))
+
+
+def _neighbourhood(keys: DataFrame, level: str) -> DataFrame:
+    """One row per key and string that up to NEAR deletions leave: `_left` as a hash, and the number of deletions."""
+    rounds = [F.array("key")]
+    for _ in range(NEAR):
+        rounds.append(F.when(F.length("key") >= len(rounds), F.array_distinct(F.flatten(F.transform(rounds[-1], _shorter)))).otherwise(F.array().cast("array<string>")))
+    each = F.concat(*[F.transform(r, lambda x, n=n: F.struct(F.lit(n).alias("n"), F.xxhash64(x).alias("h"))) for n, r in enumerate(rounds)])
+    return keys.withColumn("_v", F.explode(each)).select("book_id", "family", "key", F.col("_v.n").alias(level), F.col("_v.h").alias("_left"))
+
+
+def near_keys_by_deletions(wanted: DataFrame, offered: DataFrame, n: int, cutoff: float) -> DataFrame:
+    """As `near_keys_in_chunks`, exact too; only keys with fewer than `n` close neighbours meet the chunks of their book."""
+
+    @F.pandas_udf("double")
+    def ratio(keys: pd.Series, others: pd.Series) -> pd.Series:
+        matcher, out = SequenceMatcher(), []
+        for key, other in zip(keys, others):
+            if key is not matcher.b:
+                matcher.set_seq2(key)
+            matcher.set_seq1(other)
+            out.append(matcher.ratio())
+        return pd.Series(out, dtype="float64")
+
+    # In a family of one chunk, comparing is cheaper than the join.
+    large = offered.groupBy("book_id", "family").agg(F.count("*").alias("_n")).filter(F.col("_n") > CHUNK).select("book_id", "family")
+    left, right = (_neighbourhood(side.join(large, ["book_id", "family"], "left_semi"), level) for side, level in ((wanted, "_w"), (offered, "_o")))
+    right = right.withColumnRenamed("key", "near_key")
+    pairs = left.join(right, ["book_id", "family", "_left"]).filter(F.col("_w") + F.col("_o") <= NEAR).select("book_id", "family", "key", "near_key").distinct()
+    scored = pairs.withColumn("score", ratio("key", "near_key")).filter(F.col("score") >= cutoff)
+    order = Window.partitionBy("book_id", "key").orderBy(F.desc("score"), F.desc("near_key"))
+    best = cut_lineage(scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("book_id", "key", "rank", "near_key", "score"))
+    # The highest ratio that more deletions leave: the other key is longer by as many.
+    most = 1 - F.lit(float(NEAR + 1)) / (2 * F.length("key") + NEAR + 1)
+    done = best.filter((F.col("rank") == n) & (F.col("score") > most + 1e-12)).select("book_id", "key")
+    rest = cut_lineage(wanted.join(done, ["book_id", "key"], "left_anti"))
+    sure = best.join(done, ["book_id", "key"], "left_semi")
+    return sure.unionByName(near_keys_in_chunks(rest, offered, n, cutoff))

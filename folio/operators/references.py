@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..functions.similarity import near_keys_in_chunks
+from ..functions.similarity import near_keys_by_deletions
+from ..session import cut_lineage
 
 
 def targets_of(symbols: DataFrame) -> DataFrame:
@@ -153,7 +154,7 @@ def near_keys(symbols: DataFrame, n: int = P.NEAR_KEY_COUNT, cutoff: float = P.N
     wanted = missing_refs(symbols).select("book_id", "key").distinct()
     offered = targets_of(symbols).select("book_id", "key").distinct()
     blocked = lambda f: f.withColumn("family", X.family(X.key_kind(F.col("key"))))
-    return near_keys_in_chunks(blocked(wanted), blocked(offered), n, cutoff)
+    return near_keys_by_deletions(cut_lineage(blocked(wanted)), cut_lineage(blocked(offered)), n, cutoff)
 
 
 def scope_headings(members: DataFrame, scoped: DataFrame, headings: DataFrame) -> DataFrame:

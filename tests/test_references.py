@@ -35,6 +35,26 @@ def test_near_keys_equal_brute_force(spark, monkeypatch):
         assert got.get(k, []) == want
 
 
+def test_near_keys_of_a_large_family_are_few_pairs(spark, monkeypatch):
+    """Scored pairs grow with the keys, not with their square, and nothing is left for the chunks."""
+    left, scored = [], []
+    chunks = SIM.near_keys_in_chunks
+    monkeypatch.setattr(SIM, "near_keys_in_chunks", lambda rest, *more: left.append(rest.count()) or chunks(rest, *more))
+    for size in (20, 40):
+        labels = [f"theorem:{a}.{b}" for a in range(10, 10 + size) for b in range(10, 10 + 2 * size, 2)]
+        asked = [f"theorem:{a}.{b}" for a in range(10, 10 + size) for b in (13, 25)]
+        frame = lambda keys: spark.createDataFrame([(1, "statement", k) for k in keys], "book_id int, family string, key string")
+        got = {}
+        for r in SIM.near_keys_by_deletions(frame(asked), frame(labels), 5, 0.6).orderBy("rank").collect():
+            got.setdefault(r.key, []).append(r.near_key)
+        for k in asked[::9]:
+            assert got[k] == get_close_matches(k, labels, n=5, cutoff=0.6)
+        assert left[-1] == 0
+        pairs = SIM._neighbourhood(frame(asked), "_w").join(SIM._neighbourhood(frame(labels), "_o").withColumnRenamed("key", "near_key"), ["book_id", "family", "_left"]).filter("_w + _o <= 2")
+        scored.append(pairs.select("key", "near_key").distinct().count() / len(asked))
+    assert scored[1] < 1.5 * scored[0] + 1 < 40
+
+
 def test_groups_share_a_namespace_and_evidence_stays_read_only(spark):
     rows = [(1, 1, "a", "label", "lemma:1:x"), (1, 2, "b", "label", "lemma:1:x"), (1, 3, "c", "label", "lemma:1:y"), (1, 4, "d", "label", "lemma:1:y"),
             (1, 5, "e", "label", "lemma:1"), (1, 6, "r", "reference", "lemma:1:x"), (1, 7, "m", "reference", "lemma:9")]
