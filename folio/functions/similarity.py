@@ -111,12 +111,16 @@ def _shorter(key: Column) -> Column:
         F.substr(key, F.lit(1), i - 1), F.substr(key, i + 1))))
 
 
+def _hashed(deletions: int):
+    return lambda x: F.struct(F.lit(deletions).alias("n"), F.xxhash64(x).alias("h"))
+
+
 def _neighbourhood(keys: DataFrame, level: str) -> DataFrame:
     """One row per key and string that up to NEAR deletions leave: `_left` as a hash, and the number of deletions."""
     rounds = [F.array("key")]
     for _ in range(NEAR):
         rounds.append(F.when(F.length("key") >= len(rounds), F.array_distinct(F.flatten(F.transform(rounds[-1], _shorter)))).otherwise(F.array().cast("array<string>")))
-    each = F.concat(*[F.transform(r, lambda x, n=n: F.struct(F.lit(n).alias("n"), F.xxhash64(x).alias("h"))) for n, r in enumerate(rounds)])
+    each = F.concat(*[F.transform(r, _hashed(deletions)) for deletions, r in enumerate(rounds)])
     return keys.withColumn("_v", F.explode(each)).select("book_id", "family", "key", F.col("_v.n").alias(level), F.col("_v.h").alias("_left"))
 
 
