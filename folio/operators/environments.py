@@ -151,6 +151,8 @@ def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _RESIDUE = ("begin", "end", "label")
+# Nodes that one wider fold joins, as a power of two.
+FAN_BITS = 4
 
 
 def _fold_sorted(last: bool):
@@ -194,8 +196,9 @@ def _widen(residue: DataFrame, schema: str, group: Column, last: bool) -> DataFr
 def pair_strict(pages: DataFrame, dialect: MarkupDialect = TEX) -> tuple[DataFrame, DataFrame]:
     """(nodes, unmatched): a closing ends only the top of one shared stack; a bad closing pops nothing.
 
-    Folding runs per page, then per block of pages, then per book. Each step writes what it settled and passes on only
-    what it could not decide, so a very long book sends its last task little more than its open environments.
+    Folding runs per page, then per block of pages, then per 16 neighbours of the level below, until one node of the tree
+    holds a book. Each step writes what it settled and passes on only what it could not decide, so a task reads the
+    undecided rows of 16 nodes, however long the book is.
     """
     book = pages.schema["book_id"].dataType.simpleString()
     schema = f"book_id {book}, " + ", ".join(f"{n} {t}" for n, t in _COLUMNS)
@@ -203,10 +206,20 @@ def pair_strict(pages: DataFrame, dialect: MarkupDialect = TEX) -> tuple[DataFra
     found = F.transform(env_token_array(F.col("tex"), dialect), lambda t: t.withField("claim", _claim(t["op"], t["name"])))
     tokens = pages.select("book_id", F.col("page").cast("bigint").alias("page"), block.alias("block"), found.alias("tokens"))
     undecided = F.col("role").isin(*_RESIDUE)
-    by_page = cut_lineage(tokens.mapInArrow(_fold_pages, schema))
-    by_block = cut_lineage(_widen(by_page.filter(undecided), schema, F.col("grp"), last=False))
-    by_book = _widen(by_block.filter(undecided), schema, F.lit(0), last=True)
-    settled = by_page.filter(~undecided).unionByName(by_block.filter(~undecided)).unionByName(by_book)
+    level = cut_lineage(tokens.mapInArrow(_fold_pages, schema))
+    settled = level.filter(~undecided)
+    # The number of the last block of any book: the depth of the tree.
+    highest, wide = level.agg(F.max("grp")).first()[0] or 0, 0
+    while True:
+        last = highest == 0
+        wider = _widen(level.filter(undecided), schema, F.shiftright("grp", wide), last)
+        if last:
+            settled = settled.unionByName(wider)
+            break
+        level = cut_lineage(wider)
+        settled = settled.unionByName(level.filter(~undecided))
+        # The first wider fold joined the pages of a block, the next ones join neighbours.
+        highest, wide = highest >> FAN_BITS, FAN_BITS
     nodes = settled.filter(F.col("role").isin("node", "unclosed")).select(
         "book_id", "name", _env_id("env-", F.col("begin_page"), F.col("ordinal")).alias("id"), "label",
         "begin_page", "begin_line", "begin_offset", "end_page", "end_line", "end_offset",

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..functions.digests import merkle_roots
 from ..functions.scan import Running, running
 
 
 def content_hash(files: DataFrame) -> DataFrame:
-    """Hash of each project's path → hash map. Order-free and combined on the map side, whatever the project's size."""
+    """Merkle root of each project's path → hash map: the same for any order, and safe to trust when a snapshot is reused."""
     member = F.concat(F.col("path"), F.lit("\u0000"), F.col("sha256"))
-    return files.groupBy("project_id").agg(X.set_digest(member).alias("content_hash"), F.count("*").alias("files"))
+    return merkle_roots(files, ["project_id"], member, "content_hash", "files")
 
 
 def manifest_diff(before: DataFrame, after: DataFrame) -> DataFrame:

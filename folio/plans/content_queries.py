@@ -242,7 +242,7 @@ g AS (SELECT *, CASE WHEN suffix = '' THEN '' ELSE coalesce(da, CASE WHEN ka > 0
 h AS (SELECT *, CASE WHEN suffix = '' AND prefix = '' THEN CASE WHEN new <> '' THEN 'INVALID_PATCH' END WHEN ea IS NULL OR eb IS NULL THEN 'STALE_PATCH'
   WHEN {_UNSAFE_SQL} IS NOT NULL THEN {_UNSAFE_SQL}
   WHEN regexp_extract_all(ea || eb, '{P.MARKER}') <> regexp_extract_all(new, '{P.MARKER}') THEN 'ANCHOR_CHANGE' END AS problem FROM g)
-SELECT book_id, batch_no, left_page, right_page, left_tex, right_tex, new, problem,
+SELECT book_id, batch_no, left_page, right_page, left_tex, right_tex, suffix, new, problem,
  CASE WHEN problem IS NULL AND NOT (suffix = '' AND prefix = '') THEN substr(left_tex, 1, length(left_tex) - length(ea)) || new ELSE left_tex END AS new_left,
  CASE WHEN problem IS NULL AND NOT (suffix = '' AND prefix = '') THEN substr(right_tex, length(eb) + 1) ELSE right_tex END AS new_right FROM h)"""
 
@@ -295,11 +295,11 @@ def _mismatch_sql(text: str, part: str, suffix: bool) -> str:
 
 
 @REGISTRY.add("seam_mismatches", f"""
-WITH stale AS MATERIALIZED (SELECT *, 'nothing like it' AS left_part, substr(right_tex, 4, 20) || 'nothing' AS right_part FROM {_PATCHED} WHERE problem = 'STALE_PATCH' AND batch_no % 7 = 3)
+WITH stale AS MATERIALIZED (SELECT *, suffix AS left_part, substr(right_tex, 4, 20) || 'nothing' AS right_part FROM {_PATCHED} WHERE problem = 'STALE_PATCH')
 SELECT * FROM {_mismatch_sql("left_tex", "left_part", True)} UNION ALL SELECT * FROM {_mismatch_sql("right_tex", "right_part", False)}""")
 def seam_mismatches(spark, sf):
     """First difference of each stale patch on both sides, in offsets of the page; right parts here begin too late."""
-    stale = _patched(spark, sf).filter((F.col("problem") == "STALE_PATCH") & (F.col("batch_no") % 7 == 3)).select(
+    stale = _patched(spark, sf).filter(F.col("problem") == "STALE_PATCH").select(
         "book_id", "batch_no", "left_tex", "right_tex", F.col("left_suffix").alias("left_part"),
         F.concat(F.substr("right_tex", F.lit(4), F.lit(20)), F.lit("nothing")).alias("right_part"))
     keys = ["book_id", "batch_no"]

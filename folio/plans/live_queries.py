@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..session import stage_folder
 from ..streaming import live as V
 from . import corpora as C
@@ -84,3 +85,13 @@ def activity_sessions(spark, sf):
 @REGISTRY.add("live_attempts", f"SELECT run_id, task_id, purpose, count(*) AS used, count(*) >= 8 AS exhausted FROM {CALLS} WHERE repair AND task_id IS NOT NULL GROUP BY ALL")
 def live_attempts(spark, sf):
     return V.all_attempts(_finish(spark, V.live_attempts(_calls(spark, sf)), ["span", "run_id", "task_id", "purpose"]))
+
+
+@REGISTRY.add("live_repair_limits", f"""
+SELECT run_id, task_id, purpose, used, seq FROM (
+ SELECT run_id, task_id, purpose, seq, row_number() OVER (PARTITION BY run_id, task_id, purpose ORDER BY epoch_ms(ts), seq) AS used FROM {CALLS} WHERE repair AND task_id IS NOT NULL)
+WHERE used = CASE purpose WHEN 'references' THEN {P.REFERENCE_REPAIR_LIMIT} ELSE {P.REPAIR_LIMIT} END""")
+def live_repair_limits(spark, sf):
+    """Tasks that reach their cap, with the repair that does."""
+    calls = _calls(spark, sf).withColumn("repair_epoch", F.lit(0))
+    return _finish(spark, V.repair_limits(calls)).select("run_id", "task_id", "purpose", "used", "seq")

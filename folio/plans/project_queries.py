@@ -33,12 +33,15 @@ def _scratch(spark) -> str:
 # --- snapshots -----------------------------------------------------------------------------------------------
 
 _MEMBER = "sha256(path || chr(0) || sha256(content))"
-_HEX = "CAST('0x' || substr(h, {at}, 15) AS BIGINT)"
 
 
 def _hash_sql(files: str) -> str:
-    return (f"SELECT project_id, sha256(concat_ws(':', count(*), sum({_HEX.format(at=1)}), sum({_HEX.format(at=16)}))) AS content_hash, count(*) AS files "
-            f"FROM (SELECT project_id, {_MEMBER} AS h FROM {files}) GROUP BY project_id")
+    """A plain Merkle root: leaves by the first six hex digits of their hash, then nodes by four, two and none."""
+    out = f"(SELECT project_id, {_MEMBER} AS node, {_MEMBER} AS digest, 1 AS n FROM {files})"
+    for digits in (6, 4, 2, 0):
+        out = (f"(SELECT project_id, substr(node, 1, {digits}) AS node, sha256('{digits}:' || string_agg(digest, '' ORDER BY node, digest)) AS digest, sum(n) AS n "
+               f"FROM {out} GROUP BY project_id, substr(node, 1, {digits}))")
+    return f"SELECT project_id, digest AS content_hash, CAST(n AS BIGINT) AS files FROM {out}"
 
 
 @REGISTRY.add("content_hashes", _hash_sql(BEFORE))

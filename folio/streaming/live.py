@@ -6,8 +6,12 @@ the same code runs on a finished table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import patterns as P
 from ..operators.ledger import request_key, usage_ledger
@@ -68,6 +72,45 @@ def all_attempts(rows: DataFrame, cap: int = P.REPAIR_LIMIT) -> DataFrame:
     return rows.groupBy("run_id", "task_id", "purpose").agg(F.sum("used").alias("used")).withColumn("exhausted", F.col("used") >= cap)
 
 
+def repair_limits(calls: DataFrame, expire: str = "30 days", delay: str = DELAY, cap: int = P.REPAIR_LIMIT,
+                  reference_cap: int = P.REFERENCE_REPAIR_LIMIT) -> DataFrame:
+    """One row for each task whose repairs reach its cap, at the repair that reaches it: `used`, `ts` and `seq` of that call.
+
+    The state of a task is one count. A call with a later `repair_epoch` starts it anew, so the cap can be reached again;
+    a task without a repair for the time of `expire`, by the watermark, is forgotten. Calls of one arrival are counted in
+    the order of (ts, seq), ten thousand at a time; arrivals follow each other. Late calls are dropped by `delay`.
+    """
+    keys = ["run_id", "task_id", "purpose"]
+    span = int(calls.sparkSession.sql(f"SELECT unix_millis(TIMESTAMP'1970-01-01 00:00:00+00' + INTERVAL {expire})").first()[0])
+    repairs = calls.filter(F.col("repair") & F.col("task_id").isNotNull()).withWatermark("ts", delay)
+    rows = repairs.select(*keys, "ts", F.unix_millis("ts").alias("ms"), F.col("seq").cast("bigint").alias("seq"), F.col("repair_epoch").cast("bigint").alias("repair_epoch"))
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        epoch, used, latest = state.get if state.exists else (-1, 0, 0)
+        limit = reference_cap if key[2] == "references" else cap
+        reached = []
+        for batch in batches:
+            for ms, seq, own, ts in sorted(zip(batch["ms"], batch["seq"], batch["repair_epoch"], batch["ts"])):
+                if own > epoch:
+                    epoch, used = own, 0
+                # A repair of an epoch that is over does not count.
+                used += own == epoch
+                latest = max(latest, ms)
+                if used == limit and own == epoch:
+                    reached.append((*key, int(own), int(used), ts, int(seq)))
+        state.update((int(epoch), int(used), int(latest)))
+        state.setTimeoutTimestamp(max(int(latest) + span, state.getCurrentWatermarkMs() + 1))
+        if reached:
+            yield pd.DataFrame(reached, columns=[*keys, "repair_epoch", "used", "ts", "seq"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    out = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", repair_epoch bigint, used bigint, ts timestamp, seq bigint"
+    return rows.groupBy(*keys).applyInPandasWithState(count, out, "epoch bigint, used bigint, latest bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 # --- sinks ------------------------------------------------------------------
 
 
