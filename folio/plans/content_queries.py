@@ -348,6 +348,17 @@ def edited_pages(spark, sf):
     return ED.apply_symbol_edits(C.tex_pages(spark, sf), merged)
 
 
+@REGISTRY.add("conflicting_edits", f"""
+SELECT e.book_id, e.id, e.page, e.key || x.tail AS key, CASE WHEN e.page % 4 = 0 THEN 'EDIT_CONFLICT' END AS problem
+FROM (SELECT * FROM {_CHECKED} WHERE problem IS NULL) e, (VALUES (''), (':again')) AS x(tail) WHERE x.tail = '' OR e.page % 4 = 0""")
+def conflicting_edits(spark, sf):
+    """Edits of two groups that agree but on every fourth page, where the second writes other keys."""
+    table = symbol_table(spark, sf)
+    good = cut_lineage(R.check_edits(_edits(table), table).filter(F.col("problem").isNull()))
+    other = good.withColumn("key", F.when(F.col("page") % 4 == 0, F.concat("key", F.lit(":again"))).otherwise(F.col("key")))
+    return ED.merge_edits(good, other).select("book_id", "id", "page", "key", "problem")
+
+
 @REGISTRY.add("stale_edits", f"""
 SELECT e.book_id, e.id, CASE WHEN s.id IS NULL THEN true ELSE
  EXISTS (SELECT 1 FROM {C.duck(C.FRAGMENTS)} f WHERE f.book_id = s.book_id AND f.page = s.page AND f.kind = 5)

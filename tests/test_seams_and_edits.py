@@ -152,3 +152,19 @@ def test_boxes_and_reads(spark):
     pages = spark.createDataFrame([(1, 1, "a\nb\r\nc\n")], "book_id bigint, page bigint, tex string")
     reads = spark.createDataFrame([(1, 1, 1, 2, 0), (2, 1, 1, 1, 9), (3, 1, 1, 3, 2)], "read_id int, book_id bigint, page bigint, start_line int, end_line int")
     assert {r.read_id: (r.text, r.total_lines) for r in SE.read_lines(pages, reads).collect()} == {1: ("b\nc", 3), 2: ("a\nb\nc", 3), 3: ("", 3)}
+
+
+def test_conflicting_edits_are_reported_and_not_written(spark):
+    schema = "book_id int, page int, id string, start int, end int, command string, key string"
+    frame = lambda *rows: spark.createDataFrame([(1, 1, f"r{a}", a, b, "ref", k) for a, b, k in rows], schema)
+    tex = "\\ref{a:1} \\ref{b:1} \\ref{c:1}"
+    pages = spark.createDataFrame([(1, 1, tex)], "book_id int, page int, tex string")
+    groups = [frame((0, 9, "y:1"), (10, 19, "b:2")), frame((0, 9, "z:1"), (10, 19, "b:2")), frame((20, 29, "c:2"))]
+    for order in ((0, 1, 2), (2, 1, 0), (1, 0, 2)):
+        merged = ED.merge_edits(*[groups[i] for i in order])
+        assert sorted((r.start, r.key, r.problem) for r in merged.collect()) == [(0, "y:1", "EDIT_CONFLICT"), (0, "z:1", "EDIT_CONFLICT"), (10, "b:2", None), (20, "c:2", None)]
+        assert ED.apply_symbol_edits(pages, merged).first().tex == "\\ref{a:1} \\ref{b:2} \\ref{c:2}"
+    inside = ED.merge_edits(frame((0, 29, "x")), frame((5, 9, "y"), (9, 12, "z")), frame((40, 50, "w")))
+    assert sorted((r.start, r.problem) for r in inside.collect()) == [(0, "EDIT_CONFLICT"), (5, "EDIT_CONFLICT"), (9, "EDIT_CONFLICT"), (40, None)]
+    touching = ED.merge_edits(frame((0, 9, "x")), frame((9, 12, "y")))
+    assert {r.problem for r in touching.collect()} == {None}
