@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,14 @@ from folio.functions.scan import free_name as unused
 from folio.functions.scan import ranked
 from folio.session import cut_lineage, drop_stage
 
-__all__ = ["WORD", "bound", "drop_stage", "ranked", "stage", "text_of", "uniform_hash", "unused", "word_count"]
+__all__ = ["WORD", "bound", "drop_stage", "filter_of", "ranked", "stage", "text_of", "uniform_hash", "unused", "word_count"]
 
 # Words are runs of anything but these ASCII spaces (fixed value of the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 
+# Bits of a filter of keys: 4 MB, however many keys there are.
+FILTER_BITS = 25
+
 
 def stage(df: DataFrame) -> DataFrame:
     """A written table in the shared folder: evaluated once, and safe when executors are lost."""
@@ -38,3 +43,19 @@ def uniform_hash(key: Column, seed: int = 0) -> Column:
 def bound(value: Column, use) -> Column:
     """`use(value)` with the value computed once; a plain column may be computed again wherever a lambda names it."""
     return F.transform(F.array(value), use)[0]
+
+
+def filter_of(keys: DataFrame):
+    """A column function that is true for all values of the only column, a long, and for few others: a bitmap of fixed size."""
+    key = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(1 << FILTER_BITS))
+    words = keys.select(F.shiftright(key, 6).cast("int").alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), (key % 64).cast("int")).alias("b"))
+    found = words.groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
+    bitmap = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    bitmap[found["i"].to_numpy()] = found["b"].to_numpy()
+
+    @F.pandas_udf("boolean")
+    def passes(at: pd.Series) -> pd.Series:
+        place = at.to_numpy()
+        return pd.Series((bitmap[place >> 6] >> (place & 63)) & 1 == 1)
+
+    return lambda column: passes(F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)))

@@ -102,7 +102,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
                     copies.alias("copies"), (F.col("size") * copies).alias("taken")))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of the input."""
-    out = mix(docs, **options).where("copies > 0")
-    return out.withColumn(unused(out, "_copy"), F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with all columns it came with."""
+    held = unused(docs, "_row")
+    narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(source_column).alias("source"), F.struct(*docs.columns).alias(held))
+    out = mix(narrow, id_column="id", text_column="text", source_column="source", **options).where("copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(f"{held}.*")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from folio.session import ship_package, stage_folder
 
 from . import chat, decontaminate, hilbert, lines, lm, merkle, minhash, mining, mixture, passages, simhash, token_counts, toxicity
-from .common import text_of
+from .common import stage, text_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -77,10 +77,11 @@ SQL["op2_line_spread"] = """
 WITH l AS (
   SELECT doc_id, source, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos, unnest(string_split(coalesce(text, ''), chr(10))) AS line
   FROM documents),
+t AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM l),
 b AS (
-  SELECT trim(line, ' ') AS t FROM l WHERE length(trim(line, ' ')) >= 20 GROUP BY 1
+  SELECT bare FROM t WHERE bare <> '' GROUP BY 1
   HAVING count(DISTINCT '=' || source) + max((source IS NULL)::INT) >= 5),
-k AS (SELECT l.*, b.t IS NOT NULL AS gone FROM l LEFT JOIN b ON trim(l.line, ' ') = b.t)
+k AS (SELECT t.*, b.bare IS NOT NULL AS gone FROM t LEFT JOIN b ON t.bare = b.bare)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS removed_lines,
        length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), ''))::BIGINT AS kept_chars,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
@@ -178,17 +179,17 @@ FROM r LEFT JOIN f ON r.source IS NOT DISTINCT FROM f.source
 
 @query
 def op7_token_counts(read):
-    """All documents under one tokenizer; those not in English recounted by another one; those labelled toxic deleted.
+    """All documents under one tokenizer; those labelled low in quality recounted by another one; those toxic deleted.
 
     The deletion is sent twice, as after a lost answer.
     """
     first, second = "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"
-    docs = read("documents")
+    docs, labels = read("documents"), read("labels")
     store = token_counts.Rollup(docs.sparkSession, f"{stage_folder(docs.sparkSession).rstrip('/')}/tokens-{uuid.uuid4().hex}")
     store.commit("load", token_counts.insertions(docs, first))
-    foreign = docs.where("lang <> 'en'")
-    store.commit("recount", token_counts.deletions(foreign, first).union(token_counts.insertions(foreign, second)))
-    toxic = read("labels").where("toxic = 1").select("doc_id")
+    low = stage(labels.where("quality = 0 AND doc_id IS NOT NULL").select("doc_id").distinct())
+    store.commit("recount", token_counts.deletions(low, first).union(token_counts.insertions(docs, second, ids=low)))
+    toxic = labels.where("toxic = 1").select("doc_id")
     for _ in range(2):
         store.commit("toxic", token_counts.deletions(toxic, first).union(token_counts.deletions(toxic, second)))
     return store.totals()

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import filter_of, text_of
 
 FOLDER = "/opt/tokenizers"
 # How byte-level vocabularies cut a text before merging (fixed value, part of these vocabularies).
@@ -66,8 +66,15 @@ def token_count(text: Column, version: str, folder: str = FOLDER) -> Column:
     return count(text_of(text))
 
 
-def insertions(docs: DataFrame, version: str, folder: str = FOLDER) -> DataFrame:
-    """Changes that give documents their counts, whether they had some or not."""
+def insertions(docs: DataFrame, version: str, folder: str = FOLDER, ids: DataFrame | None = None) -> DataFrame:
+    """Changes that give documents their counts, whether they had some or not.
+
+    With `ids` (a stage table of distinct `doc_id`), only those documents are counted. Texts are read where they are: a
+    filter of fixed size lets hardly any others through to the tokenizer, and the join meets the counts, not the texts.
+    """
+    if ids is not None:
+        likely = docs.where(filter_of(ids.select("doc_id"))(F.col("doc_id")))
+        return insertions(likely, version, folder).join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id")).drop("_id")
     return docs.select("doc_id", F.lit(version).alias("version"), F.lit(True).alias("alive"), "source", "lang",
                        token_count(F.col("text"), version, folder).alias("tokens"), F.length(text_of("text")).cast("long").alias("chars"))
 

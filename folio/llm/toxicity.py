@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import stage, text_of, unused
 
 # Labelled rows that a fit may use, in the order of a hash of the id.
 SAMPLE_ROWS = 8000
@@ -267,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample
         return texts.map(of)
 
     # At most the distinct words of the sample within an edit or two of a term.
-    clean = sample.where("toxic = 0").select(F.explode(near(F.col("text"))).alias("w")).groupBy("w").count().where("count >= 2").limit(100_000).collect()
+    clean = sample.where("toxic = 0").select(F.explode(near(F.col("text"))).alias("w")).groupBy("w").count().where("count >= 2").collect()
     model.clean = frozenset(r["w"] for r in clean)
     # At most `sample_rows` rows of a few numbers; sorted, so that sums agree between runs.
     data = sorted(sample.select("toxic", _features(model)(F.col("text")).alias("x")).collect(), key=lambda r: (r["toxic"], r["x"]))
@@ -315,5 +315,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def civil_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted to be toxic."""
-    return scored(docs, labels).where("predicted = 0").select(*docs.columns)
+    """The documents that are not predicted to be toxic, with the columns they came with."""
+    score = unused(docs, "_score")
+    model = fit(docs, labels, ~held_out(F.col("doc_id")))
+    return docs.withColumn(score, scorer(model)(F.col("text"))).where(F.col(score) < 0.5).select(*docs.columns)

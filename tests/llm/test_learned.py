@@ -256,3 +256,20 @@ def test_scores_match_counts(spark, hard, empty, crowded, monkeypatch):
     assert lm.scores(empty).count() == 0
     alone = lm.scores(hard.where(lm.held_out(F.col("doc_id")))).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.score <= 0 for r in alone)
+
+
+def test_columns_of_civil_documents_stay(spark, hard):
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)], "doc_id long, toxic int")
+    clashing = hard.select("*", *[F.lit(f"own {n}").alias(n) for n in ("score", "held_out", "predicted", "_score")])
+    got = toxicity.civil_documents(clashing, labels).collect()
+    assert got and all(r[n] == f"own {n}" for r in got for n in ("score", "held_out", "predicted", "_score"))
+
+
+def test_counts_of_listed_documents(spark, hard, tmp_path):
+    """Recounting by a list of ids counts those documents and no others, null languages included."""
+    from folio.llm.common import stage
+
+    ids = stage(spark.createDataFrame([(i,) for i in (0, 2, 5, 40, 42, 46, 999)], "doc_id long"))
+    got = token_counts.insertions(hard, FIRST, ids=ids).collect()
+    want = [r for r in token_counts.insertions(hard, FIRST).collect() if r.doc_id in (0, 2, 5, 40, 42, 46)]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and any(r.lang is None for r in got)

@@ -44,21 +44,22 @@ def test_templates_with_overlapping_controls_are_refused():
         chat.Template(turn="ab", says="ba")
 
 
-def spread_model(rows, least, chars=20):
+def spread_model(rows, least):
+    bare = lambda x: x.strip(" \t\r\x0b\x0c")
     sites = defaultdict(set)
     for _, text, _, source, _ in rows:
         for line in (text or "").split("\n"):
-            if len(line.strip(" ")) >= chars:
-                sites[line.strip(" ")].add(source)
+            if bare(line):
+                sites[bare(line)].add(source)
     gone = {k for k, v in sites.items() if len(v) >= least}
-    return sorted((str(i), len(p := (t or "").split("\n")), sum(x.strip(" ") in gone for x in p), "\n".join(x for x in p if x.strip(" ") not in gone))
+    return sorted((str(i), len(p := (t or "").split("\n")), sum(bare(x) in gone for x in p), "\n".join(x for x in p if bare(x) not in gone))
                   for i, t, *_ in rows)
 
 
 @pytest.mark.parametrize("least", [1, 3, 5, 40])
 def test_lines_on_many_sites_go(spark, least):
     common, rare = "This line stands on very many sites.", "This one stands on four of them only."
-    rows = [(i, "\n".join([prose(i, 8), common if i % 2 else "  " + common, rare if i < 4 else prose(i + 100, 9), "short", ""]), "en", f"s{i}" if i else None, 0)
+    rows = [(i, "\n".join([prose(i, 8), common if i % 2 else "  " + common, rare if i < 4 else prose(i + 100, 9), "short", "tab\t" if i % 2 else "\ttab\r", ""]), "en", f"s{i}" if i else None, 0)
             for i in range(50)]
     rows += [(99, None, None, None, None), rows[1], (None, common, "en", "s1", 1), (100, common, "en", "s1", 1), (101, "\n" + rare, "en", "s1", 1)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -199,3 +200,13 @@ def test_clustered_shards_equal_a_plain_sort(hard, empty, spark):
         want.append(at)
     assert [r.shard for r in ordered] == want
     assert hilbert.clustered(empty, 7).count() == 0 and {r.shard for r in hilbert.clustered(hard.limit(3), 7).collect()} <= set(range(7))
+
+
+def test_columns_of_the_mix_stay(hard, crowded):
+    """Input columns with names of results are those of the input afterwards, as often as without them."""
+    names = ["size", "target", "copies", "source_size", "taken", "_row", "_copy"]
+    clashing = hard.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    got = mixture.mixed_documents(clashing).collect()
+    assert got and all(r[n] == f"own {n}" for r in got for n in names)
+    plain = Counter(tuple(r) for r in mixture.mixed_documents(hard).collect())
+    assert Counter(tuple(r)[:5] for r in got) == plain
