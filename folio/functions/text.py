@@ -143,7 +143,9 @@ def fold_case(text: Column) -> Column:
     rare = F.lit(_ranges([ord(c) for c in table if c != "ß"]))
     lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     letters = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(lookup, c), c)), "")
-    full = lambda t: F.when(F.rlike(t, rare), letters(t)).otherwise(F.replace(t, F.lit("ß"), F.lit("ss")))
+    # Two quick looks first: most texts are ASCII, most others have nothing beyond Latin-1.
+    beyond = F.lit("[\\xb5\\x{100}-\\x{ffff}]")
+    full = lambda t: F.when(F.rlike(t, beyond) & F.rlike(t, rare), letters(t)).otherwise(F.replace(t, F.lit("ß"), F.lit("ss")))
     return once(F.lower(text), lambda low: F.when(F.rlike(low, F.lit("[^\\x00-\\x7f]")), full(low)).otherwise(low))
 
 
