@@ -58,11 +58,16 @@ class Lexicon:
                 self.stem[node] = (term, weights[term])
             else:
                 self.term[node] = (term, weights[term], edits)
+        self._forget()
+
+    def _forget(self) -> None:
+        """No state but the first one: for each its nodes, its transitions, the stem it stands on, and its best term."""
         self._states: list[dict[int, int]] = []
         self._numbers: dict[frozenset, int] = {}
         self._next: list[dict[str, int]] = []
+        self._stems: list[tuple[str, float, int] | None] = []
+        self._best: list[tuple[int, float, str] | None] = []
         self._start = self._number(self._closed({0: 0}))
-        self._words: dict[str, tuple[float, int] | None] = {}
 
     def _closed(self, state: dict[int, int]) -> dict[int, int]:
         """With the nodes reached by leaving out letters of a term."""
@@ -81,6 +86,9 @@ class Lexicon:
             self._numbers[key] = len(self._states)
             self._states.append(state)
             self._next.append({})
+            # Only one node is reached without an edit.
+            self._stems.append(next(((*self.stem[n], -1) for n, edits in state.items() if not edits and n in self.stem), None))
+            self._best.append(min(((edits, -self.term[n][1], self.term[n][0]) for n, edits in state.items() if n in self.term and edits <= self.term[n][2]), default=None))
         return self._numbers[key]
 
     def _step(self, number: int, letter: str) -> int:
@@ -102,22 +110,18 @@ class Lexicon:
         for at, letter in enumerate(word):
             if len(self._states) > 50_000:
                 # Transitions are a cache; a fresh one gives the same answers.
-                self._states, self._numbers, self._next = [], {}, []
-                self._start = self._number(self._closed({0: 0}))
+                self._forget()
                 return self.find(word)
             following = self._next[now].get(letter)
             now = self._step(now, letter) if following is None else following
             if now < 0:
                 break
-            for node, edits in self._states[now].items():
-                if not edits and node in self.stem and at + 1 < len(word):
-                    best = (*self.stem[node], -1)
-        if now >= 0:
-            full = [(edits, -self.term[n][1], self.term[n][0]) for n, edits in self._states[now].items() if n in self.term and edits <= self.term[n][2]]
-            if full:
-                edits, weight, term = min(full)
-                if not (edits and best):
-                    return term, -weight, edits
+            if self._stems[now] and at + 1 < len(word):
+                best = self._stems[now]
+        if now >= 0 and self._best[now]:
+            edits, weight, term = self._best[now]
+            if not (edits and best):
+                return term, -weight, edits
         return best
 
 
