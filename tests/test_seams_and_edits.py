@@ -137,6 +137,14 @@ def test_batches_cover_a_long_book(spark):
     assert len(rows) == 178 and rows[-1].pages == [532] and rows[0].batch_id == "batch-0001"
 
 
+def test_exploded_pages_of_tasks_are_not_broadcast(spark):
+    runs = spark.createDataFrame([(n, 1, 20, 3) for n in range(5)], "id bigint, start_page bigint, end_page bigint, pages_per_task bigint")
+    asked = runs.select(F.col("id").alias("run_id"), F.explode(F.array(F.lit(1).cast("bigint"), F.lit(20).cast("bigint"), F.lit(21).cast("bigint"))).alias("page"))
+    found = SM.task_of_page(SM.assign_batches(runs).withColumnRenamed("batch_id", "id"), asked)
+    assert sorted({(r.page, r.task_id) for r in found.collect()}, key=str) == [(1, "batch-0001"), (20, "batch-0007"), (21, None)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stitching_changes_both_ends_of_a_page(spark):
     pages = spark.createDataFrame([(1, 1, "one two"), (1, 2, "three four"), (1, 3, "five six")], "book_id bigint, page bigint, tex string")
     pairs = spark.createDataFrame([(1, 1, 2, "one two", "three four", "two", "three", "2-3"), (1, 2, 3, "three four", "five six", "four", "five", "4-5")],
