@@ -193,11 +193,12 @@ def grow_known(known: DataFrame, found: DataFrame) -> DataFrame:
 def check_edits(edits: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edits with the first rule each breaks, or null: unknown id, repeated id, bad key, changed kind or number.
 
-    `edits` has book_id, category (label or reference), id and the new key.
+    `edits` has book_id, category (label or reference), id and the new key. Both sides of the joins grow with the corpus,
+    but their size is guessed from compressed files, so hints keep them from being broadcast.
     """
     repeats = edits.groupBy("book_id", "category", "id").agg(F.count("*").alias("_times"))
     known = symbols.select("book_id", "category", "id", F.col("key").alias("old_key"), "page", "command", "start", "end")
-    joined = edits.join(repeats, ["book_id", "category", "id"]).join(known, ["book_id", "category", "id"], "left")
+    joined = edits.join(repeats.hint("merge"), ["book_id", "category", "id"]).join(known.hint("merge"), ["book_id", "category", "id"], "left")
     return joined.withColumn(
         "problem",
         F.when(F.col("old_key").isNull(), "unknown_id")
@@ -307,13 +308,14 @@ def owned(edits: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
 def stale_edits(edits: DataFrame, snapshot: DataFrame, current: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """Edits whose page layout, or whose occurrence's key, differs between snapshot and current pages.
 
-    `before` and `after` are symbol indexes; pages carry book_id, page, tex.
+    `before` and `after` are symbol indexes; pages carry book_id, page, tex. Each side grows with the corpus, but its
+    size is guessed from compressed files, so hints keep all four from being broadcast at once.
     """
     was = snapshot.select("book_id", "page", F.sha2(X.layout(F.col("tex")), 256).alias("_was"))
     now = current.select("book_id", "page", F.sha2(X.layout(F.col("tex")), 256).alias("_now"))
     old = before.select("book_id", "id", "page", F.col("key").alias("_old_key"))
     new = after.select("book_id", "id", F.col("key").alias("_new_key"))
-    joined = edits.join(old, ["book_id", "id"], "left").join(new, ["book_id", "id"], "left")
-    joined = joined.join(was, ["book_id", "page"], "left").join(now, ["book_id", "page"], "left")
+    joined = edits.join(old.hint("merge"), ["book_id", "id"], "left").join(new.hint("merge"), ["book_id", "id"], "left")
+    joined = joined.join(was.hint("merge"), ["book_id", "page"], "left").join(now.hint("merge"), ["book_id", "page"], "left")
     stale = ~F.col("_was").eqNullSafe(F.col("_now")) | F.col("_new_key").isNull() | ~F.col("_old_key").eqNullSafe(F.col("_new_key"))
     return joined.withColumn("stale", stale).drop("_was", "_now", "_old_key", "_new_key", "page")

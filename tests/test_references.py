@@ -124,3 +124,14 @@ def test_registered_rules_and_bounds(spark):
     rows = spark.createDataFrame([(1, n, "C", str(n)) for n in range(11)] + [(2, n, "C", "x") for n in range(10)], "book_id bigint, page bigint, code string, detail string")
     got = {r.book_id: (len(r.errors), r.has_more) for r in Q.bounded(rows).collect()}
     assert got == {1: (10, True), 2: (10, False)}
+
+
+def test_staleness_broadcasts_no_side_that_grows(spark):
+    table = symbol_frame(spark, [(1, n, f"p{n}-label-0", "label", f"lemma:{n}.1") for n in range(1, 5)])
+    later = table.withColumn("key", F.when(F.col("page") == 2, "lemma:9.9").otherwise(F.col("key"))).filter("page < 4")
+    pages = spark.createDataFrame([(1, n, f"text {n}") for n in range(1, 5)], "book_id bigint, page bigint, tex string")
+    now = pages.withColumn("tex", F.when(F.col("page") == 3, "other").otherwise(F.col("tex")))
+    edits = R.check_edits(table.select("book_id", "category", "id", F.concat("key", F.lit(":a")).alias("key")), table).filter("problem IS NULL")
+    found = R.stale_edits(edits.select("book_id", "id"), pages, now, table, later)
+    assert {r.id: r.stale for r in found.collect()} == {"p1-label-0": False, "p2-label-0": True, "p3-label-0": True, "p4-label-0": True}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
