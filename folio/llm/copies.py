@@ -6,12 +6,15 @@ that counts all shingles of the corpus. So a text is found by what is its own, a
 share, is in nobody's first shingles while there is enough else. Members of a first shingle's bucket are compared if their
 sizes and the places of the shingle allow enough overlap, and then by the shingles of the whole texts.
 
-The members of a bucket first meet one of them, the one that shares most with others, a new one each round, as long as
-that spares many pairs: members that links already join need not meet again. What is left then meets pair by pair. So the components are those of all links, while
-a large group of near copies costs about one row per copy.
+Links come first from the trie self-join of SimHash fingerprints (`simhash.links`), here of five-word shingles: each member
+of a class of linked fingerprints meets one of them and stays linked if the texts are similar enough. At a similarity of
+0.8 fingerprints differ in some ten of 64 bits, and a trie walk with room for twice as many finds nearly everything, so
+what the trie cannot reach is left to the shared first shingles.
 
-SimHash fingerprints cannot serve here: at a similarity of 0.8 they differ in some ten of 64 bits, and a search with room
-for twice as many finds nearly everything.
+The members of a bucket then meet one of them, the one that shares most with others, a new one each round, as long as
+that spares many pairs: members that links already join need not meet again. What is left then meets pair by pair, if
+the parities of both sets, a few words per text, leave room for the similarity. So the components are those of all links,
+while a large group of near copies costs about one row per copy.
 
 Words are runs of anything but ASCII spaces, in ASCII lower case; a text of fewer than five words is one shingle. Null
 texts count as empty, and texts without words are copies of each other. Long texts are read whole. Equal texts are one
@@ -33,13 +36,17 @@ from pyspark.sql import functions as F
 
 from .common import drop_stage, filter_of, stage, text_of, unused
 from .components import components
-from .simhash import _shingle_hashes
+from .simhash import _majority, _shingle_hashes, exact_orders, links
 
 SHINGLE, SIMILARITY = 5, 0.8
 # Counters of the sketch of shingles: 4 MB, however large the corpus is.
 COUNTER_BITS = 19
 # Pairs per member of a bucket above which members meet one of them first.
 PAIRS_PER_MEMBER = 8
+# Bits in which linked fingerprints differ at most.
+BUDGET = 3
+# Words of 64 parities of a text's shingles.
+PARITIES = 4
 
 
 def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -74,24 +81,33 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each place: sets that differ in d shingles differ in d places at most."""
+    places = np.bincount((shingles % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(places.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _nodes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """One row per distinct text: `node`, `key`, `first_id`, `n` and `prefix`, its first shingles; a written table."""
+    """One row per distinct text: `node`, `key`, `first_id`, `n`, `fp`, `odd` and `prefix`, its first shingles; a written table."""
     counts = rarity(docs.select("text"), shingle)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, first = [], []
+            sizes, first, prints, odd = [], [], [], []
             for t in batch.column(2):
                 found = shingle_set(t.as_py(), shingle)
+                prints.append(_majority(found))
+                odd.append(parities(found))
                 order = np.lexsort((found, counts[found >> np.uint64(64 - COUNTER_BITS)]))
                 sizes.append(len(found))
                 first.append(found[order[:prefix_length(len(found), similarity)]].view(np.int64))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))],
-                                  ["first_id", "key", "n", "prefix"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()),
+                                   pa.array(odd, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))],
+                                  ["first_id", "key", "n", "fp", "odd", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "key", "text").mapInArrow(prefixes, f"first_id {kind}, key binary, n int, prefix array<long>")
-    once = rows.groupBy("key").agg(F.min("first_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    rows = docs.select("doc_id", "key", "text").mapInArrow(prefixes, f"first_id {kind}, key binary, n int, fp long, odd array<long>, prefix array<long>")
+    once = rows.groupBy("key").agg(F.min("first_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "fp", "odd", "prefix")])
     return stage(once.withColumn("node", F.monotonically_increasing_id()))
 
 
@@ -138,16 +154,33 @@ def _members(docs: DataFrame, nodes: DataFrame, buckets: DataFrame) -> DataFrame
     return stage(once.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("node", "text"))
 
 
+def _trie_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """`u`, `v`: the similar ones of the pairs of each node with one node of its class of linked fingerprints."""
+    prints = stage(nodes.select(F.col("fp").alias("node")).distinct())
+    near = components(links(prints, exact_orders(BUDGET), BUDGET)).select(F.col("node").alias("_fp"), "root")
+    classed = stage(nodes.join(near, F.col("fp") == F.col("_fp"), "left").select("node", F.coalesce("root", "fp").alias("class")))
+    hubs = stage(classed.groupBy("class").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").select(F.col("class").alias("_class"), "hub"))
+    met = classed.join(hubs, F.col("class") == F.col("_class")).where("node != hub")
+    found = similar(met.select(F.col("hub").alias("u"), F.col("node").alias("v")), texts, shingle, similarity)
+    drop_stage(prints, classed, hubs)
+    return found
+
+
 def _links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """`u`, `v`: links of nodes whose components are those of all links."""
-    now = _buckets(nodes)
-    texts = _members(docs, nodes, now)
+    buckets = _buckets(nodes)
+    texts = _members(docs, nodes, buckets)
+    found: list[DataFrame] = [_trie_links(nodes, texts, shingle, similarity)]
+    linked = stage(components(found[0]).select(F.col("node").alias("_node"), F.col("root").alias("_to")))
+    now = buckets.join(linked, F.col("node") == F.col("_node"), "left").select("shingle", "node", "n", "pos", F.coalesce("_to", "node").alias("root"), "weight")
     share = F.lit(similarity / (1 + similarity))
     # The shared shingle and what comes after it on both sides is all that the sets can have in common, or an earlier
     # shingle is shared and its bucket finds them.
     possible = (F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - 1e-9) & (
         F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("_pos")) >= share * (F.col("n") + F.col("m")) - 1e-9)
-    found: list[DataFrame] = []
+    # Sets so similar differ in this many shingles at most, and so in as many parities.
+    apart_by = sum((F.bit_count(F.col(f"o{i}").bitwiseXOR(F.col(f"_o{i}"))) for i in range(PARITIES)), F.lit(0))
+    alike = apart_by <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n") + F.col("m")) + 1e-9
     before = math.inf
     while True:
         # Buckets whose members are not all joined yet, and the pairs they still have.
@@ -158,12 +191,18 @@ def _links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -
         if not members:
             break
         old, now = now, stage(now.join(unlike, F.col("shingle") == F.col("_shingle"), "left_semi"))
-        drop_stage(old, unlike)
+        drop_stage(old, unlike, buckets)
         # Rounds go on as long as each spares a quarter of the pairs.
         last = pairs <= PAIRS_PER_MEMBER * members or pairs > 0.75 * before
         other = now if last else stage(now.groupBy("shingle").agg(F.max_by(F.struct("node", "n", "pos", "root"), F.struct("weight", "node")).alias("h")).select("shingle", "h.*"))
-        other = other.select(F.col("shingle").alias("_shingle"), F.col("node").alias("_node"), F.col("n").alias("m"), F.col("pos").alias("_pos"), F.col("root").alias("_root"))
-        apart = F.col("root") < F.col("_root") if last else F.col("root") != F.col("_root")
+        if last:
+            odd = nodes.select(F.col("node").alias("_node"), *[F.col("odd")[i].alias(f"o{i}") for i in range(PARITIES)])
+            old, now = now, stage(now.join(odd, F.col("node") == F.col("_node")).drop("_node", "weight"))
+            drop_stage(old)
+            other = now
+        other = other.select(F.col("shingle").alias("_shingle"), F.col("node").alias("_node"), F.col("n").alias("m"), F.col("pos").alias("_pos"), F.col("root").alias("_root"),
+                             *[F.col(f"o{i}").alias(f"_o{i}") for i in range(PARITIES) if last])
+        apart = (F.col("root") < F.col("_root")) & alike if last else F.col("root") != F.col("_root")
         met = now.join(other, (F.col("shingle") == F.col("_shingle")) & apart & possible)
         found.append(similar(met.select(F.least("node", "_node").alias("u"), F.greatest("node", "_node").alias("v")).distinct(), texts, shingle, similarity))
         if last:
@@ -174,8 +213,8 @@ def _links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -
         old, now = now, stage(rest.join(joined, F.col("node") == F.col("_node"), "left").select("shingle", "node", "n", "pos", F.coalesce("_to", "node").alias("root"), "weight"))
         drop_stage(old, joined)
         before = pairs
-    drop_stage(now, texts)
-    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], "u long, v long")
+    drop_stage(now, texts, linked, buckets)
+    return reduce(DataFrame.union, found)
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:

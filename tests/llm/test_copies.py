@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from folio.llm import copies
@@ -97,3 +98,34 @@ def test_repeated_ids_and_other_columns(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, other string").repartition(4)
     want = sorted([rows[1], rows[3], rows[4], rows[7]], key=repr)
     assert sorted(map(tuple, copies.one_per_component(table).collect()), key=repr) == want
+
+
+def test_links_come_from_the_trie_first(spark, monkeypatch):
+    """Copies with one word changed are linked by their fingerprints; the buckets have nothing left to compare."""
+    compared, similar = [], copies.similar
+    monkeypatch.setattr(copies, "similar", lambda pairs, *rest: compared.append(pairs.count()) or similar(pairs, *rest))
+    rows = [(s * 10 + i, edited(s, 400, 0, 0) + f" end{i}") for s in range(6) for i in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in copies.one_per_component(table).collect()) == kept_model(rows)
+    assert compared[0] >= 10 and sum(compared[1:]) <= 4
+
+
+def test_parities_never_part_similar_sets():
+    rows = [np.unique(copies.shingle_set(t)) for _, t in corpus() if t]
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            unlike = len(np.setxor1d(a, b))
+            assert int(np.bitwise_count((copies.parities(a) ^ copies.parities(b)).view(np.uint64)).sum()) <= unlike
+
+
+def test_last_round_compares_no_pairs_that_parities_part(spark, monkeypatch):
+    """Texts that share all first shingles but not enough of the rest, as where the sketch sees no rarity."""
+    compared, similar = [], copies.similar
+    monkeypatch.setattr(copies, "similar", lambda pairs, *rest: compared.append(pairs.count()) or similar(pairs, *rest))
+    monkeypatch.setattr(copies, "rarity", lambda texts, shingle: np.zeros(1 << copies.COUNTER_BITS, np.int64))
+    for size in (30, 60):
+        compared.clear()
+        rows = [(i, prose(31, 120) + " " + " ".join(f"own{i}x{k}" for k in range(60))) for i in range(size)]
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        assert copies.one_per_component(table).count() == size
+        assert compared[-1] <= size
