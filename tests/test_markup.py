@@ -188,3 +188,10 @@ def test_appendix_letters_seeds_and_styles(spark):
     assert got == {"s1": "5", "a": "A", "e": "A.1", "b": "B", "l": "B.1"}
     styled = counters(spark, [(1, "p", "part"), (2, "c", "chapter"), (3, "c2", "chapter"), (4, "f", "figure")], [("chapter", "part", "", "roman", False)], documentclass="book")
     assert styled == {"p": "I", "c": "i", "c2": "ii", "f": "ii.1"}
+
+
+def test_fragments_move_once_to_their_page(spark, sf_dir):
+    from folio.plans import corpora
+
+    plan = corpora.tex_pages(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
