@@ -2,14 +2,18 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import alignment as A
+from folio.functions import matching as MA
 from folio.functions import text as X
 from folio.operators import library as L
 from folio.operators import rebase as RB
 from folio.operators import search as SE
+from folio.plans import content_queries as CQ
 
 
 def blocks(a, b):
@@ -179,6 +183,38 @@ def test_no_query_meets_all_rows(spark):
     assert SE.contains_ci(pages, F.col("tex"), queries.limit(0), ["book_id", "page"]).count() == 0
 
 
+def test_texts_are_read_once_and_stay_where_they_are(spark, sf_dir):
+    for query in (CQ.line_search, CQ.search_evidence, CQ.search_with_errors):
+        plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+        # Only counts per query and book move.
+        assert all("tex" not in line and "_own" not in line for line in plan.splitlines() if "Exchange hash" in line)
+        assert "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("piece, bitmap", [(1 << 17, None), (40, None), (40, 0)])
+def test_matching_equals_a_scan(monkeypatch, piece, bitmap):
+    monkeypatch.setattr(MA, "PIECE", piece)
+    if bitmap is not None:
+        # All bytes hash alike, so every window does.
+        monkeypatch.setattr(MA, "_BYTES", np.ones(256, np.uint64))
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("abß😀 ") for _ in range(draw.randrange(0, 60))) for _ in range(200)] + ["", None, "b" * 500]
+    terms = sorted({"".join(draw.choice("abß😀 ") for _ in range(draw.randrange(1, 20))) for _ in range(150)} | {"b" * n for n in (1, 2, 31, 32, 33, 499, 501)})
+    got = MA.Terms(terms).held(pa.array(["cut", *texts])[1:]).to_pylist()
+    assert [sorted(x) for x in got] == [[t for t in terms if t in (x or "")] for x in texts]
+    assert MA.Terms([]).held(pa.array(texts)).to_pylist() == [[]] * len(texts)
+    assert MA.Terms(terms).held(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_blocks_of_terms_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(SE, "BLOCK", 3)
+    pages = spark.createDataFrame([(1, n, t) for n, t in enumerate(TEXTS)], "book_id int, page int, tex string")
+    queries = spark.createDataFrame(list(enumerate(ASKED)), "query_id int, query string")
+    want = sorted((n, p) for n, q in enumerate(ASKED) for p, t in enumerate(TEXTS) if t and q and any(q.casefold() in line for line in t.casefold().split("\n")))
+    assert sorted((r.query_id, r.page) for r in SE.search_pages(pages, queries).collect()) == want
+
+
 @pytest.mark.parametrize("query, found", [("strasse", 2), (" STRASSE ", 2), ("ΟΔΟΣ", 1), ("nowhere", 0)])
 def test_titles_are_folded(spark, query, found):
     books = spark.createDataFrame([(1, "Straße"), (2, "Strasse 2"), (3, "ὁδός οδος"), (4, None)], "book_id int, title string")
