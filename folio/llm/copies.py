@@ -127,13 +127,21 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
                 kept.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
-    left = texts.select(F.col("node").alias("u"), F.col("text").alias("_a"))
-    right = texts.select(F.col("node").alias("v"), F.col("text").alias("_b"))
-    return stage(pairs.join(left, "u").join(right, "v").select("u", "v", "_a", "_b").mapInArrow(checked, "u long, v long"))
+    # Only texts of these pairs move.
+    pairs = stage(pairs)
+    met = [texts.where(filter_of(pairs.select(c))(F.col("node"))) for c in ("u", "v")]
+    left, right = (t.select(F.col("node").alias(c), F.col("text").alias(x)) for t, c, x in zip(met, ("u", "v"), ("_a", "_b")))
+    found = stage(pairs.join(left, "u").join(right, "v").select("u", "v", "_a", "_b").mapInArrow(checked, "u long, v long"))
+    drop_stage(pairs)
+    return found
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """`shingle`, `node`, `n`, `pos`, `root`, `weight`: the members of all first shingles that several nodes have.
+    """`shingle`, `node`, `n`, `pos`, `root`, `weight`: the members of first shingles that several nodes have.
+
+    Near copies share most of their first shingles, so many buckets have the same members. Of these, only the one of the
+    first shingle stays: nodes have their shingles in one order, so no pair in such buckets first meets in another one.
+    Members are told apart by 128 bits, the sum without carry of their hashes.
 
     A node's weight is the number of members of all its buckets: the more a text shares, the less it has of its own.
     """
@@ -142,7 +150,13 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     likely = postings.where(filter_of(several.select("_shingle"))(F.col("shingle")))
     met = stage(likely.join(several, F.col("shingle") == F.col("_shingle")).drop("_shingle"))
     weights = met.groupBy(F.col("node").alias("_node")).agg(F.sum("_c").alias("weight"))
-    return stage(met.join(weights, F.col("node") == F.col("_node")).select("shingle", "node", "n", "pos", F.col("node").alias("root"), "weight"))
+    sets = met.groupBy("shingle").agg(
+        F.count("*").alias("c"), *[F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"x{seed}") for seed in (1, 2)], F.sum(F.col("pos").cast("long")).alias("place"))
+    first = sets.groupBy("c", "x1", "x2").agg(F.min_by("shingle", F.struct("place", "shingle")).alias("_first"))
+    kept = met.join(first.select("_first"), F.col("shingle") == F.col("_first"), "left_semi")
+    found = stage(kept.join(weights, F.col("node") == F.col("_node")).select("shingle", "node", "n", "pos", F.col("node").alias("root"), "weight"))
+    drop_stage(several, met)
+    return found
 
 
 def _members(docs: DataFrame, nodes: DataFrame, buckets: DataFrame) -> DataFrame:

@@ -129,3 +129,33 @@ def test_last_round_compares_no_pairs_that_parities_part(spark, monkeypatch):
         table = spark.createDataFrame(rows, "doc_id long, text string")
         assert copies.one_per_component(table).count() == size
         assert compared[-1] <= size
+
+
+def test_buckets_of_the_same_members_are_one(spark):
+    """Three near copies share scores of first shingles, by all or by two; each set of members meets once, in its first bucket."""
+    rows = [(i, prose(31, 400) + " " + end) for i, end in enumerate(["one two three four five six", "one two three four five seven", "other words at the end of it"])]
+    nodes = copies._nodes(copies._keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text"), 5, 0.8)
+    held = {r.node: list(r.prefix) for r in nodes.collect()}
+    shared = {}
+    for node, prefix in held.items():
+        for at, x in enumerate(prefix):
+            shared.setdefault(x, {})[node] = at
+    first = {}
+    for x, members in shared.items():
+        if len(members) > 1:
+            kept = first.setdefault(frozenset(members), members)
+            if sum(members.values()) < sum(kept.values()):
+                first[frozenset(members)] = members
+    assert sum(len(m) > 1 for m in shared.values()) > 20 > 3 >= len(first)
+    got = {}
+    for r in copies._buckets(nodes).collect():
+        got.setdefault(r.shingle, {})[r.node] = r.pos
+    assert sorted(map(sorted, (m.items() for m in got.values()))) == sorted(sorted(m.items()) for m in first.values())
+
+
+def test_only_texts_of_pairs_are_read_for_a_comparison(spark, monkeypatch):
+    wanted, filter_of = [], copies.filter_of
+    monkeypatch.setattr(copies, "filter_of", lambda keys: wanted.append(sorted(r[0] for r in keys.collect())) or filter_of(keys))
+    texts = spark.createDataFrame([(i, prose(i // 2, 50)) for i in range(40)], "node long, text string")
+    found = copies.similar(spark.createDataFrame([(0, 1), (2, 5)], "u long, v long"), texts, 5, 0.8)
+    assert [tuple(r) for r in found.collect()] == [(0, 1)] and wanted == [[0, 2], [1, 5]]
