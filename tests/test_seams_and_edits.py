@@ -131,6 +131,21 @@ def test_pair_fixes_are_verified(spark):
     assert judge(frame("\\begin{proof}Text.", "more\\end{proof}", "\\end{lemma}")) == "SEAM_ENVIRONMENT_MISMATCH"
 
 
+def test_pair_fixes_search_changed_pages_only(spark, monkeypatch):
+    searched, tokens_of = [], ED.env_tokens
+    monkeypatch.setattr(ED, "env_tokens", lambda pages, *more: searched.append(pages.count()) or tokens_of(pages, *more))
+    frame = lambda *pages: spark.createDataFrame(pages, "book_id bigint, page bigint, tex string")
+    before = frame((1, 1, "\\begin{proof}Text."), (1, 2, "more"), (1, 3, "\\begin{lemma}"), (1, 4, "\\end{proof}"), (2, 1, "\\begin{proof}"))
+    # A page is added, one is gone, one is changed, one stays.
+    after = frame((1, 1, "\\begin{proof}Text."), (1, 2, "more\\begin{proof}"), (1, 3, "\\begin{lemma}"), (1, 5, "\\end{proof}\\end{proof}"), (2, 1, "\\begin{proof}"))
+    schema = "book_id bigint, id string, kind string, name string, page bigint, offset int, new_offset int, resolved boolean, reads_more boolean, closing_page bigint, seen array<bigint>"
+    act = lambda book, i, kind, page, closing: (book, i, kind, "proof", page, 0, 0, True, False, closing, [closing])
+    asked = [act(1, "a", "unclosed", 1, 5), act(1, "b", "unclosed", 1, 4), act(1, "c", "unclosed", 3, 5), act(1, "d", "unmatched_end", 5, 5), act(1, "e", "unmatched_end", 4, 4), act(2, "f", "unclosed", 1, 1)]
+    got = {r.id: r.problem for r in ED.verify_pairs(spark.createDataFrame(asked, schema), before, after).collect()}
+    assert got == {"a": None, "b": "SEAM_TODO_PENDING", "c": "SEAM_OPENING_REMOVED", "d": None, "e": "SEAM_TODO_PENDING", "f": "SEAM_TODO_PENDING"}
+    assert searched == [5, 2]
+
+
 def test_batches_cover_a_long_book(spark):
     runs = spark.createDataFrame([("r", 1, 532, 3)], "id string, start_page int, end_page int, pages_per_task int")
     rows = SM.assign_batches(runs).orderBy("batch_no").collect()
