@@ -162,27 +162,30 @@ def materialise_counters(steps: DataFrame, rules: DataFrame, seeds: DataFrame, a
     `appendix` (book_id, id) names the heading that starts the appendix: its counter begins again, in capital letters.
     In a book with a cycle of rules nothing can be counted: `cyclic` is true there, value and number are null.
     """
-    rings = counter_closure(rules).filter("cyclic").select("book_id").distinct()
+    # Each result that several steps below read is a stage table, or all before it would be planned and done again for each.
+    rules = cut_lineage(rules)
+    rings = cut_lineage(counter_closure(rules).filter("cyclic").select("book_id").distinct())
     uncounted = steps.join(rings, "book_id", "left_semi").select(
         "book_id", "page", "start", "id", "counter", F.lit(None).cast("bigint").alias("value"), F.lit(None).cast("string").alias("visible_number"),
         F.lit(True).alias("cyclic"))
     steps, rules = steps.join(rings, "book_id", "left_anti"), rules.join(rings, "book_id", "left_anti")
     books = _rule_map(rules)
     chains = F.map_from_entries(F.transform(F.map_keys("rules"), lambda n: F.struct(n, _walk(F.col("rules"), n)["seen"])))
-    # One small row per book, read by every step below.
+    # One row per book. Maps are some kilobytes each, but their files are far smaller, so each join below asks for a merge
+    # join: by the size of the files, the maps of all books would be broadcast.
     books = cut_lineage(books.withColumn("chains", chains))
 
     def shared_by(name: Column) -> Column:
         return F.coalesce(F.try_element_at(F.col("rules"), name)["shared_with"], F.lit(""))
 
-    placed = steps.join(books, "book_id").withColumn("pos", position(F.col("page"), F.col("start")))
+    placed = steps.join(books.hint("merge"), "book_id").withColumn("pos", position(F.col("page"), F.col("start")))
     root = F.when(shared_by(F.col("counter")) != "", shared_by(F.col("counter"))).otherwise(F.col("counter"))
-    own = placed.select("book_id", "pos", "page", "start", "id", "counter", root.alias("root"))
+    own = cut_lineage(placed.select("book_id", "pos", "page", "start", "id", "counter", root.alias("root")))
     # Each counter also sees the steps of the counters above it, as resets.
     below = books.select("book_id", "rules", "chains", F.explode(F.map_keys("rules")).alias("below"))
     links = below.filter(shared_by(F.col("below")) == "").select(
         "book_id", "below", F.explode(F.slice(F.try_element_at(F.col("chains"), F.col("below")), 2, 2147483646)).alias("root"))
-    resets = own.join(links, ["book_id", "root"]).select("book_id", "pos", F.col("below").alias("stream"), F.lit(1).alias("reset"))
+    resets = own.join(links.hint("merge"), ["book_id", "root"]).select("book_id", "pos", F.col("below").alias("stream"), F.lit(1).alias("reset"))
     counted = own.select("book_id", "pos", F.col("root").alias("stream"), F.lit(0).alias("reset"))
     starts = own.limit(0).select("book_id", F.col("pos").alias("_app_pos"), F.col("root").alias("_app_root"))
     if appendix is not None:
@@ -191,7 +194,7 @@ def materialise_counters(steps: DataFrame, rules: DataFrame, seeds: DataFrame, a
         again = starts.select("book_id", (F.col("_app_pos") - 1).alias("pos"), F.col("_app_root").alias("stream"), F.lit(1).alias("reset"))
         resets = resets.unionByName(again)
     block = page_block(F.col("pos"))
-    segmented = running(counted.unionByName(resets), ["book_id", "stream"], ["pos"], block,
+    segmented = running(cut_lineage(counted.unionByName(resets)), ["book_id", "stream"], ["pos"], block,
                         [Running("segment", "sum", F.col("reset").cast("bigint"))])
     numbered = running(
         segmented.filter(F.col("reset") == 0), ["book_id", "stream", "segment"], ["pos"], block,
@@ -202,13 +205,13 @@ def materialise_counters(steps: DataFrame, rules: DataFrame, seeds: DataFrame, a
     )
     value = F.col("nth") + F.when(F.col("segment") == 0, F.coalesce("seed", F.lit(0))).otherwise(0)
     values = seeded.select("book_id", F.col("stream").alias("root"), "pos", value.alias("value"))
-    valued = own.join(values, ["book_id", "root", "pos"])
+    valued = cut_lineage(own.join(values.hint("merge"), ["book_id", "root", "pos"]))
 
     # Values of the counters above: the last one before this element, per heading level.
     specs = [Running(f"_v_{a}", "last", F.when(F.col("root") == a, F.struct("pos", "value"))) for a in P.HEADINGS]
     above = running(valued, ["book_id"], ["pos"], block, specs)
     seed_map = seeds.groupBy("book_id").agg(F.map_from_entries(F.collect_set(F.struct("name", F.col("value").cast("bigint")))).alias("seed_map"))
-    above = above.join(seed_map, "book_id", "left").join(books, "book_id").join(starts, "book_id", "left")
+    above = above.join(seed_map, "book_id", "left").join(books.hint("merge"), "book_id").join(starts, "book_id", "left")
     last = F.map_from_arrays(F.array(*[F.lit(a) for a in P.HEADINGS]), F.array(*[F.col(f"_v_{a}") for a in P.HEADINGS]))
     above = above.withColumn("_last", last).withColumn("_chain", F.try_element_at(F.col("chains"), F.col("root")))
 

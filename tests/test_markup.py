@@ -190,6 +190,20 @@ def test_appendix_letters_seeds_and_styles(spark):
     assert styled == {"p": "I", "c": "i", "c2": "ii", "f": "ii.1"}
 
 
+def test_rule_maps_of_books_are_not_broadcast(spark):
+    """Their files are small, the maps are not: the driver would hold those of all books at once."""
+    steps = spark.createDataFrame([(b, 1, 0, "t", "theorem") for b in range(50)], "book_id bigint, page bigint, start int, id string, counter string")
+    setups = spark.createDataFrame([(b, "book") for b in range(50)], "book_id bigint, documentclass string")
+    own = spark.createDataFrame([], "book_id bigint, name string, reset_by string, shared_with string, style string, prefix_parent boolean")
+    out = S.materialise_counters(steps, S.effective_rules(own, setups), spark.createDataFrame([], "book_id bigint, name string, value bigint"))
+    assert [r.visible_number for r in out.collect()] == ["1"] * 50
+    depth = None
+    for line in out._jdf.queryExecution().executedPlan().toString().splitlines():
+        here = len(line) - len(line.lstrip(" :+-"))
+        depth = here if "BroadcastExchange" in line else None if depth is not None and here <= depth else depth
+        assert depth is None or "chains#" not in line
+
+
 def test_fragments_move_once_to_their_page(spark, sf_dir):
     from folio.plans import corpora
 
