@@ -101,7 +101,8 @@ def reference_groups(symbols: DataFrame, phase: str) -> DataFrame:
 
 def group_members(symbols: DataFrame, phase: str) -> DataFrame:
     """Every occurrence of a group with its role: reference, label (writable) or evidence (read only)."""
-    keys = group_keys(symbols, phase)
+    # Read four times below. Keys compress so well that they look small enough to be broadcast.
+    keys = cut_lineage(group_keys(symbols, phase)).hint("merge")
     own = symbols.join(keys, ["book_id", "key"]).select(
         "book_id", "grp", "id", "key",
         F.when(F.col("category") == "label", "label").otherwise("reference").alias("role"),
@@ -110,7 +111,7 @@ def group_members(symbols: DataFrame, phase: str) -> DataFrame:
         return own
     groups = keys.select("book_id", "grp").distinct()
     others = (
-        targets_of(symbols).join(keys.select("book_id", "key"), ["book_id", "key"], "left_anti")
+        targets_of(symbols).join(keys.select("book_id", "key").hint("merge"), ["book_id", "key"], "left_anti")
         .withColumn("grp", X.key_namespace(F.col("key"))).join(groups, ["book_id", "grp"], "left_semi")
         .select("book_id", "grp", "id", "key", F.lit("evidence").alias("role"))
     )
@@ -157,11 +158,19 @@ def near_keys(symbols: DataFrame, n: int = P.NEAR_KEY_COUNT, cutoff: float = P.N
     return near_keys_by_deletions(cut_lineage(blocked(wanted)), cut_lineage(blocked(offered)), n, cutoff)
 
 
+def open_headings(members: DataFrame, scoped: DataFrame) -> DataFrame:
+    """Ids of the headings that some occurrence of a group lies under, each once.
+
+    Members of one scope may share the id of one row of `scoped`; only ids of headings leave it.
+    """
+    opened = scoped.select("book_id", "id", F.col("scope.id").alias("_open"))
+    return members.select("book_id", "grp", "id").distinct().join(opened, ["book_id", "id"]).select(
+        "book_id", "grp", F.explode("_open").alias("id")).distinct()
+
+
 def scope_headings(members: DataFrame, scoped: DataFrame, headings: DataFrame) -> DataFrame:
     """Headings that some occurrence of a group lies under."""
-    used = members.join(scoped.select("book_id", "id", "scope"), ["book_id", "id"]).select(
-        "book_id", "grp", F.explode("scope.id").alias("id")).distinct()
-    return used.join(headings, ["book_id", "id"])
+    return open_headings(members, scoped).join(headings, ["book_id", "id"])
 
 
 def targets_in_lines(reads: DataFrame, symbols: DataFrame) -> DataFrame:

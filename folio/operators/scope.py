@@ -45,6 +45,17 @@ def heading_scope(markers: DataFrame, headings: DataFrame) -> DataFrame:
     return seen.withColumn("scope", F.array_compact(F.array(*opened))).drop(*[f"_s{n}" for n in levels], "level", "number", "title")
 
 
+def last_headings(places: DataFrame, markers: DataFrame) -> DataFrame:
+    """Places (book_id, pos and more) with `heading`, the place of the last heading before each; null before the first.
+
+    The scope of a place is that of its last heading, so places need not carry scopes, only one number.
+    """
+    heads = markers.filter(F.col("command") == P.HEADING_COMMAND).select("book_id", position(F.col("page"), F.col("start")).alias("pos"))
+    both = cut_lineage(places.withColumn("_head", F.lit(None).cast("bigint")).unionByName(heads.withColumn("_head", F.col("pos")), allowMissingColumns=True))
+    seen = running(both, ["book_id"], ["pos"], page_block(F.col("pos")), [Running("heading", "last", F.col("_head"))])
+    return seen.filter(F.col("_head").isNull()).drop("_head")
+
+
 # --- counters ---------------------------------------------------------------
 
 # Counters that a class resets by itself, before any rule.

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import text as X
+from ..functions.scan import position
 from ..operators import markup as M
 from ..operators import references as R
 from ..operators import scope as S
@@ -117,12 +119,6 @@ def near_keys(spark, sf):
     return R.near_keys(symbol_table(spark, sf))
 
 
-def _scoped(spark, sf):
-    pages = C.tex_pages(spark, sf)
-    headings = C.frame(spark, sf, C.HEADINGS)
-    return S.heading_scope(M.markers(pages), headings), headings
-
-
 @REGISTRY.add("group_scope_headings", f"""
 WITH marked AS (SELECT *, CASE WHEN command = 'BAHeading' THEN CAST(page * 4294967296 + start AS BIGINT) END AS hpos FROM ({C.DUCK_MARKERS})),
 h AS (SELECT m.book_id, m.key, m.hpos, h.level, list_position(['part', 'chapter', 'section', 'subsection', 'subsubsection'], h.level) AS lvl
@@ -134,11 +130,16 @@ open AS (SELECT s.book_id, s.id, h.key AS hid FROM s JOIN {DUP_KEYS} d ON s.book
 SELECT d.book_id, d.grp, count(DISTINCT hid) AS headings FROM open JOIN {SYM} s ON s.book_id = open.book_id AND s.id = open.id
 JOIN {DUP_KEYS} d ON d.book_id = s.book_id AND d.key = s.key GROUP BY ALL""")
 def group_scope_headings(spark, sf):
-    scoped, headings = _scoped(spark, sf)
-    ids = scoped.filter(F.col("category") != "record").withColumn("id", M.occurrence_id(F.col("page"), F.col("category"), F.col("ordinal")))
-    table = cut_lineage(ids.select("book_id", "id", "key", "category", "scope"))
-    found = R.scope_headings(R.group_members(table, "duplicates"), table, headings)
-    return found.groupBy("book_id", "grp").agg(F.count("*").alias("headings"))
+    """Only places move: a member knows its last heading, and only headings know their scope."""
+    headings = C.frame(spark, sf, C.HEADINGS)
+    place = position(F.col("page"), F.col("start"))
+    marks = cut_lineage(M.markers(C.tex_pages(spark, sf)).select("book_id", "page", "start", "command", "category", "key"))
+    symbols = marks.filter(F.col("category") != "record").select("book_id", place.alias("id"), "key", "category")
+    members = R.group_members(symbols, "duplicates").select("book_id", "grp", F.col("id").alias("pos"))
+    under = S.last_headings(members, marks).select("book_id", "grp", F.col("heading").alias("id"))
+    heads = marks.filter(F.col("command") == P.HEADING_COMMAND).drop("category")
+    scoped = S.heading_scope(heads, headings).select("book_id", F.col("pos").alias("id"), "scope")
+    return R.open_headings(under, scoped).groupBy("book_id", "grp").agg(F.count("*").alias("headings"))
 
 
 # Line-range reads: one per page with three or more lines of the source table.

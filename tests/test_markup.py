@@ -4,9 +4,11 @@ import re
 from pyspark.sql import functions as F
 
 from folio.functions import text as X
+from folio.functions.scan import position
 from folio.operators import environments as E
 from folio.operators import markup as M
 from folio.operators import scope as S
+from folio.plans import reference_queries as RQ
 
 PIECES = ["\\begin{proof}", "\\end{proof}", "\\begin{align*}", "\\end{align*}", "\\[", "\\]", "\\label{equation:1}", "\\label{proof:2}", "text ", "\n", "% note ", "\\% ", "\\\\% ", "é∑", "\\\\[", "\\ref{lemma:1.2}", "\\BAHeading{h1}"]
 
@@ -161,6 +163,27 @@ def test_scope_equals_a_stack(spark):
         assert got[f"lemma:{n}"] == [s[1] for s in stack]
 
 
+def test_places_share_the_scope_of_their_last_heading(spark, sf_dir):
+    rng = random.Random(9)
+    rows, heads, page = [], [], 0
+    for n in range(80):
+        page += rng.choice([0, 1, 300])
+        heads.append((1, page, f"h{n}", rng.choice(["part", "section", "subsection"]), "", "t"))
+        rows.append((1, page, f"\\label{{lemma:{n}a}} \\BAHeading{{h{n}}} \\label{{lemma:{n}}} \\label{{claim:{n}}}"))
+    pages = {}
+    for _, at, tex in rows:
+        pages[at] = pages.get(at, "") + tex
+    headings = spark.createDataFrame(heads, "book_id bigint, page bigint, id string, level string, number string, title string")
+    marks = M.markers(frame(spark, [(1, at, tex) for at, tex in pages.items()] + [(2, 1, "\\label{lemma:x}")]))
+    want = {(r.book_id, r.key): [s.id for s in r.scope] for r in S.heading_scope(marks, headings).filter("command = 'label'").collect()}
+    places = marks.filter("command = 'label'").select("book_id", "key", position(F.col("page"), F.col("start")).alias("pos"))
+    scopes = {r.pos: [s.id for s in r.scope] for r in S.heading_scope(marks.filter("command = 'BAHeading'"), headings).collect()}
+    got = {(r.book_id, r.key): scopes.get(r.heading, []) for r in S.last_headings(places, marks).collect()}
+    assert got == want and len(got) == 241
+    plan = RQ.group_scope_headings(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "scope:array" not in plan
+
+
 def counters(spark, events, rules, seeds=(), documentclass="article", appendix=None):
     steps = spark.createDataFrame([(1, p, 0, i, c) for p, i, c in events], "book_id bigint, page bigint, start int, id string, counter string")
     setups = spark.createDataFrame([(1, documentclass)], "book_id bigint, documentclass string")
